@@ -28,47 +28,45 @@ EVENTS = [
 MEASURES = [m for m in codes.GAME_MEANS.values() if not m.endswith("indicator")]
 
 
+def _list(values) -> str:
+    return "array(" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + ")"
+
+
+# bit operations on the keys: cheap per row, whole numbers, so sums are exact
+_MEASURES = [
+    f"IF(l_linenumber = {i % 7 + 1}, NULL, CAST((l_partkey ^ (l_orderkey >> {i % 5})) & {2 ** (4 + i % 4) - 1} AS DOUBLE)) AS {m}"
+    for i, m in enumerate(MEASURES)
+]
+
+
 def pitch_log(spark: SparkSession, sf: str) -> DataFrame:
-    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d"))
-    j = load(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    pair = F.expr("l_suppkey div 2")
-    quarter = (F.year("d") - 1995) * 4 + F.quarter("d") - 1
-    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
-    starter = F.col("l_linestatus") == "F"
-    part5, part8 = F.col("l_partkey") % 5, F.col("l_partkey") % 8
-    cents = lambda c: F.round(F.col(c) * 100).cast("int")
-    measures = [
-        F.when(
-            (F.col("l_orderkey") + i) % 11 != 0,
-            ((F.col("l_partkey") * (i + 2) + F.col("l_orderkey") * (i + 1)) % (17 + i) - i).cast("double"),
-        ).alias(m)
-        for i, m in enumerate(MEASURES)
-    ]
-    return j.select(
-        F.col("d").alias("game_date"),
-        (pair * 1000 + quarter).cast("long").alias("game_pk"),
-        F.col("o_custkey").alias("batter"),
-        F.col("l_suppkey").alias("pitcher"),
-        pick(EVENTS, F.col("l_partkey") % len(EVENTS)).alias("events"),
-        F.concat(F.lit("T"), (pair % 30).cast("string")).alias("home_team"),
-        F.concat(F.lit("T"), ((pair + quarter) % 30).cast("string")).alias("away_team"),
-        F.when(F.col("l_suppkey") % 2 == 0, "Top").otherwise("Bot").alias("inning_topbot"),
-        F.col("l_orderkey").alias("at_bat_number"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pitch_number_appearance"),
-        F.col("l_partkey").alias("tie_part"),
-        F.col("l_shipdate").cast("date").alias("tie_ship"),
-        (F.col("l_linenumber") + F.col("l_quantity").cast("int")).alias("pitcher_at_bat_number"),
-        (F.col("l_quantity").cast("int") % 3).alias("outs_when_up"),
-        cents("l_discount").alias("bat_score"),
-        (cents("l_discount") + cents("l_tax") % 3).alias("post_bat_score"),
-        F.when(starter, "SP").otherwise("RP").alias("role_key"),
-        F.when(starter, 1.0).otherwise(0.0).alias("sp_indicator"),
-        F.when(starter, 0.0).otherwise(1.0).alias("rp_indicator"),
-        F.col("l_returnflag").alias("pitch_type"),
-        pick(["S", "B", "X"], F.col("l_linenumber") % 3).alias("type"),
-        pick(["line_drive", "fly_ball", "ground_ball", "popup", None], part5).alias("bb_type"),
-        F.when(part8.between(1, 6), part8.cast("int")).alias("launch_speed_angle"),
-        *measures,
+    orders = load(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey", "CAST(o_orderdate AS DATE) AS d")
+    orders = orders.selectExpr("*", "(year(d) - 1995) * 4 + quarter(d) - 1 AS q")
+    return load(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        "d AS game_date",
+        "l_suppkey div 2 * 1000 + q AS game_pk",
+        "o_custkey AS batter",
+        "l_suppkey AS pitcher",
+        f"element_at({_list(EVENTS)}, CAST(l_partkey % {len(EVENTS)} AS INT) + 1) AS events",
+        "concat('T', l_suppkey div 2 % 30) AS home_team",
+        "concat('T', (l_suppkey div 2 + q) % 30) AS away_team",
+        "IF(l_suppkey % 2 = 0, 'Top', 'Bot') AS inning_topbot",
+        "l_orderkey AS at_bat_number",
+        "l_orderkey * 8 + l_linenumber AS pitch_number_appearance",
+        "l_partkey AS tie_part",
+        "CAST(l_shipdate AS DATE) AS tie_ship",
+        "l_linenumber + CAST(l_quantity AS INT) AS pitcher_at_bat_number",
+        "CAST(l_quantity AS INT) % 3 AS outs_when_up",
+        "CAST(round(l_discount * 100) AS INT) AS bat_score",
+        "CAST(round(l_discount * 100) AS INT) + CAST(round(l_tax * 100) AS INT) % 3 AS post_bat_score",
+        "IF(l_linestatus = 'F', 'SP', 'RP') AS role_key",
+        "IF(l_linestatus = 'F', 1D, 0D) AS sp_indicator",
+        "IF(l_linestatus = 'F', 0D, 1D) AS rp_indicator",
+        "l_returnflag AS pitch_type",
+        "element_at(array('S', 'B', 'X'), l_linenumber % 3 + 1) AS type",
+        "element_at(array('line_drive', 'fly_ball', 'ground_ball', 'popup', NULL), CAST(l_partkey % 5 AS INT) + 1) AS bb_type",
+        "IF(l_partkey % 8 BETWEEN 1 AND 6, CAST(l_partkey % 8 AS INT), NULL) AS launch_speed_angle",
+        *_MEASURES,
     )
 
 
@@ -86,7 +84,7 @@ def _in(values) -> str:
 
 
 _MEASURE_SQL = ",\n".join(
-    f"CASE WHEN (l_orderkey + {i}) % 11 != 0 THEN CAST((l_partkey * {i + 2} + l_orderkey * {i + 1}) % {17 + i} - {i} AS DOUBLE) END AS {m}"
+    f"CASE WHEN l_linenumber <> {i % 7 + 1} THEN CAST(xor(l_partkey, l_orderkey >> {i % 5}) & {2 ** (4 + i % 4) - 1} AS DOUBLE) END AS {m}"
     for i, m in enumerate(MEASURES)
 )
 
