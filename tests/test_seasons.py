@@ -146,11 +146,12 @@ def test_last_pitch_without_event_strict(spark):
 
 
 def test_pitcher_line(spark):
-    df = appearance(spark, [0, 0, 1, 2], ["walk", "home_run", "strikeout", "strikeout"])
+    # changes 0, 0, 1, 1 and one out for the strikeout on the last pitch: one inning
+    df = appearance(spark, [0, 0, 1, 2, 2], ["walk", "home_run", "strikeout", None, "strikeout"])
     df = df.union(appearance(spark, [0], ["single"], pitcher=2, role="RP"))
     df = df.union(appearance(spark, [0], ["hit_by_pitch"], pitcher=3, role="RP"))
     a, b, hbp = as_dicts(pitcher_lines(clean_events(df)), "pitcher")
-    assert (a["IP"], a["WHIP"], a["ERA"], a["SOBBratio"], a["batters_faced"]) == (1.0, 2.0, 9.0, 2.0, 4)
+    assert (a["IP"], a["WHIP"], a["ERA"], a["SOBBratio"], a["batters_faced"]) == (1.0, 2.0, 9.0, 2.0, 5)
     assert (a["H"], a["HR"], a["ER"], a["SO"], a["BB"], a["HBP"], a["H9"], a["SO9"]) == (1, 1, 1, 2, 1, 0, 9.0, 18.0)
     assert b["IP"] == 0 and b["WHIP"] == math.inf and math.isnan(b["SOBBratio"])
     assert math.isnan(hbp["WHIP"])
