@@ -2,7 +2,7 @@
 
 A Spark window brings every row of a partition key to one task. That is right
 while groups are small against a task, and wrong when one key holds a large
-share of all rows. ``ordered_scan`` therefore looks at the group sizes first:
+share of all rows. ``ordered_scan`` therefore estimates the group sizes first:
 
 * no group above ``group_rows`` (the usual case): plain window functions;
 * otherwise the large groups, and only those, are cut along their order into
@@ -22,6 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cycle_position, remap
 from ..session import cut_lineage
@@ -29,7 +30,9 @@ from .joins import left
 
 #: rows of one group that a single task sorts without trouble
 GROUP_ROWS = 2_000_000
-#: at most this many groups can be "large", and so this many rows be broadcast
+#: how often a group of that size shows in the sample of keys
+SAMPLED_ROWS = 2_000
+#: at most this many groups are cut, into less than twice as many slices
 MAX_LARGE = 10_000
 #: sampled bounds per slice aimed at: evens out the slices
 BOUNDS_PER_SLICE = 4
@@ -41,40 +44,45 @@ def _null_safe(a: str, b: str, keys: Sequence[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
 
 
-def _largest_limit(df: DataFrame, part: Sequence[str], group_rows: float) -> int | None:
-    """Rows from which a group counts as large; None if no group is.
+def _large_groups(df: DataFrame, part: Sequence[str], group_rows: float) -> DataFrame | None:
+    """The keys of the large groups with their size and slice size; None if there are none.
 
-    One pass over the key columns with partial counts; the driver gets one row.
-    The limit is at least ``total / MAX_LARGE``, so fewer than ``MAX_LARGE``
-    groups can be large whatever the data.
+    Sizes are estimated from a sample of the key columns alone, drawn so that a
+    group of ``group_rows`` rows shows ``SAMPLED_ROWS`` times: one column-pruned
+    pass that shuffles next to nothing. The driver gets at most ``MAX_LARGE``
+    keys. The slice size grows with the data, so that the slices of all groups
+    together stay below twice ``MAX_LARGE``.
     """
     if group_rows == float("inf"):
         return None
-    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
-    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
-    if not total or largest <= group_rows:
+    keys = df.select(*part)
+    fraction = min(1.0, SAMPLED_ROWS / group_rows)
+    if fraction < 1.0:
+        keys = keys.sample(fraction, seed=17)
+    sizes = keys.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_rows * fraction)
+    found = sizes.orderBy(F.col("_n").desc()).limit(MAX_LARGE).collect()
+    limit = max(group_rows, sum(r["_n"] for r in found) / fraction / MAX_LARGE)
+    large = [(*r[:-1], int(r["_n"] / fraction), int(limit)) for r in found if r["_n"] / fraction > limit]
+    if not large:
         return None
-    limit = max(int(group_rows), total // MAX_LARGE)
-    return limit if largest > limit else None
+    sized = [T.StructField("_n", T.LongType()), T.StructField("_limit", T.LongType())]
+    return df.sparkSession.createDataFrame(large, T.StructType([*keys.schema.fields, *sized]))
 
 
 def _slice_bounds(
     df: DataFrame, part: Sequence[str], order: Sequence[str], group_rows: float
 ) -> DataFrame | None:
     """Per large group an ascending array of bounds; None if no group is large."""
-    limit = _largest_limit(df, part, group_rows)
-    if limit is None:
+    large = _large_groups(df, part, group_rows)
+    if large is None:
         return None
-    large = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    large = large.withColumn(
-        "_keep_below",
-        F.least(F.lit(1.0), BOUNDS_PER_SLICE * F.ceil(F.col("_n") / limit) / F.col("_n")) * _HASH_RANGE,
-    )
+    share = BOUNDS_PER_SLICE * F.ceil(F.col("_n") / F.col("_limit")) / F.col("_n")
+    large = large.withColumn("_keep_below", F.least(F.lit(1.0), share) * _HASH_RANGE)
     drawn = df.select(*part, *order).alias("a").join(
         F.broadcast(large).alias("b"), _null_safe("a", "b", part), "inner"
     )
-    drawn = drawn.filter(F.pmod(F.xxhash64(*[F.col(f"a.{c}") for c in order]), F.lit(_HASH_RANGE)) < F.col("_keep_below"))
-    bounds = drawn.groupBy(*[F.col(f"a.{k}").alias(k) for k in part]).agg(
+    place = F.pmod(F.xxhash64(*[F.col(f"a.{c}") for c in order]), F.lit(_HASH_RANGE))
+    bounds = drawn.filter(place < F.col("_keep_below")).groupBy(*[F.col(f"a.{k}").alias(k) for k in part]).agg(
         # a set: copies of one order value count once, so the array stays short
         F.sort_array(F.collect_set(F.struct(*[F.col(f"a.{c}").alias(c) for c in order]))).alias("_bounds")
     )
@@ -198,7 +206,7 @@ def competition_rank(
     AQE splitting a frequent value.
     """
     group_rows = GROUP_ROWS if group_rows is None else group_rows
-    if _largest_limit(df, part, group_rows) is None:
+    if _large_groups(df, part, group_rows) is None:
         return df.withColumn(name, F.rank().over(Window.partitionBy(*part).orderBy(*order)).cast("long"))
     keys = [*part, *order]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ties"))
