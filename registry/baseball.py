@@ -38,8 +38,8 @@ from .pitchlog import PEOPLE_SQL, PITCH_ORDER, PITCH_SQL, SEASONS, _in, people,
 W = f"WITH {PITCH_SQL}"
 
 
-def clean(spark, sf):
-    return clean_events(pitch_log(spark, sf))
+def clean(spark, sf, seasons=None):
+    return clean_events(pitch_log(spark, sf), seasons)
 
 
 def _n(cond: str) -> str:
@@ -151,7 +151,7 @@ def _future_sql(variant: str) -> str:
 
 
 def _future(spark, sf, variant):
-    return decay_weighted(lines_of_batters(clean(spark, sf)), SEASONS, variant=variant)
+    return decay_weighted(lines_of_batters(clean(spark, sf, SEASONS)), SEASONS, variant=variant)
 
 
 @query(_future_sql("corrected"))
@@ -349,7 +349,7 @@ _TARGET = SEASONS[-1] + 1
        FROM pr JOIN people ON batter = player_mlb_id WHERE SF IS NOT NULL""")
 def hitter_projection(spark, sf):
     who = people(spark, sf)
-    hitters = complete_hitters(seasons_of_batters(clean(spark, sf), who))
+    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), who))
     return _settle(project_hitters(hitters, who, SEASONS), list(_HW))
 
 
@@ -363,13 +363,13 @@ def _projection_sql(role: str) -> str:
 
 @query(_projection_sql("SP"))
 def starter_projection(spark, sf):
-    lines = lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER)
+    lines = lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER)
     return _settle(project_pitchers(lines, "SP", SEASONS), list(_PW))
 
 
 @query(_projection_sql("RP"))
 def reliever_projection(spark, sf):
-    lines = lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER)
+    lines = lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER)
     return _settle(project_pitchers(lines, "RP", SEASONS), list(_PW))
 
 
@@ -380,7 +380,7 @@ def reliever_projection(spark, sf):
               WHEN in_{SEASONS[0]} = 0 AND in_{SEASONS[1]} = 0 AND in_{SEASONS[2]} = 1 THEN 3 ELSE 4 END AS year_ind,
          CAST(count(*) AS BIGINT) AS n FROM wide GROUP BY ALL""")
 def hitter_history(spark, sf):
-    hitters = complete_hitters(seasons_of_batters(clean(spark, sf), people(spark, sf)))
+    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), people(spark, sf)))
     wide = pivot_wide(hitters, "batter", "year", ["PA"], SEASONS).withColumn("year_ind", history_class(SEASONS))
     return group_sizes(wide, [*[f"in_{y}" for y in SEASONS], "year_ind"])
 
@@ -399,7 +399,7 @@ def _backtest_sql(source_cte: str, source: str, key: str, stats, extra: str = ""
 
 
 def _hitter_backtest(spark, sf):
-    hitters = complete_hitters(seasons_of_batters(clean(spark, sf), people(spark, sf)))
+    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), people(spark, sf)))
     out = backtest_weights(hitters, "batter", "year", list(_HW), SEASONS[:2], SEASONS[2], codes.WEIGHT_GRID)
     return out.withColumn("rmse", F.round("rmse", 6))
 
@@ -427,7 +427,7 @@ _FIRST_ROLE = f"""{_line_cte()},
 def pitcher_weight_backtest(spark, sf):
     from tallyfold.operators.cleaning import drop_incomplete, inf_to_null
 
-    lines = drop_incomplete(inf_to_null(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER)))
+    lines = drop_incomplete(inf_to_null(lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER)))
     one_role = dedupe_first(lines, ["pitcher", "year"], ["role_key"])
     out = backtest_weights(one_role, "pitcher", "year", codes.PITCHER_STATS, SEASONS[:2], SEASONS[2], codes.WEIGHT_GRID)
     return out.withColumn("rmse", F.round("rmse", 6))

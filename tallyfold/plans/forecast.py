@@ -69,7 +69,7 @@ def playing_time(pitches: DataFrame, people: DataFrame, roster: DataFrame, setti
     The two season tables are checkpointed: each is read by several fits, and
     neither a fit nor a lost executor should start over from the events.
     """
-    clean = clean_events(pitches)
+    clean = clean_events(pitches, settings.seasons)
     hitters = cut_lineage(complete_hitters(batter_seasons(clean, people)))
     lines = cut_lineage(pitcher_lines(clean, order=settings.pitch_order))
 

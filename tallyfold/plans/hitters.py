@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -36,11 +37,18 @@ from . import codes
 c = F.col
 
 
-def clean_events(pitches: DataFrame) -> DataFrame:
+def clean_events(pitches: DataFrame, seasons: Sequence[int] | None = None) -> DataFrame:
     """Season of each pitch; ``events`` only where a plate appearance ended.
 
-    ``raw_events`` keeps every event (blank is missing), which the outs logic needs.
+    ``raw_events`` keeps every event (blank is missing), which the outs logic
+    needs. ``seasons`` keeps only the pitches from the first to the last of
+    them, as a date range: unlike a condition on the year, a range is pushed
+    into the scan.
     """
+    if seasons:
+        pitches = pitches.filter(
+            c("game_date").between(dt.date(min(seasons), 1, 1), dt.date(max(seasons), 12, 31))
+        )
     return pitches.withColumn("raw_events", blank_to_null("events")).withColumns(
         {"events": null_if_in("raw_events", codes.NOT_PLATE_APPEARANCE), "year": F.year("game_date")}
     )
@@ -51,8 +59,12 @@ def batter_lines(
     keys: Sequence[str] = ("batter", "year"),
     rounding: str = "half_even",
     on_zero: str = "null",
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per batter and season: 16 counts and 16 rates."""
+    """One row per batter and season: 16 counts and 15 rates.
+
+    ``extra`` adds aggregates of the same rows to the same pass.
+    """
 
     def rate(num: Column, den: Column) -> Column:
         return round_to(ratio(num, den, on_zero), 3, rounding)
@@ -100,6 +112,7 @@ def batter_lines(
         "ISO": round_to(c("SLG") - c("BA"), 3, rounding),
         "RC_per_PA": rate(c("RC"), c("PA")),
     }
+    counts |= dict(extra or {})
     return agg_then_derive(clean.filter(c("events").isNotNull()), keys, counts, totals, rates, from_rates)
 
 
@@ -122,23 +135,42 @@ def with_age(
     )
 
 
+def _spot_names(spots: int) -> dict[int, str]:
+    return {i: f"spot{i:02d}" for i in range(1, spots + 1)}
+
+
 def lineup_spots(clean: DataFrame, spots: int = 9, group_rows: float | None = None) -> DataFrame:
     """How often a batter took each lineup spot in a season, and the mean spot."""
     at_bats = clean.filter(longer_than("events", 2)).select(
         "game_pk", "inning_topbot", "at_bat_number", "batter", "year"
     )
     placed = cyclic_rank(at_bats, ["game_pk", "inning_topbot"], ["at_bat_number"], spots, "spot", group_rows)
-    names = {i: f"spot{i:02d}" for i in range(1, spots + 1)}
+    names = _spot_names(spots)
     counted = counts_by_code(placed, ["batter", "year"], "spot", names)
     counted = counted.withColumn("AB", horizontal_sum(list(names.values())))
     shared = shares(counted, list(names.values()), "AB")
     return shared.withColumn("weighted_spot_avg", weighted_position([f"{n}_per" for n in names.values()]))
 
 
-def batter_seasons(clean: DataFrame, people: DataFrame, **lines) -> DataFrame:
-    """The hitters' feature table: season line, age and mean lineup spot."""
-    spots = lineup_spots(clean).select("batter", "year", "weighted_spot_avg")
-    return left(with_age(batter_lines(clean, **lines), people, "batter"), spots, on=["batter", "year"])
+def batter_seasons(
+    clean: DataFrame, people: DataFrame, spots: int = 9, group_rows: float | None = None, **lines
+) -> DataFrame:
+    """The hitters' feature table: season line, age and mean lineup spot.
+
+    One pass over the events: the spot of each at-bat is ranked first, then the
+    spots are counted next to the counters of the season line. Only the small
+    season table meets the people.
+    """
+    needed = ["game_pk", "inning_topbot", "at_bat_number", "batter", "year", "game_date", "events"]
+    ended = clean.filter(c("events").isNotNull()).select(*needed, longer_than("events", 2).alias("_listed"))
+    placed = cyclic_rank(ended, ["game_pk", "inning_topbot", "_listed"], ["at_bat_number"], spots, "spot", group_rows)
+    names = _spot_names(spots)
+    taken = {n: count_where((c("spot") == i) & c("_listed")) for i, n in names.items()}
+    table = batter_lines(placed, extra=taken, **lines)
+    shared = shares(table.withColumn("_spots", horizontal_sum(list(names.values()))), list(names.values()), "_spots")
+    share_names = [f"{n}_per" for n in names.values()]
+    placed_table = shared.withColumn("weighted_spot_avg", weighted_position(share_names))
+    return with_age(placed_table.drop("_spots", *names.values(), *share_names), people, "batter")
 
 
 def decay_weighted(

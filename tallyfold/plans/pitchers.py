@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import count_where, is_in, rate_per, ratio
-from ..operators.aggregate import agg_then_derive, rollup_max_sum
+from ..operators.aggregate import agg_then_derive, rollup_max_sum, two_level
 from ..operators.cleaning import drop_incomplete, finite_rows, impute, inf_to_null
 from ..operators.columns import horizontal_sum
 from ..operators.joins import left
@@ -102,11 +102,12 @@ def pitcher_lines(
     group_rows: float | None = None,
 ) -> DataFrame:
     """One row per pitcher, role and season: innings, counts and rates, batters faced."""
-    needed = ["pitcher", "game_pk", "role_key", "year", "outs_when_up", "events", "bat_score", "post_bat_score"]
-    pitches = clean.select(*dict.fromkeys([*needed, event, "pitch_number_appearance", *order]))
+    needed = ["pitcher", "game_pk", "role_key", "year", "outs_when_up", "events", "bat_score", "post_bat_score",
+              "pitcher_at_bat_number", "pitch_number_appearance", event]
+    pitches = clean.select(*dict.fromkeys([*needed, *order]))
     pitches = outs_recorded(pitches, event, missing_event, order, group_rows)
-    aggs = {
-        "_outs": F.coalesce(F.sum("out_diff"), F.lit(0)),
+    counters = {
+        "_outs": F.sum("out_diff"),
         "_on_base": count_where(is_in("events", ["walk", *codes.HITS])),
         "H": count_where(is_in("events", codes.HITS)),
         "HR": count_where(c("events") == "home_run"),
@@ -115,18 +116,26 @@ def pitcher_lines(
         "BB": count_where(c("events") == "walk"),
         "HBP": count_where(c("events") == "hit_by_pitch"),
     }
+    # per game first: the rows are already together by (pitcher, game), and the
+    # last batter number of each game comes along, so no second pass or join
+    lines = two_level(
+        pitches,
+        ["pitcher", "role_key", "year"],
+        ["game_pk"],
+        {**counters, "batters_faced": F.max("pitcher_at_bat_number")},
+        {name: F.sum(name) for name in [*counters, "batters_faced"]},
+    )
+    innings = ratio(F.coalesce(c("_outs"), F.lit(0)), F.lit(3))
     rates = {
-        "IP": ratio("_outs", F.lit(3)),
-        "WHIP": ratio("_on_base", ratio("_outs", F.lit(3)), on_zero),
+        "IP": innings,
+        "WHIP": ratio("_on_base", innings, on_zero),
         "SOBBratio": ratio("SO", "BB", on_zero),
     }
     per_nine = {
         name: rate_per(source, "IP", 9, on_zero)
         for name, source in {"ERA": "ER", "H9": "H", "HR9": "HR", "BB9": "BB", "SO9": "SO"}.items()
     }
-    keys = ["pitcher", "role_key", "year"]
-    lines = agg_then_derive(pitches, keys, aggs, rates, per_nine).drop("_outs", "_on_base")
-    return left(lines, batters_faced(clean), on=keys)
+    return lines.withColumns(rates).withColumns(per_nine).drop("_outs", "_on_base")
 
 
 def reliever_rows(lines: DataFrame, cap: str | dict = "fixed") -> DataFrame:
