@@ -86,14 +86,14 @@ def backtest_weights(
 ) -> DataFrame:
     """RMSE of every weight pair for every statistic: (stat, w_prev, w_last, rmse).
 
-    One job for the whole grid. The panel is pivoted and joined once; each row
-    then becomes one row per statistic, and the grid is a list of aggregates
-    over those rows, so no row is paired with the grid.
+    One job and one pass for the whole grid: training and test periods are
+    pivoted together, each key's row then becomes one row per statistic, and
+    the grid is a list of aggregates over those rows. No row is paired with
+    the grid, and the panel is not joined to itself.
     """
-    wide = pivot_wide(df, key, period, stats, train)
-    actual = df.filter(F.col(period) == test).select(key, *[F.col(s).alias(f"{s}_{test}") for s in stats])
-    joined = wide.join(actual, key, "inner")
     a, b = train
+    wide = pivot_wide(df, key, period, stats, [*train, test])
+    tested = wide.filter((F.col(f"in_{test}") == 1) & ((F.col(f"in_{a}") == 1) | (F.col(f"in_{b}") == 1)))
     both = (F.col(f"in_{a}") == 1) & (F.col(f"in_{b}") == 1)
     per_stat = F.explode(
         F.array(
@@ -108,7 +108,7 @@ def backtest_weights(
             ]
         )
     )
-    long = joined.select(both.alias("both"), per_stat.alias("x")).select("both", "x.*")
+    long = tested.select(both.alias("both"), per_stat.alias("x")).select("both", "x.*")
     names = {f"g{i}": pair for i, pair in enumerate(grid)}
     measured = long.groupBy("stat").agg(
         *[

@@ -37,7 +37,6 @@ MAX_LARGE = 10_000
 #: sampled bounds per slice aimed at: evens out the slices
 BOUNDS_PER_SLICE = 4
 _HASH_RANGE = 1 << 40
-_BLOCK = 64
 
 
 def _null_safe(a: str, b: str, keys: Sequence[str]) -> Column:
@@ -84,19 +83,26 @@ def _slice_bounds(
     place = F.pmod(F.xxhash64(*[F.col(f"a.{c}") for c in order]), F.lit(_HASH_RANGE))
     bounds = drawn.filter(place < F.col("_keep_below")).groupBy(*[F.col(f"a.{k}").alias(k) for k in part]).agg(
         # a set: copies of one order value count once, so the array stays short
-        F.sort_array(F.collect_set(F.struct(*[F.col(f"a.{c}").alias(c) for c in order]))).alias("_bounds")
+        F.sort_array(F.collect_set(_place([f"a.{c}" for c in order]))).alias("_bounds")
     )
-    return cut_lineage(bounds.withColumn("_heads", F.expr(f"filter(_bounds, (x, i) -> i % {_BLOCK} = 0)")))
+    # every _step-th bound is looked at first: two short searches instead of one long one
+    bounds = bounds.withColumn("_step", F.ceil(F.sqrt(F.size("_bounds"))).cast("int"))
+    return cut_lineage(bounds.withColumn("_heads", F.expr("filter(_bounds, (x, i) -> i % _step = 0)")))
 
 
-def _slice_number(order: Sequence[str]) -> Column:
-    """How many bounds lie at or below the row, found block by block."""
-    here = "struct(" + ", ".join(f"`{c}`" for c in order) + ")"
-    block = f"size(filter(_heads, b -> b <= {here}))"
-    inside = f"size(filter(slice(_bounds, ({block} - 1) * {_BLOCK} + 1, {_BLOCK}), b -> b <= {here}))"
-    return F.expr(
-        f"CASE WHEN _bounds IS NULL OR {block} = 0 THEN 0 ELSE ({block} - 1) * {_BLOCK} + {inside} END"
-    )
+def _place(order: Sequence[str]) -> Column:
+    """A row's place in its group as one comparable value."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
+
+
+def _with_slice(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``_slice``: how many bounds lie at or below the row (0 in a group without bounds)."""
+    at_or_below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= _place(order)))
+    start = (F.col("_block") - 1) * F.col("_step")
+    df = df.withColumn("_block", F.when(F.col("_bounds").isNull(), 0).otherwise(at_or_below(F.col("_heads"))))
+    inside = at_or_below(F.slice("_bounds", start + 1, F.col("_step")))
+    df = df.withColumn("_slice", F.when(F.col("_block") == 0, 0).otherwise(start + inside))
+    return df.withColumn("_cut", F.col("_bounds").isNotNull()).drop("_block", "_step", "_heads", "_bounds")
 
 
 def ordered_scan(
@@ -135,10 +141,9 @@ def ordered_scan(
         df = (
             df.alias("a")
             .join(F.broadcast(bounds).alias("b"), _null_safe("a", "b", part), "left")
-            .select("a.*", "b._bounds", "b._heads")
+            .select("a.*", "b._bounds", "b._heads", "b._step")
         )
-        df = df.withColumn("_cut", F.col("_bounds").isNotNull()).withColumn("_slice", _slice_number(order))
-        df = df.drop("_bounds", "_heads")
+        df = _with_slice(df, order)
         keys = [*part, "_slice"]
 
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -162,7 +167,7 @@ def _carry(df, local, part, order, row_number, previous, sum_before, group_max)
     edges = df.filter("_cut").groupBy(*part, "_slice").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.max_by(F.struct(F.lit(0).alias("_x"), *[F.col(c).alias(f"_last_{n}") for n, c in previous.items()]),
-                 F.struct(*order)).alias("_last"),
+                 _place(order)).alias("_last"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_sum_{n}") for n, c in sum_before.items()],
         *[F.max(c).alias(f"_max_{n}") for n, c in group_max.items()],
     )
