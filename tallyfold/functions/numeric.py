@@ -36,9 +36,13 @@ def ratio(num: Column | str, den: Column | str, on_zero: str = "null") -> Column
 
 
 def round_to(c: Column | str, digits: int = 3, mode: str = "half_even") -> Column:
-    """Round half to even (``bround``) or half away from zero (``round``)."""
+    """Round a double half to even, or half away from zero.
+
+    Half-even works on the scaled double itself, as statistics tools do, which
+    also spares a decimal object per value.
+    """
     if mode == "half_even":
-        return F.bround(col(c), digits)
+        return F.rint(col(c) * F.lit(10.0**digits)) / F.lit(10.0**digits)
     if mode == "half_up":
         return F.round(col(c), digits)
     raise ValueError(f"mode must be 'half_even' or 'half_up', not {mode!r}")
