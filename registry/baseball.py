@@ -438,7 +438,8 @@ def pitcher_weight_backtest(spark, sf):
        SELECT h.team_id AS team_id_home, a.team_id AS team_id_away, CAST(count(*) AS BIGINT) AS pitches
        FROM p LEFT JOIN t h ON home_team = h.team LEFT JOIN t a ON away_team = a.team GROUP BY ALL""")
 def team_roles(spark, sf):
-    log = pitch_log(spark, sf).select("home_team", "away_team")
-    teams = surrogate_key(log.select(F.col("home_team").alias("team")).distinct(), ["team"], "team", "team_id")
-    both = role_join(log, teams, "team", {"home_team": "_home", "away_team": "_away"})
-    return both.groupBy("team_id_home", "team_id_away").agg(F.count(F.lit(1)).alias("pitches"))
+    # pitches per pair of teams first: the dimension then meets pairs, not pitches
+    pairs = group_sizes(pitch_log(spark, sf), ["home_team", "away_team"], "pitches")
+    teams = surrogate_key(pairs.select(F.col("home_team").alias("team")).distinct(), ["team"], "team", "team_id")
+    both = role_join(pairs, teams, "team", {"home_team": "_home", "away_team": "_away"})
+    return both.select("team_id_home", "team_id_away", "pitches")

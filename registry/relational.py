@@ -251,14 +251,23 @@ UNION ALL
 SELECT 'null_safe', e.user_id, CAST(sum(n_kind) AS BIGINT) FROM e LEFT JOIN d ON e.k IS NOT DISTINCT FROM d.k GROUP BY ALL""")
 def missing_key_join(spark, sf):
     e = load(spark, sf, "events").select("user_id", null_if_in("event_type", ["error"]).alias("k"))
-    d = agg.group_sizes(e, ["k"], "n_kind")
+    # few distinct codes hold all rows: count per user and code first, so the join meets counts
+    e = agg.group_sizes(e, ["user_id", "k"])
+    d = e.groupBy("k").agg(F.sum("n").alias("n_kind"))
     parts = [
-        joins.left(e, d, on=["k"], null_safe=safe).groupBy(F.lit(rule).alias("rule"), "user_id").agg(F.sum("n_kind").alias("total"))
+        joins.left(e, d, on=["k"], null_safe=safe)
+        .groupBy(F.lit(rule).alias("rule"), "user_id")
+        .agg(F.sum(c("n") * c("n_kind")).alias("total"))
         for rule, safe in (("plain", False), ("null_safe", True))
     ]
     return joins.union_all(*parts)
 
 
+@query("""SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+def duplicate_line_keys(spark, sf):
+    return joins.duplicate_keys(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
 _MOM = """mom AS (SELECT l_suppkey, l_returnflag, round(avg(m), 9) AS mean_qty, CAST(sum(n) AS BIGINT) AS lines FROM (
   SELECT l_suppkey, l_returnflag, l_orderkey, avg(l_quantity) AS m, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1, 2)"""
 _TLM = """tl AS (SELECT l_suppkey, l_returnflag, CAST(sum(m) AS BIGINT) AS top_lines FROM (

@@ -31,9 +31,14 @@ def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = 1_000
     return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
+def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that occur more than once, with their number of rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Raise if a key occurs twice. One aggregate with partial counts."""
-    twice = df.groupBy(*keys).count().filter("count > 1").limit(1).collect()
+    twice = duplicate_keys(df, keys).limit(1).collect()
     if twice:
         raise ValueError(f"key {list(keys)} is not unique, e.g. {twice[0].asDict()}")
     return df

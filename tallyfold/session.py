@@ -33,10 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session that names none (a test on one machine) gets a fresh
     temporary folder, which is then remembered by the context.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if configured:
+        if not current:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     folder = tempfile.mkdtemp(prefix="tallyfold-")
