@@ -442,4 +442,4 @@ def team_roles(spark, sf):
     pairs = group_sizes(pitch_log(spark, sf), ["home_team", "away_team"], "pitches")
     teams = surrogate_key(pairs.select(F.col("home_team").alias("team")).distinct(), ["team"], "team", "team_id")
     both = role_join(pairs, teams, "team", {"home_team": "_home", "away_team": "_away"})
-    return both.select("team_id_home", "team_id_away", "pitches")
+    return both.groupBy("team_id_home", "team_id_away").agg(F.sum("pitches").alias("pitches"))
