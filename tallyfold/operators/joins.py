@@ -65,6 +65,9 @@ def left(
         assert_unique(b, right_on)
     elif expect != "m:n":
         raise ValueError(f"expect must be 'm:1' or 'm:n', not {expect!r}")
+    clash = sorted((set(b.columns) - set(right_on)) & set(a.columns))
+    if clash:
+        raise ValueError(f"both sides have {clash}; rename one side first")
     hidden = {k: f"_right_{i}" for i, k in enumerate(right_on)}
     b = b.withColumnsRenamed(hidden)
     pairs = [

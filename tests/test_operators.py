@@ -43,6 +43,9 @@ def test_left_join_rules(spark):
     with pytest.raises(ValueError, match="not unique"):
         joins.left(a, twice, on=["c"], expect="m:1")
     assert joins.left(a, b, on=["c"], expect="m:1").columns == ["k", "c", "v"]
+    with pytest.raises(ValueError, match="rename"):
+        joins.left(a, b.withColumnRenamed("v", "k"), on=["c"])
+    assert [r["n"] for r in as_dicts(joins.duplicate_keys(twice, ["c"]))] == [2, 2, 2]
 
 
 def test_inner_suffix_and_roster(spark):
