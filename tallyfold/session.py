@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,8 +31,9 @@ def get_spark(app: str = "tallyfold", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a session that names none (a test on one machine) gets a fresh
-    temporary folder, which is then remembered by the context.
+    A session that names none gets a fresh temporary folder, remembered by the
+    context, only if its master is local; on a cluster that folder would be
+    another one on each machine, so it raises there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -41,6 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     folder = tempfile.mkdtemp(prefix="tallyfold-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
