@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, sharding
+from . import chat, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,6 +121,35 @@ def op2_prefix_targets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(r"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i::UBIGINT AS v FROM range(256) AS r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM steps WHERE k < 8
+), lookup AS (
+  SELECT list(v ORDER BY i) AS l FROM steps WHERE k = 8
+), b AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), d AS (
+  SELECT doc_id, source, size,
+         xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::UBIGINT),
+             lambda acc, x: xor(acc >> 8, l[((xor(acc, x) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT
+           AS text_crc32
+  FROM b, lookup
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 16),
+                               doc_id NULLS FIRST, text_crc32, size) AS r,
+         count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total
+  FROM d
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS FIRST) - 1 AS place FROM r
+), s AS (
+  SELECT *, (place * 40 // total)::INT AS shard FROM o
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard,
+       (place - (shard * total + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM s
+""")
 def op6_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, folder, "documents").select(
@@ -132,4 +161,55 @@ def op6_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES["op6_interleaved_shards"] = op6_interleaved_shards
+@query(r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source AS owner, source || '/' || lang AS repo, coalesce(text, '') AS t FROM documents
+), f AS (
+  SELECT rid, 0 AS kind, regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS ms,
+         string_split_regex(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS gs
+  FROM d
+  UNION ALL SELECT rid, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT rid, 2, regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM d
+  UNION ALL SELECT rid, 3, regexp_extract_all(t, '[A-Za-z0-9_-]{20,}'), string_split_regex(t, '[A-Za-z0-9_-]{20,}') FROM d
+), m AS (
+  SELECT rid, kind, ms[i] AS m, length(gs[i]) AS gap, i
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f)
+), p AS (
+  SELECT rid, kind, m, sum(gap + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM m
+), v AS (
+  SELECT rid, kind, e - length(m) AS s, e, m,
+         CASE WHEN kind = 0 THEN regexp_replace(m, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?', '') ELSE m END AS value
+  FROM p
+), c AS (
+  SELECT * FROM v
+  WHERE CASE kind WHEN 0 THEN length(value) >= 12 WHEN 1 THEN length(m) >= 18 WHEN 2 THEN length(m) >= 16
+        ELSE regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9].*[0-9]')
+             AND len(list_distinct(string_split(m, ''))) >= 10 END
+), o AS (
+  SELECT value, count(DISTINCT coalesce(owner, chr(1))) AS owners FROM c JOIN d USING (rid) GROUP BY value
+), a AS (
+  SELECT rid, kind, s, e, owners, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e AS span
+  FROM c JOIN o USING (value) WHERE kind < 3 OR owners <= 2
+)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY s, kind), '') AS spans,
+       count(*) FILTER (owners > 2) AS n_widespread
+FROM d LEFT JOIN a USING (rid) GROUP BY rid, doc_id
+""")
+def op9_owned_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", F.col("source").alias("owner"), F.concat_ws("/", "source", "lang").alias("repository")
+    )
+    found = secret_scan.scan(docs, "owner", "repository", carry=("doc_id",))
+    base = F.filter("secrets", lambda s: s["kind"] != "owned")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("secrets")).alias("spans"),
+        F.size(F.filter("secrets", lambda s: s["owners"] > secret_scan.MAX_OWNERS)).cast("long").alias("n_widespread"),
+    )
