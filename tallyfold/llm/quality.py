@@ -112,23 +112,22 @@ def host_rates(failures: DataFrame, host: str, rules: list[str]) -> DataFrame:
         .groupBy(host)
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(r).alias(f"k_{r}") for r in rules])
     )
-    # one row; joined on a constant key
-    pooled = counts.groupBy(F.lit(1).alias("one")).agg(
+    pooled = counts.agg(
         F.count(F.lit(1)).alias("hosts"),
         F.sum("n").alias("total"),
         F.sum(F.col("n") * F.col("n")).alias("squares"),
         *[F.sum(f"k_{r}").alias(f"all_{r}") for r in rules],
         *[F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / F.col("n")).alias(f"q_{r}") for r in rules],
-    )
-    out = counts.withColumn("one", F.lit(1)).join(pooled, "one").drop("one")
+    ).first()  # one row: the prior's parameters are numbers from here on
+    out, inside = counts, pooled["hosts"] - 1
     for r in rules:
-        p = F.col(f"all_{r}") / F.col("total")
-        spread = (F.col(f"q_{r}") - F.col("total") * p * p) / (p * (1 - p))
-        inside = F.col("hosts") - 1
-        room = F.col("total") - F.col("squares") / F.col("total") - inside
-        between = F.when((p > 0) & (p < 1) & (room > 0), (spread - inside) / room)
-        g = F.least(F.greatest(F.coalesce(between, F.lit(0.0)), F.lit(LEAST_SPREAD)), F.lit(1 - LEAST_SPREAD))
-        m = 1 / g - 1
+        p, between = 0.0, 0.0
+        if pooled["total"]:
+            total, p = float(pooled["total"]), pooled[f"all_{r}"] / pooled["total"]
+            room = total - pooled["squares"] / total - inside
+            if 0 < p < 1 and room > 0:
+                between = ((pooled[f"q_{r}"] - total * p * p) / (p * (1 - p)) - inside) / room
+        m = 1 / min(max(between, LEAST_SPREAD), 1 - LEAST_SPREAD) - 1
         out = out.withColumn(f"rate_{r}", (F.col(f"k_{r}") + p * m) / (F.col("n") + m))
     return out.select(host, "n", *[f"k_{r}" for r in rules], *[f"rate_{r}" for r in rules])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, secret_scan, sharding
+from . import chat, decontaminate, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -213,3 +213,11 @@ def op9_owned_secrets(spark: SparkSession, folder: str) -> DataFrame:
         secret_scan.listed(F.col("secrets")).alias("spans"),
         F.size(F.filter("secrets", lambda s: s["owners"] > secret_scan.MAX_OWNERS)).cast("long").alias("n_widespread"),
     )
+
+
+def op3_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, folder, "benchmark"))
+
+
+QUERIES["op3_benchmark_leaks"] = op3_benchmark_leaks
