@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality, secret_scan, sharding
+from . import chat, decontaminate, jaccard, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -221,3 +221,10 @@ def op3_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op3_benchmark_leaks"] = op3_benchmark_leaks
+
+
+def op4_jaccard_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_links(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+QUERIES["op4_jaccard_classes"] = op4_jaccard_classes
