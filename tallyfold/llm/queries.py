@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, quality, secret_scan, sharding
+from . import chat, decontaminate, jaccard, packing, quality, secret_scan, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -228,3 +228,18 @@ def op4_jaccard_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op4_jaccard_classes"] = op4_jaccard_classes
+
+
+def op5_section_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
+QUERIES["op5_section_tokens"] = op5_section_tokens
+
+
+def op8_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    cut = packing.pieces(table(spark, folder, "documents").select("doc_id", "text"))
+    return packing.pack(cut, loss="loss")
+
+
+QUERIES["op8_packed_sequences"] = op8_packed_sequences
