@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tokens
 
@@ -225,6 +226,14 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
         yield items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
 
 
+def _indexes(benchmark: DataFrame, item: str, text: str, max_edits: float, recall: float, block_bytes: int) -> Iterator:
+    """The broadcast index of each block that has items."""
+    context = benchmark.sparkSession.sparkContext
+    for items in _blocks(benchmark, item, text, block_bytes):
+        if items:
+            yield context.broadcast(Index([r["item"] for r in items], [r["text"] for r in items], max_edits, recall))
+
+
 def leaks(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -264,19 +273,17 @@ def leaks(
         ]
     )
     narrow = documents.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    parts = []
-    for items in _blocks(benchmark, item, item_text, block_bytes):
-        if not items:
-            continue
-        index = spark.sparkContext.broadcast(Index([r["item"] for r in items], [r["text"] for r in items], max_edits, recall))
-        parts.append(narrow.mapInArrow(_finder(index), schema))
+    kind = to_arrow_type(item_field.dataType)
+    parts = [
+        narrow.mapInArrow(_finder(index, kind), schema) for index in _indexes(benchmark, item, item_text, max_edits, recall, block_bytes)
+    ]
     out = spark.createDataFrame([], schema) if not parts else parts[0]
     for more in parts[1:]:
         out = out.unionAll(more)
     return out
 
 
-def _finder(index):
+def _finder(index, kind):
     def run(batches):
         book = index.value
         for batch in batches:
@@ -287,7 +294,7 @@ def _finder(index):
                     yield pa.record_batch(
                         [
                             piece.column("doc_id").take(pa.array(rows, pa.int64())),
-                            pa.array([book.ids[i] for i in items]),
+                            pa.array([book.ids[i] for i in items], kind),
                             pa.array(distance, pa.int32()),
                             pa.array([len(book.items[i]) for i in items], pa.int32()),
                             pa.array(places, pa.int32()),
@@ -297,3 +304,30 @@ def _finder(index):
                     )
 
     return run
+
+
+def clean(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_text: str = "text",
+    max_edits: float = MAX_EDITS,
+    recall: float = RECALL,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows, whole, in whose text no benchmark item is found; see ``leaks``."""
+
+    def without(index):
+        def run(batches):
+            for batch in batches:
+                for piece in tokens.slices(batch, text):
+                    dirty = np.zeros(piece.num_rows, dtype=bool)
+                    dirty[[row for row, *_ in find(index.value, piece.column(text))]] = True
+                    yield piece.filter(pa.array(~dirty))
+
+        return run
+
+    out = documents
+    for index in _indexes(benchmark, item_text, item_text, max_edits, recall, block_bytes):
+        out = out.mapInArrow(without(index), documents.schema)
+    return out

@@ -25,7 +25,7 @@ from . import bpe
 TOKENS = 1024
 SEGMENTS = 64
 #: examples packed together
-POOL = 4096
+POOL = 2048
 #: sequences of one task are numbered below this
 _PER_TASK = 1 << 40
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, packing, quality, secret_scan, sharding, token_counts
+import corpus_pipeline
+
+from . import chat, decontaminate, jaccard, packing, quality, secret_scan, sharding, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -243,3 +245,35 @@ def op8_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op8_packed_sequences"] = op8_packed_sequences
+
+
+def op7_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+QUERIES["op7_toxicity_scores"] = op7_toxicity_scores
+
+
+@query("""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p
+), f AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < first THEN first END AS refers_to
+FROM f
+""")
+def op10_archived_pages(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.archive_folder(spark)
+    index = warc.write_archives(table(spark, folder, "pages"), archives)
+    return warc.read_archives(index, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

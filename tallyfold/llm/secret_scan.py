@@ -153,9 +153,12 @@ def scan(
         F.col("row").alias("_row_of"),
         F.transform("spans", lambda s: s.withField("kind", F.get(names, s["kind"]))).alias("_spans_of"),
     )
-    out = scanned.join(per_row, F.col(row) == F.col("_row_of"), "left")
+    # rows without any span, mostly the bulk, need no join
     nothing = F.array().cast("array<struct<start:bigint,kind:string,end:bigint,owners:bigint,repositories:bigint>>")
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col("_spans_of"), nothing).alias(into))
+    hit = scanned.filter(F.size(found) > 0).join(per_row, F.col(row) == F.col("_row_of"), "left")
+    hit = hit.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col("_spans_of"), nothing).alias(into))
+    clean = scanned.filter(F.size(found) == 0)
+    return hit.unionAll(clean.select(*[F.col(f"`{c}`") for c in kept], nothing.alias(into)))
 
 
 def listed(spans: Column) -> Column:
