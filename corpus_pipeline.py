@@ -29,8 +29,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of equal or linked texts stays; documents without a text stay."""
     classes = jaccard.jaccard_links(docs)
     kept = classes.filter(F.col("text_md5") == F.col("class_md5")).select("class_id", "class_md5").distinct()
-    named = docs.withColumn("_md5", F.md5("text"))
-    match = (F.col("_md5") == F.col("class_md5")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    kept = kept.select(F.struct("class_id", "class_md5").alias(name := shared.fresh(docs, "kept")[0]))
+    (md5,) = shared.fresh(docs, "md5")
+    named = docs.withColumn(md5, F.md5("text"))
+    match = (F.col(md5) == F.col(f"{name}.class_md5")) & F.col("doc_id").eqNullSafe(F.col(f"{name}.class_id"))
     # rows that repeat a document's id and text are one document
     chosen = _columns(named.join(kept, match, "left_semi"), docs).dropDuplicates(["doc_id", "text"])
     return chosen.unionByName(docs.filter(F.col("text").isNull()))
@@ -44,10 +46,12 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text is replaced by a mark; n_chars is counted anew where it is known."""
-    found = secret_scan.scan(docs.withColumn("_repository", F.concat_ws("/", "source", "lang")), "source", "_repository")
-    text = F.when(F.col("text").isNotNull(), secret_scan.redacted(F.col("text"), F.col("secrets")))
+    repository, spans = shared.fresh(docs, "repository", "secrets")
+    named = docs.withColumn(repository, F.concat_ws("/", "source", "lang"))
+    found = secret_scan.scan(named, "source", repository, carry=tuple(docs.columns), into=spans)
+    text = F.when(F.col("text").isNotNull(), secret_scan.redacted(F.col("text"), F.col(spans)))
     changed = found.withColumn("text", text)
-    length = F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    length = F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return _columns(changed.withColumn("n_chars", length), docs)
 
 

@@ -118,7 +118,7 @@ def pack(
     sequence_id or offset are replaced, segments and loss are dropped.
     """
     long = lambda c, other: F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0).cast("long")) if c else other
-    kept = [c for c in examples.columns if c not in ("sequence_id", "offset", "segments", "loss", length)]
+    kept = [c for c in examples.columns if c not in ("sequence_id", "offset", "segments", "loss", "length", length)]
     ready = examples.select(
         *[F.col(f"`{c}`") for c in kept],
         long(length, None).alias("length"),

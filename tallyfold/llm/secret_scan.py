@@ -120,7 +120,7 @@ def scan(
     and verdicts both need them.
     """
     kept = [c for c in df.columns if c != into] if carry is None else list(carry)
-    row, found = fresh(df, "row", "found")
+    row, found, own, repo, row_of, spans_of = fresh(df, "row", "found", "owner_of", "repository_of", "row_of", "spans_of")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = [
         _spans(t, PATTERNS["assign"], 0, f"^{_NAME}"),
@@ -128,17 +128,16 @@ def scan(
         _spans(t, PATTERNS["hex"], 2),
     ]
     spans = F.concat(*base, _candidates(t))
-    own, repo = fresh(df, "owner", "repository")
     scanned = df.select(
         *[F.col(f"`{c}`") for c in kept],
-        F.col(f"`{owner}`").cast("string").alias("_owner_" + own),
-        F.col(f"`{repository}`").cast("string").alias("_repo_" + repo),
+        F.col(f"`{owner}`").cast("string").alias(own),
+        F.col(f"`{repository}`").cast("string").alias(repo),
         F.monotonically_increasing_id().alias(row),
         spans.alias(found),
     )
     scanned = materialize(scanned, "scanned")
     each = scanned.select(
-        F.col(row).alias("row"), F.col("_owner_" + own).alias("owner"), F.col("_repo_" + repo).alias("repo"), F.explode(found).alias("s")
+        F.col(row).alias("row"), F.col(own).alias("owner"), F.col(repo).alias("repo"), F.explode(found).alias("s")
     )
     # distinct holders first, so a value repeated in most documents is a few rows here
     holders = each.select(F.col("s.hash").alias("hash"), "owner", "repo").distinct()
@@ -150,13 +149,13 @@ def scan(
     one = F.struct("start", "kind", "end", "owners", "repositories")
     per_row = judged.groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("spans"))
     per_row = per_row.select(
-        F.col("row").alias("_row_of"),
-        F.transform("spans", lambda s: s.withField("kind", F.get(names, s["kind"]))).alias("_spans_of"),
+        F.col("row").alias(row_of),
+        F.transform("spans", lambda s: s.withField("kind", F.get(names, s["kind"]))).alias(spans_of),
     )
     # rows without any span, mostly the bulk, need no join
     nothing = F.array().cast("array<struct<start:bigint,kind:string,end:bigint,owners:bigint,repositories:bigint>>")
-    hit = scanned.filter(F.size(found) > 0).join(per_row, F.col(row) == F.col("_row_of"), "left")
-    hit = hit.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col("_spans_of"), nothing).alias(into))
+    hit = scanned.filter(F.size(found) > 0).join(per_row, F.col(row) == F.col(row_of), "left")
+    hit = hit.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(spans_of), nothing).alias(into))
     clean = scanned.filter(F.size(found) == 0)
     return hit.unionAll(clean.select(*[F.col(f"`{c}`") for c in kept], nothing.alias(into)))
 

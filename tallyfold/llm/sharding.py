@@ -25,24 +25,27 @@ def _seeded(seed: int, keys: Sequence[str]) -> Column:
     return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 16)
 
 
-def _places(df: DataFrame, part: Sequence[str], bucket: str, order: Sequence[Column], name: str) -> DataFrame:
-    """Add ``name``: a row's 0-based place in its part, given a bucket that ascends with ``order``."""
-    counts = df.groupBy(*part, bucket).agg(F.count(F.lit(1)).alias("_rows"))
+def _places(df: DataFrame, part: Sequence[str], bucket: str, order: Sequence[Column], name: str, of: str) -> DataFrame:
+    """Add ``name``, a row's 0-based place in its part, and ``of``, the rows of the part.
+
+    ``bucket`` must ascend with ``order``; each is sorted on its own, and a small
+    table says where it starts.
+    """
+    rows, start, *own = fresh(df, "rows", "start", "bucket_of", *[f"part{i}" for i in range(len(part))])
+    counts = df.groupBy(*part, bucket).agg(F.count(F.lit(1)).alias(rows))
     w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
     before = w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        *[F.col(p).alias(f"_p{i}") for i, p in enumerate(part)],
-        F.col(bucket).alias("_bucket"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-        F.sum("_rows").over(w).alias(f"{name}_of"),
+        *[F.col(p).alias(o) for p, o in zip((bucket, *part), own, strict=True)],
+        F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(start),
+        F.sum(rows).over(w).alias(of),
     )
     inside = Window.partitionBy(*part, bucket).orderBy(*order)
     local = df.withColumn(name, F.row_number().over(inside) - 1)
-    on = F.col(bucket) == F.col("_bucket")
-    for i, p in enumerate(part):
-        on = on & F.col(p).eqNullSafe(F.col(f"_p{i}"))
-    out = local.join(starts, on).withColumn(name, F.col(name) + F.col("_start"))
-    return out.drop("_bucket", "_start", *[f"_p{i}" for i in range(len(part))])
+    on = F.col(bucket) == F.col(own[0])
+    for p, o in zip(part, own[1:], strict=True):
+        on = on & F.col(p).eqNullSafe(F.col(o))
+    return local.join(starts, on).withColumn(name, F.col(name) + F.col(start)).drop(start, *own)
 
 
 def interleave(
@@ -67,20 +70,19 @@ def interleave(
     df = df.drop("shard", "slot")
     total = df.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
-    s, h, b, r, f, g = fresh(df, "source_key", "hash", "bucket", "rank", "fraction", "place")
+    s, h, b, r, n, f, g, all_rows = fresh(df, "source_key", "hash", "bucket", "rank", "ranks", "fraction", "place", "places")
     df = df.withColumns({s: F.col(f"`{source}`"), h: _seeded(seed, keys)})
     high = F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
     df = df.withColumn(b, F.shiftright(high * buckets, 32))
     order = [F.col(h), *[F.col(f"`{c}`").asc_nulls_first() for c in (*keys, *ties)]]
     # read twice below, by the counts and by the ranks; so is what follows
-    ranked = _places(materialize(df, "shuffled"), [s], b, order, r)
-    n = F.col(f"{r}_of")
+    ranked = _places(materialize(df, "shuffled"), [s], b, order, r, n)
     odd = 2 * F.col(r) + 1
-    ranked = ranked.withColumns({f: odd / (2 * n), b: F.expr(f"(2 * `{r}` + 1) * {buckets}L div (2 * `{r}_of`)")})
-    ranked = materialize(ranked.drop(h, r, f"{r}_of"), "ranked")
-    placed = _places(ranked, [], b, [F.col(f), F.col(s).asc_nulls_first()], g)
+    ranked = ranked.withColumns({f: odd / (2 * F.col(n)), b: F.expr(f"(2 * `{r}` + 1) * {buckets}L div (2 * `{n}`)")})
+    ranked = materialize(ranked.drop(h, r, n), "ranked")
+    placed = _places(ranked, [], b, [F.col(f), F.col(s).asc_nulls_first()], g, all_rows)
     shard = F.expr(f"`{g}` * {shards}L div {max(total, 1)}L")
     placed = placed.withColumn("shard", shard.cast("int"))
     # first place of a shard: ceil(shard * total / shards)
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
-    return placed.withColumn("slot", F.col(g) - first).drop(s, b, f, g, f"{g}_of")
+    return placed.withColumn("slot", F.col(g) - first).drop(s, b, f, g, all_rows)

@@ -59,6 +59,8 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of letters and digits, in lower case; null is empty. Two
     different words share a hash with probability about 2 ** -60.
     """
+    if len(texts) == 0:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
     if pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.string()) if texts.nbytes < (1 << 30) else texts
     texts = pc.fill_null(texts, "")
@@ -69,7 +71,7 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     wide = pa.types.is_large_string(texts.type)
     buffers = texts.buffers()
     ends = np.frombuffer(buffers[1], dtype=np.int64 if wide else np.int32, count=len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64)
-    if len(texts) == 0 or ends[-1] == ends[0]:
+    if ends[-1] == ends[0]:
         return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(buffers[2], dtype=np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
