@@ -1,18 +1,17 @@
-"""Ranks, differences and last rows inside ordered groups, safe for huge groups.
-
-A Spark window brings every row of a partition key to one task. That is right
-while groups are small against a task, and wrong when one key holds a large
-share of all rows. ``ordered_scan`` therefore estimates the group sizes first:
-
-* no group above ``group_rows`` (the usual case): plain window functions;
-* otherwise the large groups, and only those, are cut along their order into
-  slices. Each slice is an own window partition, and a table with one row per
-  slice of a large group carries counts, sums, last values and maxima across
-  the cuts. The result is the same as that of the plain window.
-
-The slice bounds come from a sample chosen by a hash of the order columns, so
-a task that is run again finds the same bounds. The sample only chooses where
-to cut; every row is kept.
+"""Ranks, differences and last rows inside ordered groups.
+
+A Spark window brings every row of a partition key to one task. That is the
+plain plan, right where groups are known to be small against a task. Where one
+key may hold a large share of all rows, ask for ``slices``: the table is dealt by
+range of (group, order) into that many partitions, by Spark's own range
+partitioning, so a large group is cut along its order wherever a bound falls.
+Each (group, slice) is a window of its own, and a table of at most two rows per
+bound carries counts, sums, last values and maxima across the cuts. The result
+is that of the plain plan; the tests compare both with brute force.
+
+Nothing runs while the plan is built. The sliced table is kept on the executors'
+disks (``persist``), as rows and carries must see the same bounds; a lost part is
+computed again by the same bounds. ``spark.catalog.clearCache()`` releases it.
 """
 
 from __future__ import annotations
@@ -20,91 +19,23 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import cycle_position, remap
-from ..session import cut_lineage
 from .joins import left
 
-#: rows of one group that a single task sorts without trouble
-GROUP_ROWS = 2_000_000
-#: how often a group of that size shows in the sample of keys
-SAMPLED_ROWS = 2_000
-#: at most this many groups are cut, into less than twice as many slices
-MAX_LARGE = 10_000
-#: sampled bounds per slice aimed at: evens out the slices
-BOUNDS_PER_SLICE = 4
-_HASH_RANGE = 1 << 40
-
 
 def _null_safe(a: str, b: str, keys: Sequence[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
 
 
-def _large_groups(df: DataFrame, part: Sequence[str], group_rows: float) -> DataFrame | None:
-    """The keys of the large groups with their size and slice size; None if there are none.
-
-    Sizes are estimated from a sample of the key columns alone, drawn so that a
-    group of ``group_rows`` rows shows ``SAMPLED_ROWS`` times: one column-pruned
-    pass that shuffles next to nothing. The driver gets at most ``MAX_LARGE``
-    keys. The slice size grows with the data, so that the slices of all groups
-    together stay below twice ``MAX_LARGE``.
-    """
-    if group_rows == float("inf"):
-        return None
-    keys = df.select(*part)
-    fraction = min(1.0, SAMPLED_ROWS / group_rows)
-    if fraction < 1.0:
-        keys = keys.sample(fraction, seed=17)
-    sizes = keys.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_rows * fraction)
-    found = sizes.orderBy(F.col("_n").desc()).limit(MAX_LARGE).collect()
-    limit = max(group_rows, sum(r["_n"] for r in found) / fraction / MAX_LARGE)
-    large = [(*r[:-1], int(r["_n"] / fraction), int(limit)) for r in found if r["_n"] / fraction > limit]
-    if not large:
-        return None
-    sized = [T.StructField("_n", T.LongType()), T.StructField("_limit", T.LongType())]
-    return df.sparkSession.createDataFrame(large, T.StructType([*keys.schema.fields, *sized]))
-
-
-def _slice_bounds(
-    df: DataFrame, part: Sequence[str], order: Sequence[str], group_rows: float
-) -> DataFrame | None:
-    """Per large group an ascending array of bounds; None if no group is large."""
-    large = _large_groups(df, part, group_rows)
-    if large is None:
-        return None
-    share = BOUNDS_PER_SLICE * F.ceil(F.col("_n") / F.col("_limit")) / F.col("_n")
-    large = large.withColumn("_keep_below", F.least(F.lit(1.0), share) * _HASH_RANGE)
-    drawn = df.select(*part, *order).alias("a").join(
-        F.broadcast(large).alias("b"), _null_safe("a", "b", part), "inner"
-    )
-    place = F.pmod(F.xxhash64(*[F.col(f"a.{c}") for c in order]), F.lit(_HASH_RANGE))
-    bounds = drawn.filter(place < F.col("_keep_below")).groupBy(*[F.col(f"a.{k}").alias(k) for k in part]).agg(
-        # a set: copies of one order value count once, so the array stays short
-        F.sort_array(F.collect_set(_place([f"a.{c}" for c in order]))).alias("_bounds")
-    )
-    # every _step-th bound is looked at first: two short searches instead of one long one
-    bounds = bounds.withColumn("_step", F.ceil(F.sqrt(F.size("_bounds"))).cast("int"))
-    return cut_lineage(bounds.withColumn("_heads", F.expr("filter(_bounds, (x, i) -> i % _step = 0)")))
-
-
 def _place(order: Sequence[str]) -> Column:
     """A row's place in its group as one comparable value."""
     return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 
 
-def _with_slice(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add ``_slice``: how many bounds lie at or below the row (0 in a group without bounds)."""
-    at_or_below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= _place(order)))
-    start = (F.col("_block") - 1) * F.col("_step")
-    df = df.withColumn("_block", F.when(F.col("_bounds").isNull(), 0).otherwise(at_or_below(F.col("_heads"))))
-    inside = at_or_below(F.slice("_bounds", start + 1, F.col("_step")))
-    df = df.withColumn("_slice", F.when(F.col("_block") == 0, 0).otherwise(start + inside))
-    return df.withColumn("_cut", F.col("_bounds").isNotNull()).drop("_block", "_step", "_heads", "_bounds")
-
-
 def ordered_scan(
     df: DataFrame,
     part: Sequence[str],
@@ -114,7 +45,7 @@ def ordered_scan(
     previous: Mapping[str, str] | None = None,
     sum_before: Mapping[str, str] | None = None,
     group_max: Mapping[str, str] | None = None,
-    group_rows: float | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add columns that depend on a row's place in its ordered group.
 
@@ -123,70 +54,64 @@ def ordered_scan(
     column summed over all preceding rows (0 on the first). ``group_max``: new
     name -> column, its maximum over the whole group. ``order`` (ascending)
     must be unique inside a group for everything but ``group_max``.
-    An empty ``part`` makes the whole table one group. ``group_rows=inf`` skips
-    the look at the group sizes where the caller knows them to be small.
+    An empty ``part`` makes the whole table one group. ``slices``: see above;
+    None is the plain plan.
     """
-    group_rows = GROUP_ROWS if group_rows is None else group_rows
     previous, sum_before, group_max = dict(previous or {}), dict(sum_before or {}), dict(group_max or {})
     if not part:
         whole = df.withColumn("_all", F.lit(0))
         return ordered_scan(
             whole, ["_all"], order, row_number=row_number, previous=previous,
-            sum_before=sum_before, group_max=group_max, group_rows=group_rows,
+            sum_before=sum_before, group_max=group_max, slices=slices,
         ).drop("_all")
-
-    bounds = _slice_bounds(df, part, order, group_rows)
     keys = list(part)
-    if bounds is not None:
-        df = (
-            df.alias("a")
-            .join(F.broadcast(bounds).alias("b"), _null_safe("a", "b", part), "left")
-            .select("a.*", "b._bounds", "b._heads", "b._step")
-        )
-        df = _with_slice(df, order)
+    if slices:
+        dealt = df.repartitionByRange(slices, *part, *order)
+        df = dealt.withColumn("_slice", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
         keys = [*part, "_slice"]
 
     w = Window.partitionBy(*keys).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*keys)
     new = {}
-    if row_number or bounds is not None:
+    if row_number or slices:
         new[row_number or "_place"] = F.row_number().over(w).cast("long")
     new |= {name: F.lag(c).over(w) for name, c in previous.items()}
     new |= {name: F.coalesce(F.sum(c).over(before), F.lit(0)) for name, c in sum_before.items()}
     new |= {name: F.max(c).over(group) for name, c in group_max.items()}
     local = df.withColumns(new)
-    if bounds is None:
+    if not slices:
         return local
     return _carry(df, local, part, order, row_number, previous, sum_before, group_max)
 
 
 def _carry(df, local, part, order, row_number, previous, sum_before, group_max) -> DataFrame:
-    """Add what the earlier slices of a large group contribute."""
+    """Add what the other slices of a cut group contribute."""
     place = row_number or "_place"
-    edges = df.filter("_cut").groupBy(*part, "_slice").agg(
+    edges = df.groupBy(*part, "_slice").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.max_by(F.struct(F.lit(0).alias("_x"), *[F.col(c).alias(f"_last_{n}") for n, c in previous.items()]),
                  _place(order)).alias("_last"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_sum_{n}") for n, c in sum_before.items()],
         *[F.max(c).alias(f"_max_{n}") for n, c in group_max.items()],
     )
-    # one row per slice of a large group: bounded by MAX_LARGE, not by the data
     w = Window.partitionBy(*part).orderBy("_slice")
     before, group = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*part)
     carry = edges.select(
         *part,
         "_slice",
+        F.count(F.lit(1)).over(group).alias("_slices"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_c_rows"),
         F.lag("_last").over(w).alias("_c_last"),
         *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_c_sum_{n}") for n in sum_before],
         *[F.max(f"_max_{n}").over(group).alias(f"_c_max_{n}") for n in group_max],
     )
-    out = local.alias("a").join(
-        F.broadcast(carry).alias("b"), _null_safe("a", "b", [*part, "_slice"]), "left"
-    )
+    # a bound cuts one group at most, and a group in k slices is cut k - 1 times:
+    # no more than two rows per bound, whatever the data
+    carry = F.broadcast(carry.filter("_slices > 1"))
+    out = local.alias("a").join(carry.alias("b"), _null_safe("a", "b", [*part, "_slice"]), "left")
     fresh = {place, *previous, *sum_before, *group_max}
-    cols = [F.col(f"a.{c}") for c in local.columns if c not in fresh and c not in ("_cut", "_slice")]
+    cols = [F.col(f"a.{c}") for c in local.columns if c not in fresh and c != "_slice"]
     started = F.col(f"a.{place}") == 1
     if row_number:
         cols.append((F.col(f"a.{place}") + F.coalesce(F.col("_c_rows"), F.lit(0))).alias(place))
@@ -196,35 +121,34 @@ def _carry(df, local, part, order, row_number, previous, sum_before, group_max)
     for n in sum_before:
         cols.append((F.col(f"a.{n}") + F.coalesce(F.col(f"_c_sum_{n}"), F.lit(0))).alias(n))
     for n in group_max:
-        # carried only for large groups; elsewhere the slice is the group
-        cols.append(F.when(F.col("a._cut"), F.col(f"_c_max_{n}")).otherwise(F.col(f"a.{n}")).alias(n))
+        # carried only for cut groups; elsewhere the slice is the group
+        cols.append(F.when(F.col("_slices").isNotNull(), F.col(f"_c_max_{n}")).otherwise(F.col(f"a.{n}")).alias(n))
     return out.select(*cols)
 
 
 def competition_rank(
-    df: DataFrame, part: Sequence[str], order: Sequence[str], name: str = "rank", group_rows: float | None = None
+    df: DataFrame, part: Sequence[str], order: Sequence[str], name: str = "rank", slices: int | None = None
 ) -> DataFrame:
     """1 + the number of rows ordered before this one; ties share a rank.
 
-    If a group is large, rows are first counted per order value, so even many
-    ties of one value reach the scan as one row; the ranks then join back, with
-    AQE splitting a frequent value.
+    With ``slices``, rows are first counted per order value, so even many ties
+    of one value reach the scan as one row; the ranks then join back, with AQE
+    splitting a frequent value.
     """
-    group_rows = GROUP_ROWS if group_rows is None else group_rows
-    if _large_groups(df, part, group_rows) is None:
+    if not slices:
         return df.withColumn(name, F.rank().over(Window.partitionBy(*part).orderBy(*order)).cast("long"))
     keys = [*part, *order]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ties"))
-    ranks = ordered_scan(counts, part, order, sum_before={name: "_ties"}, group_rows=group_rows)
+    ranks = ordered_scan(counts, part, order, sum_before={name: "_ties"}, slices=slices)
     ranks = ranks.select(*keys, (F.col(name) + 1).alias(name))
     return left(df, ranks, on=keys, null_safe=True)
 
 
 def cyclic_rank(
-    df: DataFrame, part: Sequence[str], order: Sequence[str], n: int, name: str, group_rows: float | None = None
+    df: DataFrame, part: Sequence[str], order: Sequence[str], n: int, name: str, slices: int | None = None
 ) -> DataFrame:
     """Place 1..n of each row when the ranks of a group go round a cycle of ``n``."""
-    ranked = competition_rank(df, part, order, "_rank", group_rows)
+    ranked = competition_rank(df, part, order, "_rank", slices)
     return ranked.withColumn(name, cycle_position("_rank", n)).drop("_rank")
 
 
@@ -238,7 +162,7 @@ def state_change(
     first: int = 0,
     last_by: str | None = None,
     on_last: Column | None = None,
-    group_rows: float | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Difference of ``state`` to the preceding row of the group.
 
@@ -254,7 +178,7 @@ def state_change(
         row_number="_nth",
         previous={"_before": state},
         group_max={"_final": last_by} if last_by else None,
-        group_rows=group_rows,
+        slices=slices,
     )
     change = F.when(F.col("_nth") == 1, F.lit(first)).otherwise(F.col(state) - F.col("_before"))
     out = scanned.withColumn(name, change)
@@ -266,12 +190,10 @@ def state_change(
     return out.drop("_nth", "_before", "_final")
 
 
-def surrogate_key(
-    df: DataFrame, key: Sequence[str], prefix: str, name: str, group_rows: float | None = None
-) -> DataFrame:
+def surrogate_key(df: DataFrame, key: Sequence[str], prefix: str, name: str, slices: int) -> DataFrame:
     """``prefix_1``, ``prefix_2``, ... in the order of a unique key.
 
-    A small table is numbered in one task, a larger one slice by slice.
+    The whole table is one ordered group, so it is always numbered slice by slice.
     """
-    numbered = ordered_scan(df, [], key, row_number="_number", group_rows=group_rows)
+    numbered = ordered_scan(df, [], key, row_number="_number", slices=slices)
     return numbered.withColumn(name, F.concat_ws("_", F.lit(prefix), F.col("_number"))).drop("_number")

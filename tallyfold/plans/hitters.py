@@ -54,6 +54,38 @@ def clean_events(pitches: DataFrame, seasons: Sequence[int] | None = None) -> Da
     )
 
 
+def _hitting_rates(rounding: str, on_zero: str, factor: Column | None = None) -> tuple[dict, dict]:
+    """Rates from counts, and rates from these, already rounded.
+
+    ``factor`` divides SLG and multiplies what OPS and ISO are made of.
+    """
+    factor = F.lit(1.0) if factor is None else factor
+
+    def rate(num: Column, den: Column) -> Column:
+        return round_to(ratio(num, den, on_zero), 3, rounding)
+
+    rates = {
+        "PA_PG": rate(c("PA"), c("games")),
+        "BA": rate(c("H"), c("AB")),
+        "OBP": rate(c("H") + c("BB") + c("HBP"), c("AB") + c("BB") + c("HBP") + c("SF")),
+        "SLG": rate(c("TB"), c("AB") * factor),
+        "BABIP": rate(c("H") - c("HR"), c("AB") - c("SO") - c("HR") + c("SF")),
+        "K_perc": rate(c("SO"), c("PA")),
+        "BB_perc": rate(c("BB"), c("PA")),
+        "HR_perc": rate(c("HR"), c("PA")),
+        "RC": rate((c("H") + c("BB")) * c("TB"), c("PA")),
+        "Contact_perc": rate(c("AB") - c("SO"), c("AB")),
+        "BB_K_ratio": rate(c("BB"), c("SO")),
+        "XBH_perc": rate(c("XBH"), c("H")),
+    }
+    from_rates = {
+        "OPS": round_to(c("OBP") * factor + c("SLG") * factor, 3, rounding),
+        "ISO": round_to(c("SLG") * factor - c("BA") * factor, 3, rounding),
+        "RC_per_PA": rate(c("RC"), c("PA")),
+    }
+    return rates, from_rates
+
+
 def batter_lines(
     clean: DataFrame,
     keys: Sequence[str] = ("batter", "year"),
@@ -66,9 +98,6 @@ def batter_lines(
     ``extra`` adds aggregates of the same rows to the same pass.
     """
 
-    def rate(num: Column, den: Column) -> Column:
-        return round_to(ratio(num, den, on_zero), 3, rounding)
-
     def events(*names: str) -> Column:
         return count_where(is_in("events", names))
 
@@ -92,26 +121,7 @@ def batter_lines(
         "XBH": c("Doubles") + c("Triples") + c("HR"),
         "TB": c("Singles") + 2 * c("Doubles") + 3 * c("Triples") + 4 * c("HR"),
     }
-    rates = {
-        "PA_PG": rate(c("PA"), c("games")),
-        "BA": rate(c("H"), c("AB")),
-        "OBP": rate(c("H") + c("BB") + c("HBP"), c("AB") + c("BB") + c("HBP") + c("SF")),
-        "SLG": rate(c("TB"), c("AB")),
-        "BABIP": rate(c("H") - c("HR"), c("AB") - c("SO") - c("HR") + c("SF")),
-        "K_perc": rate(c("SO"), c("PA")),
-        "BB_perc": rate(c("BB"), c("PA")),
-        "HR_perc": rate(c("HR"), c("PA")),
-        "RC": rate((c("H") + c("BB")) * c("TB"), c("PA")),
-        "Contact_perc": rate(c("AB") - c("SO"), c("AB")),
-        "BB_K_ratio": rate(c("BB"), c("SO")),
-        "XBH_perc": rate(c("XBH"), c("H")),
-    }
-    # these start from rates that are already rounded
-    from_rates = {
-        "OPS": round_to(c("OBP") + c("SLG"), 3, rounding),
-        "ISO": round_to(c("SLG") - c("BA"), 3, rounding),
-        "RC_per_PA": rate(c("RC"), c("PA")),
-    }
+    rates, from_rates = _hitting_rates(rounding, on_zero)
     counts |= dict(extra or {})
     return agg_then_derive(clean.filter(c("events").isNotNull()), keys, counts, totals, rates, from_rates)
 
@@ -127,8 +137,15 @@ def season_weight(year: str, seasons: Sequence[int], weights: Sequence[float] =
 def with_age(
     df: DataFrame, people: DataFrame, on: str, year: Column | str = "year", person: str = "player_mlb_id"
 ) -> DataFrame:
-    """Birth date and completed years on 1 April of the season."""
-    births = people.select(person, c("birthDate").cast("date").alias("birthDate"))
+    """Birth date and completed years on 1 April of the season.
+
+    A person listed twice raises while the query runs.
+    """
+    births = people.filter(c(person).isNotNull()).groupBy(person).agg(
+        F.count(F.lit(1)).alias("_listed"), F.max(c("birthDate").cast("date")).alias("birthDate")
+    )
+    twice = F.concat(F.lit(f"more than one row of people with {person} = "), c(person).cast("string"))
+    births = births.filter(F.when(c("_listed") > 1, F.raise_error(twice).cast("boolean")).otherwise(F.lit(True))).drop("_listed")
     season = F.col(year) if isinstance(year, str) else year
     return left(df, births, left_on=[on], right_on=[person]).withColumn(
         "age", completed_years("birthDate", F.make_date(season, F.lit(4), F.lit(1)))
@@ -139,12 +156,12 @@ def _spot_names(spots: int) -> dict[int, str]:
     return {i: f"spot{i:02d}" for i in range(1, spots + 1)}
 
 
-def lineup_spots(clean: DataFrame, spots: int = 9, group_rows: float | None = None) -> DataFrame:
+def lineup_spots(clean: DataFrame, spots: int = 9, slices: int | None = None) -> DataFrame:
     """How often a batter took each lineup spot in a season, and the mean spot."""
     at_bats = clean.filter(longer_than("events", 2)).select(
         "game_pk", "inning_topbot", "at_bat_number", "batter", "year"
     )
-    placed = cyclic_rank(at_bats, ["game_pk", "inning_topbot"], ["at_bat_number"], spots, "spot", group_rows)
+    placed = cyclic_rank(at_bats, ["game_pk", "inning_topbot"], ["at_bat_number"], spots, "spot", slices)
     names = _spot_names(spots)
     counted = counts_by_code(placed, ["batter", "year"], "spot", names)
     counted = counted.withColumn("AB", horizontal_sum(list(names.values())))
@@ -153,7 +170,7 @@ def lineup_spots(clean: DataFrame, spots: int = 9, group_rows: float | None = No
 
 
 def batter_seasons(
-    clean: DataFrame, people: DataFrame, spots: int = 9, group_rows: float | None = None, **lines
+    clean: DataFrame, people: DataFrame, spots: int = 9, slices: int | None = None, **lines
 ) -> DataFrame:
     """The hitters' feature table: season line, age and mean lineup spot.
 
@@ -163,7 +180,7 @@ def batter_seasons(
     """
     needed = ["game_pk", "inning_topbot", "at_bat_number", "batter", "year", "game_date", "events"]
     ended = clean.filter(c("events").isNotNull()).select(*needed, longer_than("events", 2).alias("_listed"))
-    placed = cyclic_rank(ended, ["game_pk", "inning_topbot", "_listed"], ["at_bat_number"], spots, "spot", group_rows)
+    placed = cyclic_rank(ended, ["game_pk", "inning_topbot", "_listed"], ["at_bat_number"], spots, "spot", slices)
     names = _spot_names(spots)
     taken = {n: count_where((c("spot") == i) & c("_listed")) for i, n in names.items()}
     table = batter_lines(placed, extra=taken, **lines)
@@ -192,10 +209,6 @@ def decay_weighted(
     """
     if variant not in ("corrected", "faithful"):
         raise ValueError(f"unknown variant {variant!r}")
-
-    def rate(num: Column, den: Column) -> Column:
-        return round_to(ratio(num, den), 3, rounding)
-
     counted = ["games", "PA", "H", "Singles", "Doubles", "Triples", "HR", "SO", "BB", "HBP", "SF", "SB", "CI", "AB", "XBH", "TB"]
     weighted = lines.withColumn("weight", season_weight("year", seasons, weights))
     weighted = weighted.filter(c("weight").isNotNull())
@@ -203,28 +216,20 @@ def decay_weighted(
     sums["_W"] = F.sum("weight").cast("double")
     sums["PA_PG"] = weighted_sum(c("PA_PG").cast("decimal(20,3)"), "weight").cast("double")
     factor = c("_W") if variant == "faithful" else F.lit(1.0)
-    rates = {
-        "PA_PG": round_to("PA_PG", 3, rounding) if variant == "faithful" else rate(c("PA"), c("games")),
-        "BA": rate(c("H"), c("AB")),
-        "OBP": rate(c("H") + c("BB") + c("HBP"), c("AB") + c("BB") + c("HBP") + c("SF")),
-        "SLG": rate(c("TB"), c("AB") * factor),
-        "BABIP": rate(c("H") - c("HR"), c("AB") - c("SO") - c("HR") + c("SF")),
-        "K_perc": rate(c("SO"), c("PA")),
-        "BB_perc": rate(c("BB"), c("PA")),
-        "HR_perc": rate(c("HR"), c("PA")),
-        "RC": rate((c("H") + c("BB")) * c("TB"), c("PA")),
-        "Contact_perc": rate(c("AB") - c("SO"), c("AB")),
-        "BB_K_ratio": rate(c("BB"), c("SO")),
-        "XBH_perc": rate(c("XBH"), c("H")),
-    }
-    from_rates = {
-        "OPS": round_to(c("OBP") * factor + c("SLG") * factor, 3, rounding),
-        "ISO": round_to(c("SLG") * factor - c("BA") * factor, 3, rounding),
-        "RC_per_PA": rate(c("RC"), c("PA")),
-    }
+    rates, from_rates = _hitting_rates(rounding, "null", factor)
+    if variant == "faithful":
+        rates["PA_PG"] = round_to("PA_PG", 3, rounding)
     return agg_then_derive(weighted, ["batter"], sums, rates, from_rates).drop("_W")
 
 
+def next_season_table(
+    lines: DataFrame, people: DataFrame, seasons: Sequence[int], weights: Sequence[float] = codes.SEASON_WEIGHTS, **how
+) -> DataFrame:
+    """``decay_weighted`` with the season it stands for, birth date and age in it."""
+    out = decay_weighted(lines, seasons, weights, **how).withColumn("year", F.lit(seasons[-1] + 1))
+    return with_age(out, people, "batter")
+
+
 def complete_hitters(seasons_table: DataFrame) -> DataFrame:
     """Rows a model can use: infinities made missing, incomplete rows dropped."""
     return drop_incomplete(inf_to_null(seasons_table))

@@ -19,14 +19,15 @@ from . import codes
 c = F.col
 
 
-def pitch_type_games(clean: DataFrame, launch_speed: str = "launch_speed") -> DataFrame:
+def pitch_type_games(clean: DataFrame, launch_speed: str = "launch_speed", strict_null: bool = False) -> DataFrame:
     """One row per pitcher, season, game and pitch type: 27 means, 12 counters.
 
-    ``launch_speed`` names the column averaged under that name.
+    ``launch_speed`` names the column averaged under that name. With
+    ``strict_null`` a counter is missing where any of its inputs is.
     """
     means = codes.GAME_MEANS | {"launch_speed": launch_speed}
     aggs = {name: F.avg(source) for name, source in means.items()}
-    aggs |= {name: count_where(c(source) == value) for name, (source, value) in codes.GAME_COUNTERS.items()}
+    aggs |= {name: count_where(c(source) == value, strict_null) for name, (source, value) in codes.GAME_COUNTERS.items()}
     return agg_then_derive(
         clean, ["pitcher", "year", "game_pk", "pitch_type"], aggs, {"pitches_thrown": horizontal_sum(codes.PITCHES_THROWN)}
     )
@@ -60,7 +61,7 @@ def outs_recorded(
     event: str = "raw_events",
     missing_event: str = "keep",
     order: Sequence[str] = ("pitch_number_appearance",),
-    group_rows: float | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add ``out_diff``: the outs each pitch brought, from the outs counter.
 
@@ -89,7 +90,7 @@ def outs_recorded(
         first=0,
         last_by="pitch_number_appearance",
         on_last=last,
-        group_rows=group_rows,
+        slices=slices,
     )
 
 
@@ -99,13 +100,13 @@ def pitcher_lines(
     missing_event: str = "keep",
     order: Sequence[str] = ("pitch_number_appearance",),
     on_zero: str = "ieee",
-    group_rows: float | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """One row per pitcher, role and season: innings, counts and rates, batters faced."""
     needed = ["pitcher", "game_pk", "role_key", "year", "outs_when_up", "events", "bat_score", "post_bat_score",
               "pitcher_at_bat_number", "pitch_number_appearance", event]
     pitches = clean.select(*dict.fromkeys([*needed, *order]))
-    pitches = outs_recorded(pitches, event, missing_event, order, group_rows)
+    pitches = outs_recorded(pitches, event, missing_event, order, slices)
     counters = {
         "_outs": F.sum("out_diff"),
         "_on_base": count_where(is_in("events", ["walk", *codes.HITS])),

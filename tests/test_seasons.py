@@ -75,11 +75,11 @@ def test_age(spark):
     assert [r["age"] for r in as_dicts(with_age(lines, people, "batter"), "batter")] == [31, 30, 29, None]
 
 
-@pytest.mark.parametrize("group_rows", [None, 5])
-def test_lineup_spots(spark, group_rows):
+@pytest.mark.parametrize("slices", [None, 5])
+def test_lineup_spots(spark, slices):
     at_bats = [(D(2021, 5, 1), 1, (i - 1) % 9 + 1, "Top", i, "field_out") for i in range(1, 20)]
     at_bats += [(D(2021, 5, 1), 1, 99, "Bot", 3, "single")]
-    got = as_dicts(lineup_spots(clean_events(spark.createDataFrame(at_bats, EVENTS)), group_rows=group_rows), "batter")
+    got = as_dicts(lineup_spots(clean_events(spark.createDataFrame(at_bats, EVENTS)), slices=slices), "batter")
     assert [r["weighted_spot_avg"] for r in got] == [pytest.approx(i) for i in range(1, 10)] + [1.0]
     assert got[0]["spot01"] == 3 and got[0]["AB"] == 3 and got[0]["spot01_per"] == 100.0
 
@@ -125,10 +125,10 @@ def outs(df, **kw):
     return [r["out_diff"] for r in as_dicts(outs_recorded(clean_events(df), **kw), "pitch_number_appearance")]
 
 
-@pytest.mark.parametrize("group_rows", [None, 2])
-def test_outs_inside_an_appearance(spark, group_rows):
+@pytest.mark.parametrize("slices", [None, 2])
+def test_outs_inside_an_appearance(spark, slices):
     df = appearance(spark, [0, 1, 2, 0, 2, 1, None, 1, 1])
-    assert outs(df, group_rows=group_rows) == [0, 1, 1, 1, 2, 2, None, None, 0]
+    assert outs(df, slices=slices) == [0, 1, 1, 1, 2, 2, None, None, 0]
 
 
 @pytest.mark.parametrize(
@@ -206,3 +206,11 @@ def test_hitter_projection_ages_the_player(spark):
     assert hitters.count() == 3
     row = as_dicts(project_hitters(hitters, people, (2021, 2022, 2023)))[0]
     assert row["age"] == 34 and row["SF"] == pytest.approx(1.0) and row["TB"] == pytest.approx(3.0)
+
+
+def test_a_person_listed_twice_raises(spark):
+    who = spark.createDataFrame([(1, "1990-04-01"), (1, "1991-04-01"), (None, "1990-01-01"), (None, "1990-01-01")], "player_mlb_id long, birthDate string")
+    lines = spark.createDataFrame([(1, 2021)], "batter long, year int")
+    with pytest.raises(Exception, match="more than one row of people"):
+        with_age(lines, who, "batter").collect()
+    assert with_age(lines, who.filter("birthDate < '1991-01-01'"), "batter").first()["age"] == 31

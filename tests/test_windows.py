@@ -38,43 +38,45 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [None, 40, 300])
+@pytest.mark.parametrize("slices", [None, 3, 40])
 @pytest.mark.parametrize("parts", [1, 5])
-def test_ordered_scan(spark, group_rows, parts):
+def test_ordered_scan(spark, slices, parts):
     rows = skewed(parts)
     df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
     out = windows.ordered_scan(
-        df, ["k"], ["o", "id"], row_number="n", previous={"prev": "s"}, sum_before={"run": "v"}, group_max={"top": "v"}, group_rows=group_rows
+        df, ["k"], ["o", "id"], row_number="n", previous={"prev": "s"}, sum_before={"run": "v"}, group_max={"top": "v"}, slices=slices
     )
     assert set(out.columns) == {"k", "o", "id", "s", "v", "n", "prev", "run", "top"}
     got = {r["id"]: (r["n"], r["prev"], r["run"], r["top"]) for r in out.collect()}
     assert got == brute(rows)
 
 
-def test_large_group_is_cut(spark):
-    df = spark.createDataFrame(skewed(), SCHEMA)
-    bounds = windows._slice_bounds(df, ["k"], ["o", "id"], 100)
-    sizes = {r["k"]: len(r["_bounds"]) for r in bounds.collect()}
-    assert set(sizes) == {"hot", "warm", None}
-    assert all(size >= 4 for size in sizes.values())
-    assert windows._slice_bounds(df, ["k"], ["o", "id"], 5000) is None
-    assert windows._slice_bounds(df, ["k"], ["o", "id"], float("inf")) is None
+def test_large_group_is_cut_and_the_carry_is_small(spark):
+    rows = skewed()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    out = windows.ordered_scan(df, ["k"], ["o", "id"], row_number="n", slices=12)
+    # nothing has run yet
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    plan = out._jdf.queryExecution().toString()
+    assert "array" not in plan.lower().replace("arrays", "") and "CartesianProduct" not in plan
+    assert {r["id"]: r["n"] for r in out.collect()} == {i: v[0] for i, v in brute(rows).items()}
 
 
-@pytest.mark.parametrize("group_rows", [None, 50])
-def test_rank_with_ties(spark, group_rows):
+@pytest.mark.parametrize("slices", [None, 7])
+def test_rank_with_ties(spark, slices):
     rows = skewed(3)
     df = spark.createDataFrame(rows, SCHEMA)
-    out = windows.competition_rank(df, ["k"], ["o"], "r", group_rows)
+    out = windows.competition_rank(df, ["k"], ["o"], "r", slices)
     want = {r[2]: 1 + sum(1 for x in rows if x[0] == r[0] and x[1] < r[1]) for r in rows}
     assert {r["id"]: r["r"] for r in out.collect()} == want
 
 
-@pytest.mark.parametrize("group_rows", [None, 50])
-def test_copies_of_one_order_value(spark, group_rows):
+@pytest.mark.parametrize("slices", [None, 7])
+def test_copies_of_one_order_value(spark, slices):
     # a third of the table is one value of one group: ranks stay whole
     rows = [("hot", 7, i, 0, 0) for i in range(500)] + [("hot", i, 1000 + i, 0, 0) for i in range(1000)]
-    out = windows.competition_rank(spark.createDataFrame(rows, SCHEMA), ["k"], ["o"], "r", group_rows)
+    out = windows.competition_rank(spark.createDataFrame(rows, SCHEMA), ["k"], ["o"], "r", slices)
     got = {r["id"]: r["r"] for r in out.collect()}
     assert len(got) == 1500
     assert all(got[i] == 8 for i in range(500)) and got[1007] == 8 and got[1008] == 1 + 8 + 500
@@ -87,19 +89,19 @@ def test_cycle(spark):
     assert spots[18] == spots[19] == (19, 1)  # a tie shares its place
 
 
-@pytest.mark.parametrize("group_rows", [None, 2])
-def test_state_change(spark, group_rows):
+@pytest.mark.parametrize("slices", [None, 2])
+def test_state_change(spark, slices):
     rows = [("g", i, s) for i, s in enumerate([0, 1, 1, 0, None, 2, 0, 2])] + [("one", 0, 2)]
     df = spark.createDataFrame(rows, "g string, o int, s int")
     on_last = F.when(F.col("g") == "one", F.lit(9)).otherwise(F.col("d"))
-    out = windows.state_change(df, ["g"], ["o"], "s", "d", wrap={-1: 2, -2: 1}, last_by="o", on_last=on_last, group_rows=group_rows)
+    out = windows.state_change(df, ["g"], ["o"], "s", "d", wrap={-1: 2, -2: 1}, last_by="o", on_last=on_last, slices=slices)
     got = [r["d"] for r in as_dicts(out, "g", "o")]
     assert got == [0, 1, 0, 2, None, None, 1, 2, 9]
 
 
-@pytest.mark.parametrize("group_rows", [None, 30])
-def test_surrogate_key(spark, group_rows):
+@pytest.mark.parametrize("slices", [1, 30])
+def test_surrogate_key(spark, slices):
     keys = list(range(100, 400, 3))
     random.Random(1).shuffle(keys)
-    out = windows.surrogate_key(spark.createDataFrame([(k,) for k in keys], "k int").repartition(6), ["k"], "p", "id", group_rows)
+    out = windows.surrogate_key(spark.createDataFrame([(k,) for k in keys], "k int").repartition(6), ["k"], "p", "id", slices)
     assert [r["id"] for r in as_dicts(out, "k")] == [f"p_{i}" for i in range(1, 101)]
