@@ -36,11 +36,14 @@ def impute(df: DataFrame, rules: Mapping[str, tuple]) -> DataFrame:
     """Per column: (value for an infinity, value for a missing one).
 
     The value for an infinity may be ``"max"``: the largest finite value of
-    that column, read by a scalar subquery.
+    that column. All of these come from one aggregate over ``df``, beside the
+    rows themselves, so pass a checkpointed table if it is expensive.
     """
     out = {}
+    from_data = [c for c, (cap, _) in rules.items() if cap == "max"]
+    caps = df.agg(F.struct(*[F.max(finite_or_null(c)).alias(c) for c in from_data])).scalar() if from_data else None
     for c, (cap, missing) in rules.items():
-        largest = df.agg(F.max(finite_or_null(c))).scalar() if cap == "max" else F.lit(float(cap))
+        largest = caps.getField(c) if cap == "max" else F.lit(float(cap))
         out[c] = (
             F.when(is_infinite(c), largest)
             .when(F.col(c).isNull() | F.isnan(c), F.lit(float(missing)))

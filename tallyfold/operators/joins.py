@@ -3,7 +3,7 @@
 No join hints a broadcast of a table whose size is unknown: Spark broadcasts a
 side by itself when its measured size is below
 ``spark.sql.autoBroadcastJoinThreshold``, and otherwise sort-merges with AQE
-splitting skewed partitions. ``small`` hints only after measuring the table.
+splitting skewed partitions.
 """
 
 from __future__ import annotations
@@ -14,22 +14,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 << 20
-
-
-def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast if the table really is small; else return it as it is.
-
-    Measures the rows (text by its length, other values as 16 bytes each) and
-    reads no further than ``max_rows + 1`` of them.
-    """
-    width = F.lit(16 * len(df.columns)) + sum(
-        [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")],
-        F.lit(0),
-    )
-    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
-    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
-
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The keys that occur more than once, with their number of rows."""

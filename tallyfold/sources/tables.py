@@ -18,6 +18,21 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: names that writers give a column of row numbers
+INDEX_NAMES = ("", "_c0", "X", "Unnamed: 0")
+_NUMBER = r"(?i)^[+-]?(inf|infinity|nan|\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?)$"
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    """Text columns that hold numbers only, infinities in any spelling, as double: one pass over these columns."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not text:
+        return df
+    value = {t: F.nullif(F.trim(F.col(f"`{t}`")), F.lit("")) for t in text}
+    found = df.agg(*[F.bool_and(value[t].rlike(_NUMBER)).alias(f"c{i}") for i, t in enumerate(text)]).first()
+    return df.withColumns({t: value[t].cast("double") for i, t in enumerate(text) if found[i]})
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -29,12 +44,14 @@ def read_csv(
 
     ``missing``, the empty field and the quoted empty string all become NULL.
     Floating-point fields may spell infinity ``Inf``, ``inf`` or ``Infinity``;
-    anything that is not a number raises instead of turning into NULL.
-    ``drop_index`` drops an unnamed leading index column.
+    anything that is not a number raises instead of turning into NULL. Without
+    a schema a text column whose every value is such a number becomes double.
+    ``drop_index`` drops a leading index column, known by its name: none,
+    ``_c0`` or ``X``; it raises if the first column is called otherwise.
     """
     reader = spark.read.option("header", True).option("nullValue", missing)
     if schema is None:
-        df = reader.option("inferSchema", True).csv(path)
+        df = _numbers(reader.option("inferSchema", True).csv(path))
     else:
         if isinstance(schema, str):
             schema = T.StructType.fromDDL(schema)
@@ -47,6 +64,8 @@ def read_csv(
             {f.name: F.nullif(F.col(f.name), F.lit("")).cast(f.dataType) for f in floating}
         )
     if drop_index:
+        if df.columns[0].strip() not in INDEX_NAMES:
+            raise ValueError(f"the first column, {df.columns[0]!r}, is no index; its name would be one of {INDEX_NAMES}")
         df = df.drop(df.columns[0])
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     return df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in text}) if text else df
@@ -72,7 +91,8 @@ def write_partitioned(
     """Write one table laid out in a folder per value of ``by``.
 
     Takes the place of one file per parameter combination: a reader prunes to
-    the folders it asks for.
+    the folders it asks for. Rows are first gathered by folder, so a folder gets
+    few files; the rebalance splits a folder that holds much of the table.
     """
-    df.write.mode(mode).partitionBy(*by).format(fmt).save(path)
+    df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).format(fmt).save(path)
     return path

@@ -57,18 +57,6 @@ def test_inner_suffix_and_roster(spark):
     assert [(r["k"], r["s"]) for r in as_dicts(full, "k")] == [(1, 12.0), (2, 6.0), (9, 0.0), (9, 0.0)]
 
 
-def test_small_measures_before_hinting(spark):
-    df = spark.range(10).toDF("k")
-    fact = spark.range(5).toDF("k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        assert "BroadcastHashJoin" in plan(fact.join(joins.small(df), "k"))
-        assert "BroadcastHashJoin" not in plan(fact.join(joins.small(df, max_rows=9), "k"))
-        assert "BroadcastHashJoin" not in plan(fact.join(joins.small(df, max_bytes=100), "k"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

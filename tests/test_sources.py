@@ -51,6 +51,42 @@ def test_read_csv_without_schema(spark, tmp_path):
     assert as_dicts(read_csv(spark, str(file)), "k") == [{"k": 1, "x": 2.5, "s": "a"}, {"k": 2, "x": None, "s": None}]
 
 
+def test_infinities_are_guessed(spark, tmp_path):
+    file = tmp_path / "guess.csv"
+    file.write_text("X,k,v,s\n1,1,inf,inf\n2,2,-Inf,a\n3,3,NaN,\n4,4,NA,1.5\n5,5,1e3,b\n")
+    df = read_csv(spark, str(file), drop_index=True)
+    assert dict(df.dtypes) == {"k": "int", "v": "double", "s": "string"}
+    x = [r["v"] for r in as_dicts(df, "k")]
+    assert x[:2] == [math.inf, -math.inf] and math.isnan(x[2]) and x[3:] == [None, 1000.0]
+
+
+def test_a_real_first_column_is_no_index(spark, tmp_path):
+    file = tmp_path / "real.csv"
+    file.write_text("player,pt\n1,2\n")
+    with pytest.raises(ValueError, match="player"):
+        read_csv(spark, str(file), drop_index=True)
+
+
+def test_a_hot_folder_gets_few_files(spark, tmp_path):
+    df = spark.range(4000).selectExpr("id", "IF(id % 3 = 0, 'hot', concat('k', id % 5)) AS k").repartition(16)
+    target = write_partitioned(df, str(tmp_path / "f"), ["k"])
+    files = [f for _, _, names in os.walk(target) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 12 and spark.read.parquet(target).count() == 4000
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Cluster)
+
+
 def test_write_and_rename(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", None), (2, None, 1.5)], "k int, s string, x double")
     for fmt in ("csv", "parquet"):
