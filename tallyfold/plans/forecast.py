@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.base import Estimator
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from ..operators.aggregate import stack_sum
 from ..operators.cleaning import time_split, zero_fill
 from ..operators.columns import features_and_label
 from ..operators.joins import roster_complete
-from ..operators.models import assemble, best_of, fit, forest, gbt, score
+from ..operators.models import assemble, best_of, best_round, coarse_to_fine, fit, forest, gbt, score, with_folds
 from ..session import cut_lineage
 from . import codes
 from .hitters import batter_seasons, clean_events, complete_hitters, project_hitters
@@ -23,32 +24,95 @@ from .pitchers import pitcher_lines, project_pitchers, reliever_rows, starter_ro
 PLAYER, TIME = "PLAYER_ID", "PLAYING_TIME"
 
 
-def default_models() -> dict[str, Estimator]:
-    # fixed values: the settings the tuning rounds ended with
-    return {"gbt": gbt(trees=80, step=0.22, depth=4, subsample=0.75), "forest": forest(trees=200, depth=8)}
+@dataclass
+class Candidate:
+    """A model and how its settings are found on the training seasons.
+
+    ``rounds``: keep as many boosting rounds as do best on held-out folds.
+    ``stages``: grids searched one after the other, each from the best so far.
+    ``watch``: stop boosting early by the rows of one fold.
+    """
+
+    model: Estimator
+    rounds: bool = False
+    stages: Sequence[Mapping[str, Sequence]] = ()
+    watch: bool = False
+
+
+def default_roles() -> dict[str, dict[str, Candidate]]:
+    """The candidates of each role."""
+    # fixed values: the settings that tuning ended with, and the searches it used
+    unlimited = 30  # the deepest that MLlib grows
+    return {
+        "hitter": {
+            "gbt": Candidate(gbt(trees=80, step=0.22, depth=4, subsample=0.75)),
+            "forest": Candidate(forest(trees=200, depth=unlimited, feature_subset="10")),
+        },
+        "reliever": {"gbt": Candidate(gbt(trees=100, step=0.2, depth=6), rounds=True)},
+        "starter": {
+            "gbt": Candidate(
+                gbt(trees=100, step=0.1, depth=6), stages=({"maxDepth": [4, 6]}, {"stepSize": [0.05, 0.1, 0.2]}), watch=True
+            ),
+            "forest": Candidate(forest(trees=500, depth=unlimited)),
+        },
+    }
 
 
 @dataclass
 class Settings:
-    """What the forecast leaves open: the seasons and the candidate models."""
+    """What the forecast leaves open: the seasons, the candidates of each role, the folds of the searches.
+
+    ``slices``: deal games of many rows out by range, see ``operators/windows.py``.
+    """
 
     seasons: Sequence[int] = (2021, 2022, 2023)
-    models: Mapping[str, Estimator] = field(default_factory=default_models)
+    roles: Mapping[str, Mapping[str, Candidate]] = field(default_factory=default_roles)
     pitch_order: Sequence[str] = ("pitch_number_appearance",)
+    folds: int = 3
+    slices: int | None = None
+
+
+def _tuned(candidate: Candidate, train: DataFrame, folds: int) -> Estimator:
+    """The candidate's estimator with the settings found on the training rows."""
+    est = candidate.model
+    if candidate.stages:
+        best, _ = coarse_to_fine(est, candidate.stages, train, k=folds, metric="rmse")
+        est = est.copy({est.getParam(p): best.getOrDefault(p) for stage in candidate.stages for p in stage})
+    if candidate.rounds:
+        est = best_round(est, train, folds)
+    if candidate.watch:
+        stopped = fit(est.copy({est.validationIndicatorCol: "watch"}), train.withColumn("watch", F.col("fold") == 0))
+        est = est.copy({est.maxIter: stopped.getNumTrees})
+    return est
 
 
 def choose_and_refit(
-    table: DataFrame, features: Sequence[str], label: str, settings: Settings, refit_all: bool = True
+    table: DataFrame,
+    key: str,
+    features: Sequence[str],
+    label: str,
+    candidates: Mapping[str, Candidate],
+    settings: Settings,
+    refit_all: bool = True,
 ) -> Model:
-    """Fit every candidate on the earlier seasons, keep the best on the last one.
+    """Tune and fit every candidate on the earlier seasons, keep the best on the last one.
 
-    ``refit_all`` then fits the winner on all seasons.
+    ``refit_all`` then fits the winner's settings on all seasons. Folds are by
+    ``key``, so the seasons of one player stay together.
     """
-    rows = assemble(features_and_label(table, features, label, ["year"]), features)
-    train, test = time_split(rows, "year", settings.seasons[:-1], settings.seasons[-1:])
-    models = {name: fit(est, train) for name, est in settings.models.items()}
-    name, model = best_of(models, test) if len(models) > 1 else next(iter(models.items()))
-    return fit(settings.models[name], rows.filter(F.col("year").isin(list(settings.seasons)))) if refit_all else model
+    rows = assemble(features_and_label(table, features, label, [key, "year"]), features)
+    rows = with_folds(rows, key, settings.folds).filter(F.col("year").isin(list(settings.seasons)))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # read by every fit
+    try:
+        train, test = time_split(rows, "year", settings.seasons[:-1], settings.seasons[-1:])
+        tuned = {name: _tuned(c, train, settings.folds) for name, c in candidates.items()}
+        if len(tuned) == 1 and refit_all:
+            return next(iter(tuned.values())).fit(rows)
+        models = {name: est.fit(train) for name, est in tuned.items()}
+        name, model = best_of(models, test)
+        return tuned[name].fit(rows) if refit_all else model
+    finally:
+        rows.unpersist()
 
 
 def predictions(model: Model, projected: DataFrame, features: Sequence[str], key: str) -> DataFrame:
@@ -70,12 +134,16 @@ def playing_time(pitches: DataFrame, people: DataFrame, roster: DataFrame, setti
     neither a fit nor a lost executor should start over from the events.
     """
     clean = clean_events(pitches, settings.seasons)
-    hitters = cut_lineage(complete_hitters(batter_seasons(clean, people)))
-    lines = cut_lineage(pitcher_lines(clean, order=settings.pitch_order))
+    hitters = cut_lineage(complete_hitters(batter_seasons(clean, people, slices=settings.slices)))
+    lines = cut_lineage(pitcher_lines(clean, order=settings.pitch_order, slices=settings.slices))
 
-    hit_model = choose_and_refit(hitters, codes.HITTER_FEATURES, codes.HITTER_LABEL, settings)
-    rp_model = choose_and_refit(reliever_rows(lines), codes.PITCHER_STATS, codes.PITCHER_LABEL, settings)
-    sp_model = choose_and_refit(starter_rows(lines), codes.PITCHER_STATS, codes.PITCHER_LABEL, settings)
+    roles = settings.roles
+    hit_model = choose_and_refit(hitters, "batter", codes.HITTER_FEATURES, codes.HITTER_LABEL, roles["hitter"], settings)
+    pitching = lambda rows, role: choose_and_refit(
+        rows, "pitcher", codes.PITCHER_STATS, codes.PITCHER_LABEL, roles[role], settings
+    )
+    rp_model = pitching(reliever_rows(lines), "reliever")
+    sp_model = pitching(starter_rows(lines), "starter")
 
     seasons = settings.seasons
     rp = project_pitchers(lines, "RP", seasons).filter(F.col("H").isNotNull())
