@@ -12,6 +12,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def slices(spark: SparkSession) -> int:
+    """Into how many ranges a query deals tables that may hold a hot key."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Register a query under its function name, with the SQL it must equal."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tallyfold.operators.aggregate import dedupe_first, group_sizes
@@ -16,6 +18,7 @@ from tallyfold.plans.hitters import (
     clean_events,
     complete_hitters,
     decay_weighted,
+    next_season_table,
     lineup_spots as spots_of_batters,
     project_hitters,
     with_age,
@@ -31,9 +34,11 @@ from tallyfold.plans.pitchers import (
     reliever_rows as relievers,
     starter_rows as starters,
 )
+from tallyfold.session import cut_lineage
 
-from .base import query
-from .pitchlog import PEOPLE_SQL, PITCH_ORDER, PITCH_SQL, SEASONS, _in, people, pitch_log
+from . import sql_lists as lists
+from .base import query, slices
+from .pitchlog import PEOPLE_SQL, PITCH_ORDER, PITCH_SQL, SEASONS, people, pitch_log
 
 W = f"WITH {PITCH_SQL}"
 
@@ -59,11 +64,11 @@ _RATES = f"""
 BATTER_CTE = f"""
 bl0 AS (
   SELECT batter, year, CAST(count(DISTINCT game_date) AS BIGINT) AS games, CAST(count(*) AS BIGINT) AS PA,
-    {_n(f"events IN {_in(codes.HITS)}")} AS H, {_n("events = 'single'")} AS Singles,
+    {_n(f"events IN {lists.HITS}")} AS H, {_n("events = 'single'")} AS Singles,
     {_n("events = 'double'")} AS Doubles, {_n("events = 'triple'")} AS Triples, {_n("events = 'home_run'")} AS HR,
     {_n("events = 'strikeout'")} AS SO, {_n("events = 'walk'")} AS BB, {_n("events = 'hit_by_pitch'")} AS HBP,
     {_n("events = 'sac_fly'")} AS SF, {_n("events = 'sac_bunt'")} AS SB, {_n("events = 'catcher_interf'")} AS CI,
-    {_n(f"events IN {_in(codes.AT_BATS)}")} AS AB
+    {_n(f"events IN {lists.AT_BATS}")} AS AB
   FROM p WHERE events IS NOT NULL GROUP BY batter, year),
 bl1 AS (SELECT *, Doubles + Triples + HR AS XBH, Singles + 2 * Doubles + 3 * Triples + 4 * HR AS TB FROM bl0),
 bl2 AS (SELECT *, {_RATES} FROM bl1),
@@ -122,13 +127,13 @@ def batter_ages(spark, sf):
 
 @query(f"{W}, {SPOT_CTE} SELECT * REPLACE (round(weighted_spot_avg, 9) AS weighted_spot_avg) FROM sp")
 def lineup_spots(spark, sf):
-    spots = spots_of_batters(clean(spark, sf))
+    spots = spots_of_batters(clean(spark, sf), slices=slices(spark))
     return spots.withColumn("weighted_spot_avg", F.round("weighted_spot_avg", 9))
 
 
 @query(f"{W}, {HITTER_CTE} SELECT * REPLACE (round(weighted_spot_avg, 9) AS weighted_spot_avg) FROM hit")
 def batter_seasons(spark, sf):
-    table = seasons_of_batters(clean(spark, sf), people(spark, sf))
+    table = seasons_of_batters(clean(spark, sf), people(spark, sf), slices=slices(spark))
     return table.withColumn("weighted_spot_avg", F.round("weighted_spot_avg", 9))
 
 
@@ -150,6 +155,32 @@ def _future_sql(variant: str) -> str:
     SELECT batter, {', '.join(_SUMMED)}, {', '.join(_RATE_NAMES)} FROM f2"""
 
 
+@query(f"""{_future_sql('corrected').replace('    SELECT batter, ', f'    , {PEOPLE_SQL} SELECT batter, ')}""".replace(
+    " FROM f2", f""", {SEASONS[-1] + 1} AS year, birthDate,
+      CAST({SEASONS[-1] + 1} - year(birthDate) - CAST(401 < month(birthDate) * 100 + day(birthDate) AS INTEGER) AS BIGINT) AS age
+      FROM f2 LEFT JOIN people ON batter = player_mlb_id"""))
+def future_batters_aged(spark, sf):
+    return next_season_table(lines_of_batters(clean(spark, sf, SEASONS)), people(spark, sf), SEASONS)
+
+
+def _half_up(sql: str) -> str:
+    return re.sub(r"round_even\(", "round(", sql)
+
+
+@query(_half_up(f"{W}, {BATTER_CTE} SELECT * FROM bl"))
+def batter_lines_half_up(spark, sf):
+    return lines_of_batters(clean(spark, sf), rounding="half_up")
+
+
+@query(f"""{W}, {PEOPLE_SQL}, {AGE_CTE.replace('SELECT bl.*', 'SELECT DISTINCT batter, year').replace('FROM bl ', "FROM (SELECT DISTINCT batter, year FROM p WHERE events IS NOT NULL) bl ")}
+           SELECT * FROM aged""")
+def ages_from_text_dates(spark, sf):
+    # birth dates as text, as a file would bring them
+    who = people(spark, sf).withColumn("birthDate", F.date_format("birthDate", "yyyy-MM-dd"))
+    lines = clean(spark, sf).filter(F.col("events").isNotNull()).select("batter", "year").distinct()
+    return with_age(lines, who, "batter")
+
+
 def _future(spark, sf, variant):
     return decay_weighted(lines_of_batters(clean(spark, sf, SEASONS)), SEASONS, variant=variant)
 
@@ -229,8 +260,8 @@ def _outs_cte(event: str = "raw_events", missing: str = "keep") -> str:
     o1 AS (SELECT *, CASE WHEN nth = 1 THEN 0 ELSE outs_when_up - before END AS out1 FROM o0),
     o2 AS (SELECT *, CASE out1 WHEN -1 THEN 2 WHEN -2 THEN 1 ELSE out1 END AS out2 FROM o1),
     o AS (SELECT *, CASE WHEN pitch_number_appearance <> final THEN out2
-                    WHEN {event} IN {_in(codes.SINGLE_OUTS)} THEN 1
-                    WHEN {event} IN {_in(codes.DOUBLE_OUTS)} THEN 2
+                    WHEN {event} IN {lists.SINGLE_OUTS} THEN 1
+                    WHEN {event} IN {lists.DOUBLE_OUTS} THEN 2
                     WHEN {event} = 'triple_play' THEN 3 ELSE {otherwise} END AS out_diff FROM o2)"""
 
 
@@ -242,10 +273,10 @@ def _line_cte(event: str = "raw_events", missing: str = "keep") -> str:
     ieee = lambda a, b: f"CASE WHEN {b} = 0 THEN CASE WHEN {a} = 0 THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END ELSE CAST({a} AS DOUBLE) / {b} END"
     return f"""{_outs_cte(event, missing)}, {FACED_CTE},
     l0 AS (SELECT pitcher, role_key, year, coalesce(sum(out_diff), 0) AS outs,
-             {_n(f"events IN {_in(['walk', *codes.HITS])}")} AS on_base,
-             {_n(f"events IN {_in(codes.HITS)}")} AS H, {_n("events = 'home_run'")} AS HR,
+             {_n(f"events IN {lists.HITS_AND_WALKS}")} AS on_base,
+             {_n(f"events IN {lists.HITS}")} AS H, {_n("events = 'home_run'")} AS HR,
              CAST(sum(post_bat_score - bat_score) AS BIGINT) AS ER,
-             {_n(f"events IN {_in(codes.PITCHER_STRIKEOUTS)}")} AS SO, {_n("events = 'walk'")} AS BB,
+             {_n(f"events IN {lists.PITCHER_STRIKEOUTS}")} AS SO, {_n("events = 'walk'")} AS BB,
              {_n("events = 'hit_by_pitch'")} AS HBP
            FROM o GROUP BY pitcher, role_key, year),
     l1 AS (SELECT * EXCLUDE (outs, on_base), CAST(outs AS DOUBLE) / 3 AS IP, {ieee('on_base', '(CAST(outs AS DOUBLE) / 3)')} AS WHIP,
@@ -272,7 +303,7 @@ def _spell(df, rates=tuple(_PITCHER_RATES)):
 @query(f"""{W}, {_outs_cte()} SELECT pitcher, game_pk, role_key, CAST(count(*) AS BIGINT) AS pitches,
            CAST(sum(out_diff) AS BIGINT) AS outs, CAST(max(out_diff) AS INTEGER) AS most FROM o GROUP BY pitcher, game_pk, role_key""")
 def outs_recorded(spark, sf):
-    outs = outs_of(clean(spark, sf), order=PITCH_ORDER)
+    outs = outs_of(clean(spark, sf), order=PITCH_ORDER, slices=slices(spark))
     return outs.groupBy("pitcher", "game_pk", "role_key").agg(
         F.count(F.lit(1)).alias("pitches"), F.sum("out_diff").alias("outs"), F.max("out_diff").alias("most")
     )
@@ -283,12 +314,12 @@ _LINE_COLS = "pitcher, role_key, year, H, HR, ER, SO, BB, HBP, batters_faced"
 
 @query(f"{W}, {_line_cte()} SELECT {_LINE_COLS}, {_SPELLED} FROM pl")
 def pitcher_lines(spark, sf):
-    return _spell(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER))
+    return _spell(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, slices=slices(spark)))
 
 
 @query(f"{W}, {_line_cte('events', 'null')} SELECT {_LINE_COLS}, {_SPELLED} FROM pl")
 def pitcher_lines_faithful(spark, sf):
-    return _spell(lines_of_pitchers(clean(spark, sf), "events", "null", order=PITCH_ORDER))
+    return _spell(lines_of_pitchers(clean(spark, sf), "events", "null", order=PITCH_ORDER, slices=slices(spark)))
 
 
 def _imputed(name: str, cap: str) -> str:
@@ -301,7 +332,7 @@ _RELIEVER_COLS = "pitcher, year, H, HR, ER, SO, BB, HBP, batters_faced"
 @query(f"""{W}, {_line_cte()} SELECT {_RELIEVER_COLS}, {_imputed('SOBBratio', '21e0')}, {_imputed('WHIP', '12e0')}
            FROM pl WHERE role_key = 'RP'""")
 def reliever_rows(spark, sf):
-    rows = relievers(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER))
+    rows = relievers(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, slices=slices(spark)))
     return rows.select(*_RELIEVER_COLS.split(", "), "SOBBratio", "WHIP")
 
 
@@ -309,14 +340,14 @@ def reliever_rows(spark, sf):
            SELECT {_RELIEVER_COLS}, {_imputed('SOBBratio', '(SELECT max(SOBBratio) FROM rp WHERE isfinite(SOBBratio))')},
                   {_imputed('WHIP', '(SELECT max(WHIP) FROM rp WHERE isfinite(WHIP))')} FROM rp""")
 def reliever_rows_capped_by_data(spark, sf):
-    rows = relievers(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER), cap="max")
+    rows = relievers(cut_lineage(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, slices=slices(spark))), cap="max")
     return rows.select(*_RELIEVER_COLS.split(", "), "SOBBratio", "WHIP")
 
 
-@query(f"""{W}, {_line_cte()} SELECT pitcher, year, {', '.join(codes.PITCHER_STATS)}, batters_faced FROM pl
+@query(f"""{W}, {_line_cte()} SELECT pitcher, year, {', '.join(lists.PITCHER_STATS)}, batters_faced FROM pl
            WHERE role_key = 'SP' AND isfinite(WHIP) AND isfinite(SOBBratio)""")
 def starter_rows(spark, sf):
-    rows = starters(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER))
+    rows = starters(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, slices=slices(spark)))
     return rows.select("pitcher", "year", *codes.PITCHER_STATS, "batters_faced")
 
 
@@ -338,7 +369,7 @@ def _blend_sql(stat: str, weights, periods) -> str:
       ELSE CAST({stat}_{c} AS DOUBLE) END"""
 
 
-_HW, _PW = codes.HITTER_WEIGHTS, codes.PITCHER_WEIGHTS
+_HW, _PW = lists.HITTER_WEIGHTS, {s: lists.COUNTING for s in lists.PITCHER_STATS}
 _TARGET = SEASONS[-1] + 1
 
 
@@ -349,7 +380,7 @@ _TARGET = SEASONS[-1] + 1
        FROM pr JOIN people ON batter = player_mlb_id WHERE SF IS NOT NULL""")
 def hitter_projection(spark, sf):
     who = people(spark, sf)
-    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), who))
+    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), who, slices=slices(spark)))
     return _settle(project_hitters(hitters, who, SEASONS), list(_HW))
 
 
@@ -363,13 +394,13 @@ def _projection_sql(role: str) -> str:
 
 @query(_projection_sql("SP"))
 def starter_projection(spark, sf):
-    lines = lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER)
+    lines = lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER, slices=slices(spark))
     return _settle(project_pitchers(lines, "SP", SEASONS), list(_PW))
 
 
 @query(_projection_sql("RP"))
 def reliever_projection(spark, sf):
-    lines = lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER)
+    lines = lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER, slices=slices(spark))
     return _settle(project_pitchers(lines, "RP", SEASONS), list(_PW))
 
 
@@ -380,7 +411,7 @@ def reliever_projection(spark, sf):
               WHEN in_{SEASONS[0]} = 0 AND in_{SEASONS[1]} = 0 AND in_{SEASONS[2]} = 1 THEN 3 ELSE 4 END AS year_ind,
          CAST(count(*) AS BIGINT) AS n FROM wide GROUP BY ALL""")
 def hitter_history(spark, sf):
-    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), people(spark, sf)))
+    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), people(spark, sf), slices=slices(spark)))
     wide = pivot_wide(hitters, "batter", "year", ["PA"], SEASONS).withColumn("year_ind", history_class(SEASONS))
     return group_sizes(wide, [*[f"in_{y}" for y in SEASONS], "year_ind"])
 
@@ -399,7 +430,7 @@ def _backtest_sql(source_cte: str, source: str, key: str, stats, extra: str = ""
 
 
 def _hitter_backtest(spark, sf):
-    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), people(spark, sf)))
+    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), people(spark, sf), slices=slices(spark)))
     out = backtest_weights(hitters, "batter", "year", list(_HW), SEASONS[:2], SEASONS[2], codes.WEIGHT_GRID)
     return out.withColumn("rmse", F.round("rmse", 6))
 
@@ -423,11 +454,11 @@ _FIRST_ROLE = f"""{_line_cte()},
          QUALIFY row_number() OVER (PARTITION BY pitcher, year ORDER BY role_key) = 1)"""
 
 
-@query(_backtest_sql(_FIRST_ROLE, "cp", "pitcher", codes.PITCHER_STATS))
+@query(_backtest_sql(_FIRST_ROLE, "cp", "pitcher", lists.PITCHER_STATS))
 def pitcher_weight_backtest(spark, sf):
     from tallyfold.operators.cleaning import drop_incomplete, inf_to_null
 
-    lines = drop_incomplete(inf_to_null(lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER)))
+    lines = drop_incomplete(inf_to_null(lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER, slices=slices(spark))))
     one_role = dedupe_first(lines, ["pitcher", "year"], ["role_key"])
     out = backtest_weights(one_role, "pitcher", "year", codes.PITCHER_STATS, SEASONS[:2], SEASONS[2], codes.WEIGHT_GRID)
     return out.withColumn("rmse", F.round("rmse", 6))
@@ -440,6 +471,6 @@ def pitcher_weight_backtest(spark, sf):
 def team_roles(spark, sf):
     # pitches per pair of teams first: the dimension then meets pairs, not pitches
     pairs = group_sizes(pitch_log(spark, sf), ["home_team", "away_team"], "pitches")
-    teams = surrogate_key(pairs.select(F.col("home_team").alias("team")).distinct(), ["team"], "team", "team_id")
+    teams = surrogate_key(pairs.select(F.col("home_team").alias("team")).distinct(), ["team"], "team", "team_id", slices(spark))
     both = role_join(pairs, teams, "team", {"home_team": "_home", "away_team": "_away"})
     return both.groupBy("team_id_home", "team_id_away").agg(F.sum("pitches").alias("pitches"))

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from tallyfold.plans import codes
 from tallyfold.sources import load
 
+from . import sql_lists as lists
+
 SEASONS = (1999, 2000, 2001)
 PITCH_ORDER = ("pitch_number_appearance", "tie_part", "tie_ship")
 
+# --- fixed values: event names
 EVENTS = [
     "single", "field_out", "", "double", "strikeout", "walk", None, "home_run", "field_out",
     "sac_fly", "triple", "strikeout", "caught_stealing_2b", "grounded_into_double_play",
@@ -40,10 +43,9 @@ _MEASURES = [
 
 
 def pitch_log(spark: SparkSession, sf: str) -> DataFrame:
-    # merged on the order key, as two tables of this kind are joined at size
     orders = load(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey", "CAST(o_orderdate AS DATE) AS d")
     orders = orders.selectExpr("*", "(year(d) - 1995) * 4 + quarter(d) - 1 AS q")
-    return load(spark, sf, "lineitem").join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+    return load(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
         "d AS game_date",
         "l_suppkey div 2 * 1000 + q AS game_pk",
         "o_custkey AS batter",
@@ -80,10 +82,6 @@ def _text(values) -> str:
     return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
 
 
-def _in(values) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
-
-
 _MEASURE_SQL = ",\n".join(
     f"CASE WHEN l_linenumber <> {i % 7 + 1} THEN CAST(xor(l_partkey, l_orderkey >> {i % 5}) & {2 ** (4 + i % 4) - 1} AS DOUBLE) END AS {m}"
     for i, m in enumerate(MEASURES)
@@ -99,7 +97,7 @@ p AS (
     o_custkey AS batter, l_suppkey AS pitcher,
     ({_text(EVENTS)})[l_partkey % {len(EVENTS)} + 1] AS source_event,
     nullif(source_event, '') AS raw_events,
-    CASE WHEN nullif(source_event, '') NOT IN {_in(codes.NOT_PLATE_APPEARANCE)} THEN source_event END AS events,
+    CASE WHEN nullif(source_event, '') NOT IN {lists.NOT_PLATE_APPEARANCE} THEN source_event END AS events,
     'T' || CAST(pair % 30 AS VARCHAR) AS home_team, 'T' || CAST((pair + q) % 30 AS VARCHAR) AS away_team,
     CASE WHEN l_suppkey % 2 = 0 THEN 'Top' ELSE 'Bot' END AS inning_topbot,
     l_orderkey AS at_bat_number, l_orderkey * 8 + l_linenumber AS pitch_number_appearance,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tallyfold.functions import (
@@ -24,7 +26,7 @@ from tallyfold.plans.forecast import submission
 from tallyfold.session import scratch_path
 from tallyfold.sources import load, read_csv, with_names, write, write_partitioned
 
-from .base import query
+from .base import query, slices
 
 c = F.col
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
@@ -39,9 +41,16 @@ BLEND = {
 }
 
 
-def customer_years(spark, sf):
-    """Customer-season panel; money in whole cents, so sums are exact."""
+def customer_years(spark, sf, years=None):
+    """Customer-season panel; money in whole cents, so sums are exact.
+
+    ``years`` keeps the seasons from the first to the last of them, as a range
+    of dates, which reaches the scan; a condition on the year would not.
+    """
     orders = load(spark, sf, "orders")
+    if years:
+        first, after = dt.datetime(min(years), 1, 1), dt.datetime(max(years) + 1, 1, 1)
+        orders = orders.filter((c("o_orderdate") >= F.lit(first).cast("timestamp_ntz")) & (c("o_orderdate") < F.lit(after).cast("timestamp_ntz")))
     return orders.groupBy(c("o_custkey").alias("custkey"), F.year("o_orderdate").alias("year")).agg(
         F.count(F.lit(1)).alias("n_orders"),
         count_where(c("o_orderpriority") == "1-URGENT").alias("urgent"),
@@ -202,11 +211,10 @@ def strict_missing_counts(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, CAST(2002 - year(o_orderdate) - CAST(401 < month(o_orderdate) * 100 + day(o_orderdate) AS INTEGER) AS BIGINT) AS age,
-  CAST(date_sub('year', CAST(o_orderdate AS DATE), DATE '2002-04-01') AS BIGINT) AS age_by_engine FROM orders""")
+SELECT o_orderkey, CAST(2002 - year(o_orderdate) - CAST(401 < month(o_orderdate) * 100 + day(o_orderdate) AS INTEGER) AS BIGINT) AS age FROM orders""")
 def age_at(spark, sf):
     age = completed_years(c("o_orderdate"), F.lit("2002-04-01"))
-    return load(spark, sf, "orders").select("o_orderkey", age.alias("age"), age.alias("age_by_engine"))
+    return load(spark, sf, "orders").select("o_orderkey", age.alias("age"))
 
 
 @query("""
@@ -232,12 +240,13 @@ SELECT cn.n_name AS buyer, sn.n_name AS seller, CAST(count(*) AS BIGINT) AS line
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON l_suppkey = s_suppkey
 LEFT JOIN nation cn ON c_nationkey = cn.n_nationkey LEFT JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2""")
 def role_dims(spark, sf):
-    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    # the nation keys travel; lines are counted once per pair of them, and the names meet a few pairs
+    customer = load(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    supplier = load(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    orders = joins.left(load(spark, sf, "orders").select("o_orderkey", "o_custkey"), customer, left_on=["o_custkey"], right_on=["c_custkey"])
     lines = load(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(orders, c("l_orderkey") == c("o_orderkey"))
-    # sum per (customer, supplier) first: the dimensions then meet counts, not lines
-    pairs = agg.group_sizes(lines, ["o_custkey", "l_suppkey"], "lines")
-    pairs = joins.left(pairs, load(spark, sf, "customer").select("c_custkey", "c_nationkey"), left_on=["o_custkey"], right_on=["c_custkey"])
-    pairs = joins.left(pairs, load(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), left_on=["l_suppkey"], right_on=["s_suppkey"])
+    lines = joins.left(lines, supplier, left_on=["l_suppkey"], right_on=["s_suppkey"])
+    pairs = agg.group_sizes(lines, ["c_nationkey", "s_nationkey"], "lines")
     nation = load(spark, sf, "nation").select("n_nationkey", "n_name")
     named = joins.role_join(pairs, nation, "n_nationkey", {"c_nationkey": "_buyer", "s_nationkey": "_seller"})
     return named.groupBy(c("n_name_buyer").alias("buyer"), c("n_name_seller").alias("seller")).agg(F.sum("lines").alias("lines"))
@@ -313,7 +322,7 @@ s AS (SELECT *, {', '.join(f'CAST({s} AS DOUBLE) / total * 100 AS {s}_per' for s
 SELECT *, round((0e0 + {' + '.join(f'{i} * {s}_per' for i, s in enumerate(_SPOTS, 1))}) / 100, 9) AS mean_spot FROM s""")
 def order_spots(spark, sf):
     lines = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    placed = windows.cyclic_rank(lines, ["l_orderkey"], ["l_linenumber"], 9, "spot")
+    placed = windows.cyclic_rank(lines, ["l_orderkey"], ["l_linenumber"], 9, "spot", slices(spark))
     counted = agg.counts_by_code(placed, ["l_suppkey"], "spot", dict(enumerate(_SPOTS, 1)))
     shared = agg.shares(counted.withColumn("total", columns.horizontal_sum(_SPOTS)), _SPOTS, "total")
     return shared.withColumn("mean_spot", F.round(agg.weighted_position([f"{s}_per" for s in _SPOTS]), 9))
@@ -332,7 +341,7 @@ def _changes(spark, sf):
     lines = load(spark, sf, "lineitem").select(*LINE_ORDER, "l_orderkey", "l_returnflag", "l_linestatus", (c("l_quantity").cast("int") % 3).alias("state"), "l_extendedprice")
     last = F.when(c("l_returnflag") == "A", 1).when(c("l_returnflag") == "R", 2).otherwise(c("change"))
     return windows.state_change(
-        lines, ["l_orderkey"], LINE_ORDER, "state", wrap={-1: 2, -2: 1}, last_by="l_linenumber", on_last=last
+        lines, ["l_orderkey"], LINE_ORDER, "state", wrap={-1: 2, -2: 1}, last_by="l_linenumber", on_last=last, slices=slices(spark)
     )
 
 
@@ -369,7 +378,7 @@ def supplier_rate_line(spark, sf):
 
 @query("SELECT s_suppkey, 'supplier_' || row_number() OVER (ORDER BY s_suppkey) AS supplier_id FROM supplier")
 def surrogate_keys(spark, sf):
-    return windows.surrogate_key(load(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"], "supplier", "supplier_id")
+    return windows.surrogate_key(load(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"], "supplier", "supplier_id", slices(spark))
 
 
 @query("""SELECT user_id, event_id, CAST(row_number() OVER w AS BIGINT) AS nth, lag(event_type) OVER w AS previous,
@@ -377,7 +386,8 @@ def surrogate_keys(spark, sf):
 def ordered_events(spark, sf):
     events = load(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
     return windows.ordered_scan(
-        events, ["user_id"], ["ts", "event_id"], row_number="nth", previous={"previous": "event_type"}, group_max={"last_event": "event_id"}
+        events, ["user_id"], ["ts", "event_id"], row_number="nth", previous={"previous": "event_type"}, group_max={"last_event": "event_id"},
+        slices=slices(spark),
     ).drop("ts", "event_type")
 
 
@@ -386,7 +396,7 @@ def ordered_events(spark, sf):
 
 @query(f"WITH {CY}, {_wide()} SELECT * FROM wide")
 def pivot_years(spark, sf):
-    return reshape.pivot_wide(customer_years(spark, sf), "custkey", "year", STATS, YEARS)
+    return reshape.pivot_wide(customer_years(spark, sf, YEARS), "custkey", "year", STATS, YEARS)
 
 
 @query(f"WITH {CY} SELECT custkey, year, stat, CAST(value AS DOUBLE) AS value FROM (UNPIVOT cy ON n_orders, urgent, finished, spend INTO NAME stat VALUE value)")
@@ -396,13 +406,13 @@ def long_stats(spark, sf):
 
 @query(f"WITH {CY}, {_wide()} SELECT in_1999, in_2000, in_2001, {CLASS_SQL} AS history, CAST(count(*) AS BIGINT) AS n FROM wide GROUP BY ALL")
 def history_classes(spark, sf):
-    wide = reshape.pivot_wide(customer_years(spark, sf), "custkey", "year", STATS, YEARS)
+    wide = reshape.pivot_wide(customer_years(spark, sf, YEARS), "custkey", "year", STATS, YEARS)
     return agg.group_sizes(wide.withColumn("history", projection.history_class(YEARS)), ["in_1999", "in_2000", "in_2001", "history"])
 
 
 @query(f"WITH {CY}, {_wide()} SELECT custkey, {', '.join(f'round({_blend(s)}, 6) AS {s}' for s in STATS)} FROM wide")
 def projected_year(spark, sf):
-    out = projection.project_next(customer_years(spark, sf), "custkey", "year", BLEND, YEARS)
+    out = projection.project_next(customer_years(spark, sf, YEARS), "custkey", "year", BLEND, YEARS)
     return out.withColumns({s: F.round(s, 6) for s in STATS})
 
 
@@ -420,7 +430,7 @@ _METRICS = " UNION ALL ".join(
 
 
 def _side_by_side(spark, sf):
-    return projection.predicted_vs_actual(customer_years(spark, sf), "custkey", "year", STATS, YEARS[:2], YEARS[2], 0.4, 0.6)
+    return projection.predicted_vs_actual(customer_years(spark, sf, YEARS), "custkey", "year", STATS, YEARS[:2], YEARS[2], 0.4, 0.6)
 
 
 @query(f"WITH {CY}, {_TWO}, {_ACTUAL} SELECT custkey, {', '.join(f'round({_pred(s, 0.4, 0.6)}, 6) AS {s}_pred, y_{s} AS {s}_actual' for s in STATS)} FROM jj")
@@ -442,8 +452,16 @@ def projection_metrics(spark, sf):
     return out.withColumns({"rmse": F.round("rmse", 4), "mae": F.round("mae", 4), "mape": F.round("mape", 6)})
 
 
+@query(f"""WITH {CY}, {_TWO}, {_ACTUAL}, e AS (SELECT CAST(y_urgent AS DOUBLE) AS y, {_pred('urgent', 0.4, 0.6)} AS p FROM jj)
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(abs((y - p) / (y + 0.5e0))) * 100, 6) AS mape FROM e""")
+def shifted_percent_errors(spark, sf):
+    # many actual values are 0: the shift keeps these rows
+    out = metrics.regression_metrics(_side_by_side(spark, sf), "urgent_actual", "urgent_pred", eps=0.5)
+    return out.select("n", F.round("mape", 6).alias("mape"))
+
+
 def _grid_metrics(spark, sf):
-    out = projection.backtest_weights(customer_years(spark, sf), "custkey", "year", STATS, YEARS[:2], YEARS[2], GRID)
+    out = projection.backtest_weights(customer_years(spark, sf, YEARS), "custkey", "year", STATS, YEARS[:2], YEARS[2], GRID)
     return out.withColumn("rmse", F.round("rmse", 4))
 
 
@@ -490,6 +508,24 @@ def renamed_columns(spark, sf):
     return columns.with_const(df, "source", 2)
 
 
+@query(f"""WITH {CY}, t AS (SELECT year, n_orders, finished FROM cy) SELECT 'drop_first' AS chosen, CAST(sum(n_orders + finished) AS BIGINT) AS total FROM t
+UNION ALL SELECT 'like_in', CAST(sum(finished + n_orders + spend + urgent) AS BIGINT) FROM cy
+UNION ALL SELECT 'matching_end', CAST(sum(spend) AS BIGINT) FROM cy""")
+def chosen_columns(spark, sf):
+    cy = customer_years(spark, sf)
+    first_gone = columns.drop_first(cy.select("custkey", "n_orders", "finished"))
+    tagged = columns.add_suffix(cy, STATS, "_in_all")
+    picks = {
+        "drop_first": (first_gone, first_gone.columns),
+        "like_in": (tagged, columns.columns_like(tagged, "_in_")),
+        "matching_end": (tagged, columns.columns_matching(tagged, "^sp.*_all$")),
+    }
+    parts = [
+        df.agg(F.lit(name).alias("chosen"), F.sum(columns.horizontal_sum(cols)).alias("total")) for name, (df, cols) in picks.items()
+    ]
+    return joins.union_all(*parts)
+
+
 @query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 def distinct_codes(spark, sf):
     return agg.distinct_values(load(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
@@ -560,6 +596,33 @@ def csv_roundtrip(spark, sf):
     return back.withColumns({"was_infinite": is_infinite("urgent_ratio"), "urgent_ratio": finite_or_null("urgent_ratio")})
 
 
+def _guessed(spark, sf, index: bool):
+    """The panel as another tool writes it: without types, infinity in lower case, perhaps a column of row numbers."""
+    source = _csv_source(spark, sf).select("custkey", "year", "urgent_ratio")
+    lower = F.when(is_infinite("urgent_ratio"), "inf").otherwise(c("urgent_ratio").cast("string"))
+    source = source.withColumn("urgent_ratio", lower)
+    if index:
+        source = source.select((c("custkey") * 10000 + c("year")).alias("X"), *source.columns)
+    path = write(source, scratch_path(spark, "guessed"), "csv")
+    back = read_csv(spark, path, drop_index=index)
+    back = back.withColumns({"was_infinite": is_infinite("urgent_ratio"), "urgent_ratio": finite_or_null("urgent_ratio")})
+    return back.withColumn("custkey", c("custkey").cast("long"))
+
+
+_GUESSED = f"""WITH {CY} SELECT custkey, year, CASE WHEN urgent > 0 THEN CAST(finished AS DOUBLE) / urgent END AS urgent_ratio,
+  urgent = 0 AND finished > 0 AS was_infinite FROM cy"""
+
+
+@query(_GUESSED)
+def csv_guessed_types(spark, sf):
+    return _guessed(spark, sf, False)
+
+
+@query(_GUESSED)
+def csv_index_column(spark, sf):
+    return _guessed(spark, sf, True)
+
+
 @query("SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2")
 def partitioned_roundtrip(spark, sf):
     lines = load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
