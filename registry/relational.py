@@ -23,7 +23,7 @@ from tallyfold.functions import (
 from tallyfold.operators import aggregate as agg
 from tallyfold.operators import cleaning, columns, joins, metrics, projection, reshape, windows
 from tallyfold.plans.forecast import submission
-from tallyfold.session import scratch_path
+from tallyfold.session import cut_lineage, remove, scratch_path
 from tallyfold.sources import load, read_csv, with_names, write, write_partitioned
 
 from .base import query, slices
@@ -592,7 +592,8 @@ def _csv_source(spark, sf):
   urgent = 0 AND finished > 0 AS was_infinite, CASE WHEN urgent > 1 THEN 'many' END AS grade FROM cy""")
 def csv_roundtrip(spark, sf):
     path = write(_csv_source(spark, sf), scratch_path(spark, "csv"), "csv")
-    back = read_csv(spark, path, _CY_SCHEMA)
+    back = cut_lineage(read_csv(spark, path, _CY_SCHEMA))
+    remove(spark, path)
     return back.withColumns({"was_infinite": is_infinite("urgent_ratio"), "urgent_ratio": finite_or_null("urgent_ratio")})
 
 
@@ -604,7 +605,8 @@ def _guessed(spark, sf, index: bool):
     if index:
         source = source.select((c("custkey") * 10000 + c("year")).alias("X"), *source.columns)
     path = write(source, scratch_path(spark, "guessed"), "csv")
-    back = read_csv(spark, path, drop_index=index)
+    back = cut_lineage(read_csv(spark, path, drop_index=index))
+    remove(spark, path)
     back = back.withColumns({"was_infinite": is_infinite("urgent_ratio"), "urgent_ratio": finite_or_null("urgent_ratio")})
     return back.withColumn("custkey", c("custkey").cast("long"))
 
@@ -628,4 +630,7 @@ def partitioned_roundtrip(spark, sf):
     lines = load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
     path = write_partitioned(lines, scratch_path(spark, "lines"), ["l_returnflag", "l_linestatus"])
     back = spark.read.parquet(path).filter(c("l_returnflag") == "R")
-    return back.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(c("l_quantity").cast("long")).alias("quantity"))
+    out = back.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(c("l_quantity").cast("long")).alias("quantity"))
+    out = cut_lineage(out)
+    remove(spark, path)
+    return out

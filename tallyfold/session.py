@@ -56,6 +56,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an interim table made under ``scratch_path``, on whatever store it lies."""
+    base = shared_dir(spark).rstrip("/")
+    if not path.startswith(base + "/") or ".." in path:
+        raise ValueError(f"{path} is no interim table of {base}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of the executors that wrote it."""
     shared_dir(df.sparkSession)

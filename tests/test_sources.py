@@ -4,7 +4,7 @@ import os
 import pytest
 from conftest import as_dicts
 
-from tallyfold.session import cut_lineage, scratch_path, shared_dir
+from tallyfold.session import cut_lineage, remove, scratch_path, shared_dir
 from tallyfold.sources import read_csv, with_names, write, write_partitioned
 
 CSV = """,k,x,s
@@ -108,3 +108,13 @@ def test_shared_folder_is_used(spark):
     df = cut_lineage(spark.range(5).selectExpr("id * 2 AS x"))
     assert "Project" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert df.count() == 5
+
+
+def test_only_interim_tables_are_removed(spark, tmp_path):
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    remove(spark, path)
+    assert not os.path.exists(path)
+    for other in (str(tmp_path), shared_dir(spark), f"{shared_dir(spark)}/../x"):
+        with pytest.raises(ValueError, match="interim"):
+            remove(spark, other)
