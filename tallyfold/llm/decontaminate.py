@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tokens
+from .shared import map_batches
 
 #: an item is found where at most this share of its words is edited
 MAX_EDITS = 0.2
@@ -275,7 +276,7 @@ def leaks(
     narrow = documents.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = to_arrow_type(item_field.dataType)
     parts = [
-        narrow.mapInArrow(_finder(index, kind), schema) for index in _indexes(benchmark, item, item_text, max_edits, recall, block_bytes)
+        map_batches(narrow, _finder(index, kind), schema) for index in _indexes(benchmark, item, item_text, max_edits, recall, block_bytes)
     ]
     out = spark.createDataFrame([], schema) if not parts else parts[0]
     for more in parts[1:]:
@@ -329,5 +330,5 @@ def clean(
 
     out = documents
     for index in _indexes(benchmark, item_text, item_text, max_edits, recall, block_bytes):
-        out = out.mapInArrow(without(index), documents.schema)
+        out = map_batches(out, without(index), documents.schema)
     return out

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import tokens
 from .graph import components
-from .shared import materialize
+from .shared import map_batches, materialize
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -355,7 +355,7 @@ def jaccard_links(
     narrow = df.select(F.col(f"`{doc}`").alias("doc_id"), F.unhex(F.md5(F.col(f"`{text}`"))).alias("fp"), F.col(f"`{text}`").alias("text"))
     fields = _fields(narrow, "doc_id", "fp")
     signed_schema = T.StructType([*fields, T.StructField("sig", T.BinaryType()), T.StructField("grams", T.LongType())])
-    signed = materialize(narrow.mapInArrow(_sign(words), signed_schema), "signed")
+    signed = materialize(map_batches(narrow, _sign(words), signed_schema), "signed")
 
     texts = signed.filter(F.col("fp").isNotNull()).groupBy("fp").agg(
         F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig"), F.max("grams").alias("grams")
@@ -376,7 +376,7 @@ def jaccard_links(
     members = banded.select("key", "fp").join(buckets, "key").join(texts.select("fp", "sig"), "fp")
     members = _dealt(members, "blocks").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     pair_schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-    near = members.select("key", "lo", "hi", "fp", "sig").mapInArrow(_connect(least), pair_schema)
+    near = map_batches(members.select("key", "lo", "hi", "fp", "sig"), _connect(least), pair_schema)
     clusters = materialize(components(near), "clusters")
 
     # exact verification, cluster by cluster
@@ -393,13 +393,13 @@ def jaccard_links(
         [T.StructField("root", T.BinaryType()), T.StructField("blocks", T.IntegerType()), T.StructField("fp", T.BinaryType()),
          T.StructField("sig", T.BinaryType()), T.StructField("set", T.BinaryType())]
     )
-    chosen = _dealt(chosen.mapInArrow(_shingle(words), set_schema), "blocks")
+    chosen = _dealt(map_batches(chosen, _shingle(words), set_schema), "blocks")
     chosen = chosen.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "side", "fp")
     link_schema = T.StructType(
         [T.StructField("fp", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("root", T.BinaryType())]
     )
     verified = materialize(
-        chosen.select("root", "lo", "hi", "side", "fp", "sig", "set").mapInArrow(_verify(least, threshold), link_schema), "verified"
+        map_batches(chosen.select("root", "lo", "hi", "side", "fp", "sig", "set"), _verify(least, threshold), link_schema), "verified"
     )
     links = verified.groupBy("fp").agg(F.sum("links").alias("links"))
     classes = components(verified.select(F.col("fp").alias("a"), F.col("root").alias("b")))

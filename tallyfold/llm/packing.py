@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
+from .shared import map_batches
 
 TOKENS = 1024
 SEGMENTS = 64
@@ -128,7 +129,7 @@ def pack(
     fields = [f for f in ready.schema.fields if f.name not in ("segments", "loss")]
     schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     limits = np.array([max_tokens, max_segments, max_loss or max_tokens])
-    out = ready.mapInArrow(_packer(limits, pool), schema)
+    out = map_batches(ready, _packer(limits, pool), schema)
     return out if length == "length" else out.withColumnRenamed("length", length)
 
 
@@ -171,5 +172,5 @@ def pieces(
     schema = T.StructType(
         [narrow.schema["doc_id"]] + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]
     )
-    cut = narrow.mapInArrow(_cut(longest, last_id, path or bpe.default_path()), schema)
+    cut = map_batches(narrow, _cut(longest, last_id, path or bpe.default_path()), schema)
     return cut.withColumn("loss", F.col("length") - 1)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
+from .shared import map_batches
 
 #: "most": the span that holds most of the token's characters, the earlier one on a tie;
 #: "first", "last": the span that holds its first or last character
@@ -133,6 +134,6 @@ def section_tokens(
         [T.StructField("doc_id", df.schema[doc].dataType)]
         + [T.StructField(n, T.IntegerType()) for n in ("field", "section", "start", "end", "tokens", "crossing")]
     )
-    counted = narrow.mapInArrow(_count(len(fields), between, section_end, rule, path), schema)
+    counted = map_batches(narrow, _count(len(fields), between, section_end, rule, path), schema)
     names = F.array(*[F.lit(f) for f in fields])
     return counted.withColumn("field", F.get(names, F.col("field")))

@@ -10,7 +10,7 @@ _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_P, -1, 1 << 64)
 #: bytes of text worked on at once; a longer single text is worked on alone
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 _POWERS: dict[int, np.ndarray] = {}

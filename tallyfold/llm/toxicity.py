@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
+from .shared import map_batches
 
 #: features: words hashed to so many bits
 BITS = 20
@@ -162,7 +163,7 @@ def train(
     narrow = documents.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     narrow = narrow.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "text")
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("words", T.BinaryType())])
-    hashed = narrow.mapInArrow(_featurise, schema).groupBy("doc_id").agg(F.min("words").alias("words"))
+    hashed = map_batches(narrow, _featurise, schema).groupBy("doc_id").agg(F.min("words").alias("words"))
     held, values = {}, 0
     for row in hashed.withColumn("place", place).orderBy("place").toLocalIterator():
         values += len(row["words"]) // 4
@@ -202,11 +203,11 @@ def score(documents: DataFrame, model: Model, doc: str = "doc_id", text: str = "
         F.col(f"`{doc}`").alias("doc_id"), held_out(doc).alias("held_out"), F.col(f"`{text}`").alias("text")
     )
     fields = [narrow.schema["doc_id"], narrow.schema["held_out"], T.StructField("score", T.DoubleType())]
-    scored = narrow.mapInArrow(_scorer(shared, "text", None), T.StructType(fields))
+    scored = map_batches(narrow, _scorer(shared, "text", None), T.StructType(fields))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def clean(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows, whole, whose text scores below ``threshold``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.mapInArrow(_scorer(shared, text, threshold), documents.schema)
+    return map_batches(documents, _scorer(shared, text, threshold), documents.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from . import tokens
-from .shared import materialize
+from .shared import map_batches, materialize
 
 #: payloads below this are always written in full
 LEAST_SHARED = 1000
@@ -201,7 +201,7 @@ def write_archives(
     marked = rows.join(shared, F.col("digest") == F.col("_shared"), "left")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
     ready = marked.select("page_id", "url", "html", "digest", refers.cast("long").alias("refers_to"))
-    return materialize(ready.mapInArrow(_write(folder, file_bytes), INDEX), "warc-index")
+    return materialize(map_batches(ready, _write(folder, file_bytes), INDEX), "warc-index")
 
 
 def _ranges(index: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     revisit has the size and digest of the full payload, but not the payload.
     """
     wanted = _ranges(index.distinct()).sortWithinPartitions("file", "offset")
-    return wanted.select("file", "offset", "length", "parts").mapInArrow(_read(folder), RECORD)
+    return map_batches(wanted.select("file", "offset", "length", "parts"), _read(folder), RECORD)
 
 
 def archive_folder(spark: SparkSession) -> str:
