@@ -14,7 +14,7 @@ from ..session import scratch_path
 BATCH_ROWS = 256
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage and keeps expensive columns from being computed twice. The
@@ -22,7 +22,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     own under ``spark.checkpoint.dir``, which is the cluster's to clear.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
