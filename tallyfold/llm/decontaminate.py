@@ -40,7 +40,8 @@ STEPS = 3
 CLASS_RATIO = 1.25
 #: bytes of benchmark text whose index is sent to the tasks at once; more text means more passes
 BLOCK_BYTES = 8 << 20
-_FILTER_BITS = 24
+#: slots of the table of known word pairs for each pair in it
+_SLOTS = 16
 
 
 def repeats(recall: float = RECALL) -> int:
@@ -92,14 +93,15 @@ class Index:
         hashes, starts = tokens.words(pa.array(texts, pa.string()))
         self.ids, self.max_edits = ids, max_edits
         self.items = [hashes[a:b] for a, b in zip(starts[:-1], starts[1:])]
-        self.known = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.single = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        self.bits = min(26, max(12, math.ceil(math.log2(_SLOTS * max(1, len(hashes))))))
+        self.known = np.zeros(1 << self.bits, dtype=bool)
+        self.single = np.zeros(1 << self.bits, dtype=bool)
         by_width: dict[int, list[int]] = {}
         for i, words in enumerate(self.items):
             if len(words):
                 by_width.setdefault(window_length(len(words)), []).append(i)
-                self.single[_slot(words)] = True
-                self.known[_slot(_pairs(words))] = True
+                self.single[self.slot(words)] = True
+                self.known[self.slot(_pairs(words))] = True
         self.classes = []
         for width, members in sorted(by_width.items()):
             walks = Walks(width, recall)
@@ -111,6 +113,9 @@ class Index:
             edits = max(int(max_edits * len(self.items[i])) for i in members)
             self.classes.append((width, edits, walks, tables))
 
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def edits(self, item: int) -> int:
         return int(self.max_edits * len(self.items[item]))
 
@@ -119,10 +124,6 @@ def _pairs(words: np.ndarray) -> np.ndarray:
     return tokens.mix(words[:-1] * np.uint64(3) + words[1:])
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-
-
 def matches(item: np.ndarray, region: np.ndarray, edits: int) -> list[tuple[int, int]]:
     """(distance, end) of separate runs of ``region`` within ``edits`` of ``item``, the best of each place.
 
@@ -165,7 +166,7 @@ def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     stop = starts[1:][owner]
     pairs = np.zeros(len(flat) + 1, dtype=np.int32)
-    known = index.known[_slot(_pairs(flat))] & (owner[:-1] == owner[1:])
+    known = index.known[index.slot(_pairs(flat))] & (owner[:-1] == owner[1:])
     np.cumsum(known, out=pairs[1:-1])
     pairs[-1] = pairs[-2]
     hits: set[tuple[int, int]] = set()
@@ -174,7 +175,7 @@ def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         last = np.minimum(np.arange(len(flat)) + width, stop) - 1
         enough = pairs[last] - pairs[: len(flat)] >= max(need, 0)
         if need <= 0:
-            enough &= index.single[_slot(flat)] if edits == 0 else True
+            enough &= index.single[index.slot(flat)] if edits == 0 else True
         at = np.flatnonzero(enough & (last - np.arange(len(flat)) + 1 >= width - edits))
         for begin in range(0, len(at), 1 << 14):
             some = at[begin : begin + (1 << 14)]
@@ -203,9 +204,12 @@ def _verify(index: Index, flat, starts, owner, hits) -> list[tuple[int, int, int
         low = np.maximum(starts[rows], at - edits)
         high = np.minimum(starts[rows + 1], at + n + 2 * edits)
         # all but ``edits`` of the item's words must be there: loses nothing, and is cheaper than the distance
-        around = low[:, None] + np.arange(n + 3 * edits)
-        present = np.isin(flat[np.minimum(around, len(flat) - 1)], words) & (around < high[:, None])
-        likely = np.flatnonzero(present.sum(axis=1) >= n - edits)
+        likely = np.zeros(len(at), dtype=bool)
+        for begin in range(0, len(at), 1 << 13):
+            some = slice(begin, begin + (1 << 13))
+            around = low[some, None] + np.arange(n + 3 * edits)
+            present = np.isin(flat[np.minimum(around, len(flat) - 1)], words) & (around < high[some, None])
+            likely[some] = present.sum(axis=1) >= n - edits
         # overlapping surroundings of one row are searched as one
         at, rows, low, high = at[likely], rows[likely], low[likely], high[likely]
         cuts = np.flatnonzero((rows[1:] != rows[:-1]) | (low[1:] > high[:-1])) + 1
