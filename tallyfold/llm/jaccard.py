@@ -37,7 +37,7 @@ HASHES = BANDS * BAND_ROWS
 #: MinHash values compared at a time
 STEP = 25
 #: a pair is dropped when it reaches the threshold with less than this probability
-TOLERANCE = 1e-4
+TOLERANCE = 1e-5
 #: texts of one group that a task holds, twice
 BLOCK = 1024
 BLOCK_BYTES = 24 << 20
@@ -254,7 +254,7 @@ def _verify(least: list[int], threshold: float):
             rows = np.arange(len(sig))
             end = np.repeat(starts[1:], np.diff(starts))
             # rows of a group are sorted by side: the other side begins after the last row of lo
-            on_lo = np.add.reduceat(side == lo, starts[:-1])
+            on_lo = np.add.reduceat(side == lo, starts[:-1], dtype=np.int64)
             across = np.repeat(starts[:-1] + on_lo, np.diff(starts))
             first = np.where(lo == hi, rows + 1, np.where(side == lo, across, end))
             links = np.zeros(len(sig), dtype=np.int64)
