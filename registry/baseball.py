@@ -230,6 +230,18 @@ def pitch_type_games(spark, sf):
     return type_games(clean(spark, sf))
 
 
+def _strict(name: str) -> str:
+    source = codes.GAME_COUNTERS[name][0]
+    return f"CASE WHEN count({source}) = count(*) THEN {_n(_COUNTERS[name])} END"
+
+
+@query(f"""{W} SELECT pitcher, year, game_pk, pitch_type, {', '.join(f'{_strict(n)} AS {n}' for n in codes.GAME_COUNTERS)},
+           {' + '.join(_strict(n) for n in codes.PITCHES_THROWN)} AS pitches_thrown
+           FROM p GROUP BY pitcher, year, game_pk, pitch_type""")
+def pitch_type_games_strict(spark, sf):
+    return type_games(clean(spark, sf), strict_null=True).select("pitcher", "year", "game_pk", "pitch_type", *_SUMS)
+
+
 @query(f"{W}, {_games_sql()}, {_SEASON_SQL} SELECT * FROM ps")
 def pitch_type_seasons(spark, sf):
     return _settle(type_seasons(type_games(clean(spark, sf))), codes.SEASON_MEANS)

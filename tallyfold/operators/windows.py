@@ -9,7 +9,8 @@ Each (group, slice) is a window of its own, and a table of at most two rows per
 bound carries counts, sums, last values and maxima across the cuts. The result
 is that of the plain plan; the tests compare both with brute force.
 
-Nothing runs while the plan is built. The sliced table is kept on the executors'
+A slice is a partition: it costs a task, and nothing per row. Nothing runs while
+the plan is built. The sliced table is kept on the executors'
 disks (``persist``), as rows and carries must see the same bounds; a lost part is
 computed again by the same bounds. ``spark.catalog.clearCache()`` releases it.
 """
@@ -32,8 +33,8 @@ def _null_safe(a: str, b: str, keys: Sequence[str]) -> Column:
 
 
 def _place(order: Sequence[str]) -> Column:
-    """A row's place in its group as one comparable value."""
-    return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
+    """A row's place in its group as one comparable value, never missing itself."""
+    return F.struct(*[F.col(c) for c in order])
 
 
 def ordered_scan(

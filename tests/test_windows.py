@@ -63,6 +63,12 @@ def test_large_group_is_cut_and_the_carry_is_small(spark):
     assert {r["id"]: r["n"] for r in out.collect()} == {i: v[0] for i, v in brute(rows).items()}
 
 
+def test_a_missing_order_value_comes_first(spark):
+    df = spark.createDataFrame([("g", None if i == 0 else i, i) for i in range(30)], "k string, o int, id int")
+    out = windows.ordered_scan(df, ["k"], ["o"], row_number="n", previous={"p": "id"}, slices=30)
+    assert [(r["n"], r["p"]) for r in as_dicts(out, "id")] == [(i + 1, i - 1 if i else None) for i in range(30)]
+
+
 @pytest.mark.parametrize("slices", [None, 7])
 def test_rank_with_ties(spark, slices):
     rows = skewed(3)
