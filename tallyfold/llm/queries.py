@@ -217,44 +217,34 @@ def op9_owned_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
 def op3_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.leaks(docs, table(spark, folder, "benchmark"))
 
 
-QUERIES["op3_benchmark_leaks"] = op3_benchmark_leaks
-
-
+@query()
 def op4_jaccard_classes(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_links(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES["op4_jaccard_classes"] = op4_jaccard_classes
-
-
+@query()
 def op5_section_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.section_tokens(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES["op5_section_tokens"] = op5_section_tokens
-
-
+@query()
 def op8_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     cut = packing.pieces(table(spark, folder, "documents").select("doc_id", "text"))
     return packing.pack(cut, loss="loss")
 
 
-QUERIES["op8_packed_sequences"] = op8_packed_sequences
-
-
+@query()
 def op7_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
-QUERIES["op7_toxicity_scores"] = op7_toxicity_scores
-
-
 @query("""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h FROM pages
@@ -274,6 +264,6 @@ def op10_archived_pages(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(index, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL is not None:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
