@@ -63,25 +63,31 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def _texts_with(rows: list[np.ndarray]) -> np.ndarray:
+    """For each word in how many of the texts it occurs."""
+    out = np.zeros(1 << BITS)
+    for at in range(0, len(rows), 1000):
+        words = np.concatenate(rows[at : at + 1000])
+        out += np.bincount(words, minlength=1 << BITS)
+    return out
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """The classifier of least non-negative risk; without positives every score is 0."""
     if not positive or not 0 < prior < 1:
         always = 60.0 if positive and prior >= 1 else -60.0
         return Model(np.zeros(1 << BITS, dtype=np.float32), always, prior)
     unlabelled = unlabelled or positive
-    rows = [*positive, *unlabelled]
-    words = np.concatenate(rows)
-    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    expected = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS) * (len(positive) / len(unlabelled))
-    excess = np.bincount(np.concatenate(positive), minlength=1 << BITS) - expected
+    expected = _texts_with(unlabelled) * (len(positive) / len(unlabelled))
+    excess = _texts_with(positive) - expected
     used = np.flatnonzero(excess >= LEAST_Z * np.sqrt(expected + 1))
-    number = np.full(1 << BITS, -1, dtype=np.int64)
+    number = np.full(1 << BITS, -1, dtype=np.int32)
     number[used] = np.arange(len(used))
-    local = number[words]
-    keep = local >= 0
-    owner = np.repeat(np.arange(len(rows)), np.diff(starts))[keep]
-    local = local[keep]
-    starts = np.searchsorted(owner, np.arange(len(rows) + 1))
+    # only the words that are used are held together
+    rows = [n[n >= 0] for n in (number[r] for r in (*positive, *unlabelled))]
+    local = np.concatenate(rows)
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(starts))
     is_p = np.arange(len(rows)) < len(positive)
     n_p, n_u = len(positive), len(unlabelled)
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
