@@ -1,13 +1,13 @@
 """Benchmark passages inside documents, within an edit distance.
 
-Words are the symbols. Windows as long as an item are embedded by the CGK
-random walk (Chakraborty, Goldenberg, Koucky 2016), under which a small edit
-distance becomes a small Hamming distance; sampled positions of the embedding
-are the keys of a locality-sensitive hash, repeated until the wanted recall is
-reached; every pair found is verified by its exact edit distance.
-
-A window is embedded only if it holds enough word pairs of the benchmark: an
-edit spoils at most two of them, so this count filter loses nothing.
+Words are the symbols. An item that may have k edits is cut into k + 1 pieces;
+an edit spoils at most one of them, so wherever the item occurs a piece is left
+as it was. The pieces' hashes are looked up at every word of a text, each place
+found fixes where the item would lie, and its surroundings are verified by their
+exact edit distance. Nothing within the distance is lost.
+
+Surroundings are verified only if they hold enough word pairs of the benchmark:
+an edit spoils at most two of them, so this count filter loses nothing either.
 """
 
 from __future__ import annotations
@@ -27,97 +27,88 @@ from .shared import map_batches
 
 #: an item is found where at most this share of its words is edited
 MAX_EDITS = 0.2
+#: the least share of such places to be found; the search finds all of them
 RECALL = 0.99
-#: sampled positions per key
-SAMPLED = 3
-#: keys drawn from one walk
-KEYS_PER_WALK = 4
-#: share of embedded positions that differ at the largest edit distance, measured on random edits
-HAMMING_AT_MAX = 0.6
-#: steps of a walk per word of the window
-STEPS = 3
-#: ratio of the longest to the shortest item that share a window length
-CLASS_RATIO = 1.25
+#: words of a piece that are hashed, at most: a piece left as it was begins as it did
+PIECE_WORDS = 8
+#: candidates worked on at once
+CANDIDATES = 1 << 18
 #: bytes of benchmark text whose index is sent to the tasks at once; more text means more passes
 BLOCK_BYTES = 8 << 20
 #: slots of the table of known word pairs for each pair in it
 _SLOTS = 16
 
 
-def repeats(recall: float = RECALL) -> int:
-    """Keys per window so that an item at the largest distance is met with probability ``recall``."""
-    hit = (1 - HAMMING_AT_MAX) ** SAMPLED
-    return math.ceil(math.log(1 - recall) / math.log(1 - hit))
-
-
-def window_length(n: int) -> int:
-    """The window length for items of ``n`` words: the largest step of a geometric scale up to n."""
-    w = 1
-    while True:
-        up = max(w + 1, int(w * CLASS_RATIO))
-        if up > n:
-            return w
-        w = up
-
-
-class Walks:
-    """Seeded random walks and the positions sampled from them, for one window length."""
-
-    def __init__(self, width: int, recall: float, seed: int = 11) -> None:
-        rng = np.random.default_rng([seed, width])
-        self.width, self.steps = width, STEPS * width
-        self.count = -(-repeats(recall) // KEYS_PER_WALK)
-        draw = lambda shape: rng.integers(0, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.bits = draw((self.count, self.steps))
-        # a walk passes a word in about two steps: late steps mostly lie beyond the window
-        last = max(SAMPLED, 2 * width)
-        self.sampled = np.stack([rng.choice(last, SAMPLED, replace=False) for _ in range(KEYS_PER_WALK)])
-        self.weights = draw((KEYS_PER_WALK, SAMPLED))
-
-    def keys(self, flat: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Keys of the windows that begin at ``at`` and end before ``stop``: one row per repeat."""
-        place = np.repeat(at[None, :], self.count, axis=0)
-        out = np.zeros((KEYS_PER_WALK, self.count, len(at)), dtype=np.uint64)
-        for step in range(int(self.sampled.max()) + 1):
-            symbol = np.where(place < stop, flat[np.minimum(place, len(flat) - 1)], np.uint64(0))
-            for k, j in np.argwhere(self.sampled == step):
-                out[k] += tokens.mix(symbol + np.uint64(j + 1)) * self.weights[k, j]
-            place += ((symbol * self.bits[:, step, None]) >> np.uint64(63)).astype(np.int64)
-        return out.reshape(-1, len(at))
+def repeats(edits: int = 0) -> int:
+    """Keys per item, so that ``edits`` edits leave at least one as it was."""
+    return edits + 1
+
+
+def cuts(n: int, edits: int) -> list[tuple[int, int]]:
+    """First word and hashed words of each piece of an item of ``n`` words, more than ``edits``."""
+    keys = repeats(edits)
+    bounds = [n * k // keys for k in range(keys + 1)]
+    return [(a, min(b - a, PIECE_WORDS)) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _runs(words: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` words from each place on; none where fewer are left."""
+    out = tokens.mix(words[: max(0, len(words) - length + 1)] + np.uint64(length))
+    for k in range(1, length):
+        out = tokens.mix(out * np.uint64(3) + words[k : k + len(out)])
+    return out
+
+
+def _bits(n: int) -> int:
+    return min(26, max(12, math.ceil(math.log2(_SLOTS * max(1, n)))))
+
+
+class Pieces:
+    """The pieces of one length: sorted keys with item and first word of each, and a table of the keys there are."""
+
+    def __init__(self, length: int, keys: np.ndarray, items: np.ndarray, offsets: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.length, self.keys, self.items, self.offsets = length, keys[order], items[order], offsets[order]
+        self.bits = _bits(len(keys))
+        self.known = np.zeros(1 << self.bits, dtype=bool)
+        self.known[self.slot(keys)] = True
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
 class Index:
-    """The items of one block: words, known word pairs, and keys per window length."""
+    """The items of one block: words, known word pairs, and pieces by length.
+
+    ``max_edits`` is below 1. Every ``recall`` is met, as nothing is lost.
+    """
 
     def __init__(self, ids: list, texts: list[str | None], max_edits: float, recall: float) -> None:
+        if not 0 <= max_edits < 1:
+            raise ValueError("max_edits must be at least 0 and below 1")
         hashes, starts = tokens.words(pa.array(texts, pa.string()))
-        self.ids, self.max_edits = ids, max_edits
+        self.ids = ids
         self.items = [hashes[a:b] for a, b in zip(starts[:-1], starts[1:])]
-        self.bits = min(26, max(12, math.ceil(math.log2(_SLOTS * max(1, len(hashes))))))
+        self.sizes = np.diff(starts)
+        self.limits = np.array([int(max_edits * n) for n in self.sizes.tolist()], dtype=np.int64)
+        self.bits = _bits(len(hashes))
         self.known = np.zeros(1 << self.bits, dtype=bool)
-        self.single = np.zeros(1 << self.bits, dtype=bool)
-        by_width: dict[int, list[int]] = {}
+        by_length: dict[int, list[tuple[int, int]]] = {}
         for i, words in enumerate(self.items):
             if len(words):
-                by_width.setdefault(window_length(len(words)), []).append(i)
-                self.single[self.slot(words)] = True
                 self.known[self.slot(_pairs(words))] = True
-        self.classes = []
-        for width, members in sorted(by_width.items()):
-            walks = Walks(width, recall)
-            at = starts[:-1][members]
-            tables = []
-            for keys in walks.keys(hashes, at, at + width):
-                order = np.argsort(keys, kind="stable")
-                tables.append((keys[order], np.asarray(members)[order]))
-            edits = max(int(max_edits * len(self.items[i])) for i in members)
-            self.classes.append((width, edits, walks, tables))
+                for offset, length in cuts(len(words), self.edits(i)):
+                    by_length.setdefault(length, []).append((i, offset))
+        self.pieces = []
+        for length, found in sorted(by_length.items()):
+            items, offsets = np.array(found, dtype=np.int64).T
+            self.pieces.append(Pieces(length, _runs(hashes, length)[starts[items] + offsets], items, offsets))
 
     def slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def edits(self, item: int) -> int:
-        return int(self.max_edits * len(self.items[item]))
+        return int(self.limits[item])
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
@@ -161,7 +152,7 @@ def matches(item: np.ndarray, region: np.ndarray, edits: int) -> list[tuple[int,
 def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     """(row, item, least distance, places, end of the first place in words) of every item found in a text."""
     flat, starts = tokens.words(texts)
-    if len(flat) == 0 or not index.classes:
+    if len(flat) == 0 or not index.pieces:
         return []
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     stop = starts[1:][owner]
@@ -169,51 +160,53 @@ def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     known = index.known[index.slot(_pairs(flat))] & (owner[:-1] == owner[1:])
     np.cumsum(known, out=pairs[1:-1])
     pairs[-1] = pairs[-2]
-    hits: set[tuple[int, int]] = set()
-    for width, edits, walks, tables in index.classes:
-        need = width - 1 - 2 * edits
-        last = np.minimum(np.arange(len(flat)) + width, stop) - 1
-        enough = pairs[last] - pairs[: len(flat)] >= max(need, 0)
-        if need <= 0:
-            enough &= index.single[index.slot(flat)] if edits == 0 else True
-        at = np.flatnonzero(enough & (last - np.arange(len(flat)) + 1 >= width - edits))
-        for begin in range(0, len(at), 1 << 14):
-            some = at[begin : begin + (1 << 14)]
-            ends = np.minimum(some + width, stop[some])
-            for keys, (table, members) in zip(walks.keys(flat, some, ends), tables, strict=True):
-                left = np.searchsorted(table, keys, "left")
-                met = np.flatnonzero((left < len(table)) & (table[np.minimum(left, len(table) - 1)] == keys))
-                right = np.searchsorted(table, keys[met], "right")
-                for m, r in zip(met.tolist(), right.tolist()):
-                    for x in range(left[m], r):
-                        hits.add((int(some[m]), int(members[x])))
-    return _verify(index, flat, starts, owner, hits)
-
-
-def _verify(index: Index, flat, starts, owner, hits) -> list[tuple[int, int, int, int, int]]:
-    """The hits whose item is within its edit distance, by row and item."""
-    by_item: dict[int, list[int]] = {}
-    for at, item in hits:
-        by_item.setdefault(item, []).append(at)
+    hits = []
+    for pieces in index.pieces:
+        keys = _runs(flat, pieces.length)
+        places = np.arange(len(keys))
+        places = places[pieces.known[pieces.slot(keys)] & (places + pieces.length <= stop[: len(keys)])]
+        left = np.searchsorted(pieces.keys, keys[places], "left")
+        count = np.searchsorted(pieces.keys, keys[places], "right") - left
+        places, left, count = places[count > 0], left[count > 0], count[count > 0]
+        parts = np.flatnonzero(np.diff(np.cumsum(count) // CANDIDATES)) + 1
+        for place, first, n in zip(np.split(places, parts), np.split(left, parts), np.split(count, parts)):
+            piece = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place, item = np.repeat(place, n), pieces.items[piece]
+            row, at = owner[place], place - pieces.offsets[piece]
+            low, high = _around(index, starts, item, row, at)
+            need = index.sizes[item] - 1 - 2 * index.limits[item]
+            enough = pairs[high - 1] - pairs[low] >= need
+            hits.append(np.unique(np.stack([item, row, at])[:, enough], axis=1))
+    return _verify(index, flat, starts, np.unique(np.concatenate(hits, axis=1), axis=1))
+
+
+def _around(index: Index, starts, item, row, at) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of what an item can cover that lies at ``at``, give or take its edits."""
+    edits = index.limits[item]
+    return np.maximum(starts[row], at - edits), np.minimum(starts[row + 1], at + index.sizes[item] + edits)
+
+
+def _verify(index: Index, flat, starts, hits) -> list[tuple[int, int, int, int, int]]:
+    """The hits (item, row, place; in this order) whose item is within its edit distance, by row and item."""
     found: dict[tuple[int, int], list[int]] = {}
-    for item, places in by_item.items():
+    bounds = np.flatnonzero(np.diff(hits[0])) + 1
+    for mine in np.split(hits, bounds, axis=1) if hits.shape[1] else []:
+        item, rows = int(mine[0, 0]), mine[1]
         words, edits = index.items[item], index.edits(item)
         n = len(words)
-        at = np.sort(np.asarray(places))
-        rows = owner[at]
-        low = np.maximum(starts[rows], at - edits)
-        high = np.minimum(starts[rows + 1], at + n + 2 * edits)
+        low, high = _around(index, starts, *mine)
         # all but ``edits`` of the item's words must be there: loses nothing, and is cheaper than the distance
-        likely = np.zeros(len(at), dtype=bool)
-        for begin in range(0, len(at), 1 << 13):
-            some = slice(begin, begin + (1 << 13))
-            around = low[some, None] + np.arange(n + 3 * edits)
+        likely = np.zeros(len(rows), dtype=bool)
+        step = max(1, (1 << 19) // (n + 2 * edits))
+        for begin in range(0, len(rows), step):
+            some = slice(begin, begin + step)
+            around = low[some, None] + np.arange(n + 2 * edits)
             present = np.isin(flat[np.minimum(around, len(flat) - 1)], words) & (around < high[some, None])
             likely[some] = present.sum(axis=1) >= n - edits
         # overlapping surroundings of one row are searched as one
-        at, rows, low, high = at[likely], rows[likely], low[likely], high[likely]
-        cuts = np.flatnonzero((rows[1:] != rows[:-1]) | (low[1:] > high[:-1])) + 1
-        for first, last in zip(np.append(0, cuts)[: len(at)], np.append(cuts, len(at))):
+        rows, low, high = rows[likely], low[likely], high[likely]
+        apart = np.flatnonzero((rows[1:] != rows[:-1]) | (low[1:] > high[:-1])) + 1
+        for first, last in zip(np.append(0, apart)[: len(rows)], np.append(apart, len(rows))):
             row, begin = int(rows[first]), int(low[first])
             for distance, end in matches(words, flat[begin : int(high[last - 1])], edits):
                 seen = found.setdefault((row, item), [distance, 0, begin + end - int(starts[row])])
@@ -253,10 +246,9 @@ def leaks(
     """One row per document row and item found in it: doc, item, distance, item_words, places, first_end.
 
     An item of n words is found where a run of the document's words is within
-    floor(max_edits n) word edits of it; exact copies are always found, edited
-    ones with probability ``recall`` or more. ``distance`` is the least one,
-    ``places`` how many separate places were found, ``first_end`` the place of
-    the first, in words.
+    floor(max_edits n) word edits of it, always, so every ``recall`` is met;
+    ``max_edits`` is below 1. ``distance`` is the least one, ``places`` how many
+    separate places were found, ``first_end`` the place of the first, in words.
 
     Words are runs of letters and digits, in lower case. Null, empty or
     wordless texts contain nothing and are contained in nothing. Repeated

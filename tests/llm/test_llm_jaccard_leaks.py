@@ -220,3 +220,35 @@ def test_words_equal_a_regular_expression():
             assert all(names.setdefault(h, w) == w for h, w in zip(got, want))
         assert len(set(names.values())) == len(names)
     assert [len(x) for x in tokens.words(pa.array([], pa.string()))] == [0, 1]
+
+
+EDITS = {
+    "head cut": lambda rng, w, k, new: w[k:],
+    "tail cut": lambda rng, w, k, new: w[:-k],
+    "head replaced": lambda rng, w, k, new: new(k) + w[k:],
+    "tail replaced": lambda rng, w, k, new: w[:-k] + new(k),
+    "block cut": lambda rng, w, k, new: w[: (at := rng.randrange(len(w) - k + 1))] + w[at + k :],
+    "block inserted": lambda rng, w, k, new: w[: (at := rng.randrange(1, len(w)))] + new(k) + w[at:],
+    "words deleted": lambda rng, w, k, new: [w[i] for i in sorted(rng.sample(range(len(w)), len(w) - k))],
+    "words replaced": lambda rng, w, k, new: [new(1)[0] if i in spoiled else x for spoiled in [set(rng.sample(range(len(w)), k))] for i, x in enumerate(w)],
+    "words inserted": lambda rng, w, k, new: [y for i, x in enumerate(w) for y in ([x, *new(1)] if i in spoiled else [x])] if (spoiled := set(rng.sample(range(len(w) - 1), k))) else w,
+}
+
+
+def lost_passages(trials=12):
+    """(kind of edit, words of the item) -> passages at the largest distance that are not found, of ``trials``."""
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    lost = {}
+    for n in (5, 9, 14, 22, 26, 59, 120, 300):
+        items = [new(n) for _ in range(trials)]
+        index = decontaminate.Index(list(range(trials)), [" ".join(w) for w in items], 0.2, 0.99)
+        for kind, edit in EDITS.items():
+            docs = [" ".join([*new(30), *edit(rng, w, int(0.2 * n), new), *new(30)]) for w in items]
+            found = {(row, item) for row, item, *_ in decontaminate.find(index, pa.array(docs))}
+            lost[kind, n] = sum((k, k) not in found for k in range(trials))
+    return lost
+
+
+def test_no_kind_of_edit_and_no_length_loses_passages():
+    assert {k: n for k, n in lost_passages().items() if n} == {}
