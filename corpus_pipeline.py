@@ -57,7 +57,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.pack(packing.pieces(docs), loss="loss")
+    return packing.pack(packing.pieces(docs, special=True), loss="loss")
 
 
 STAGES = [

@@ -10,6 +10,9 @@ import numpy as np
 #: how the vocabulary's own pre-tokenizer cuts a text (fixed value, part of its format)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: the vocabulary's special token (fixed value, part of its format); its id follows the ranks
+SPECIAL = "<|endoftext|>"
+
 
 def default_path() -> str:
     """The vocabulary as ranks; the ids equal those of the same vocabulary's tokenizer file."""
@@ -24,16 +27,22 @@ def _load(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+    special = max(ranks.values()) + 1
+    sizes = np.zeros(special + 1, dtype=np.int64)
     for token, rank in ranks.items():
         sizes[rank] = len(token)
-    # no special tokens: their strings in a text are ordinary text
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
+    sizes[special] = len(SPECIAL)
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: special}), sizes
+
 
+def encode(text: str, path: str, special: bool = False) -> np.ndarray:
+    """The ids of a whole text.
 
-def encode(text: str, path: str) -> np.ndarray:
-    """The ids of a whole text."""
-    return np.array(_load(path)[0].encode_ordinary(text), dtype=np.uint32)
+    With ``special``, the special token's string is that token, as the
+    vocabulary's tokenizer file has it; without, it is ordinary text.
+    """
+    by = _load(path)[0]
+    return np.array(by.encode(text, allowed_special="all") if special else by.encode_ordinary(text), dtype=np.uint32)
 
 
 def byte_sizes(path: str) -> np.ndarray:

@@ -133,12 +133,12 @@ def pack(
     return out if length == "length" else out.withColumnRenamed("length", length)
 
 
-def _cut(longest: int, last_id: int, path: str):
+def _cut(longest: int, last_id: int, path: str, special: bool):
     def run(batches):
         for batch in batches:
             rows, start, length, crc, total = [], [], [], [], []
             for r, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.append(bpe.encode(text or "", path), np.uint32(last_id)).astype("<u4")
+                ids = np.append(bpe.encode(text or "", path, special), np.uint32(last_id)).astype("<u4")
                 for at in range(0, len(ids), longest):
                     part = ids[at : at + longest]
                     rows.append(r)
@@ -159,18 +159,24 @@ def _cut(longest: int, last_id: int, path: str):
 
 
 def pieces(
-    df: DataFrame, doc: str = "doc_id", text: str = "text", longest: int = TOKENS, last_id: int = 0, path: str | None = None
+    df: DataFrame,
+    doc: str = "doc_id",
+    text: str = "text",
+    longest: int = TOKENS,
+    last_id: int = 0,
+    path: str | None = None,
+    special: bool = False,
 ) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, loss.
 
     A document is the ids of its whole text, then ``last_id``; it is cut after
     every ``longest`` ids. ``loss`` counts the ids of a piece that another id of
-    the piece precedes. A null or empty text is ``last_id`` alone. Repeated rows
+    the piece precedes. ``special`` as in ``bpe.encode``. A null or empty text is ``last_id`` alone. Repeated rows
     are documents each; an empty table gives none; other columns are ignored.
     """
     narrow = df.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType(
         [narrow.schema["doc_id"]] + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]
     )
-    cut = map_batches(narrow, _cut(longest, last_id, path or bpe.default_path()), schema)
+    cut = map_batches(narrow, _cut(longest, last_id, path or bpe.default_path(), special), schema)
     return cut.withColumn("loss", F.col("length") - 1)

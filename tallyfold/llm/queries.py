@@ -230,12 +230,12 @@ def op4_jaccard_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op5_section_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts.section_tokens(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return token_counts.section_tokens(table(spark, folder, "documents").select("doc_id", "source", "text"), special=True)
 
 
 @query()
 def op8_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    cut = packing.pieces(table(spark, folder, "documents").select("doc_id", "text"))
+    cut = packing.pieces(table(spark, folder, "documents").select("doc_id", "text"), special=True)
     return packing.pack(cut, loss="loss")
 
 

@@ -73,7 +73,7 @@ def allot(begin: np.ndarray, end: np.ndarray, starts: np.ndarray, rule: str) ->
     return out, crosses
 
 
-def _count(fields: int, between: str, section_end: str | None, rule: str, path: str):
+def _count(fields: int, between: str, section_end: str | None, rule: str, path: str, special: bool):
     def run(batches):
         sizes = bpe.byte_sizes(path)
         for batch in batches:
@@ -81,7 +81,7 @@ def _count(fields: int, between: str, section_end: str | None, rule: str, path:
             rows, out = [], {k: [] for k in ("field", "section", "start", "end", "tokens", "crossing")}
             for r in range(batch.num_rows):
                 text, starts, owner = spans_of([c[r] or "" for c in columns], between, section_end)
-                ids = bpe.encode(text, path)
+                ids = bpe.encode(text, path, special)
                 begin, end = token_spans(text, ids, sizes)
                 span, crosses = allot(begin, end, starts, rule)
                 n = len(owner)
@@ -111,6 +111,7 @@ def section_tokens(
     section_end: str | None = "\n",
     rule: str = "most",
     path: str | None = None,
+    special: bool = False,
 ) -> DataFrame:
     """One row per document, field and section: doc_id, field, section, start, end, tokens, crossing.
 
@@ -118,7 +119,8 @@ def section_tokens(
     last field is cut into sections after each ``section_end``. ``start`` and ``end``
     are code points in the document; every character lies in one section, so
     ``tokens`` add up to the document's. ``crossing`` counts those among them
-    that reach into another section and came here by ``rule``.
+    that reach into another section and came here by ``rule``. ``special`` as in
+    ``bpe.encode``.
 
     Null or empty fields have one empty section with no tokens. A null doc_id
     stays null; repeated rows are counted each; an empty table gives no rows;
@@ -134,6 +136,6 @@ def section_tokens(
         [T.StructField("doc_id", df.schema[doc].dataType)]
         + [T.StructField(n, T.IntegerType()) for n in ("field", "section", "start", "end", "tokens", "crossing")]
     )
-    counted = map_batches(narrow, _count(len(fields), between, section_end, rule, path), schema)
+    counted = map_batches(narrow, _count(len(fields), between, section_end, rule, path, special), schema)
     names = F.array(*[F.lit(f) for f in fields])
     return counted.withColumn("field", F.get(names, F.col("field")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyfold.llm import bpe, decontaminate, jaccard, packing, secret_scan, token_counts, toxicity, warc
+from tallyfold.llm import bpe, decontaminate, jaccard, packing, queries, secret_scan, token_counts, toxicity, warc
 
 TEXTS = [None, "", "a", "Hello, wörld!\nnew line\n\nend", "日本語 text\nß" * 5, "\n", "x" * 5000, " \n" * 40, "<|endoftext|> it's", "emoji 👩‍👩‍👧 ok\nüñî"]
 
@@ -30,6 +30,44 @@ def test_ids_equal_the_tokenizer_file(spark, tables):
         assert bpe.encode(text, path).tolist() == want.ids
 
 
+def with_special_tokens():
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "a", "it's", "é", "<|", "|>", "12", "<|endoftext", "end", "日本", "word " * 700]
+    return [*TEXTS, "a <|endoftext|> b", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(300))]
+
+
+def test_special_tokens_are_those_of_the_tokenizer_file():
+    t, path = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bpe.default_path()
+    texts = [x or "" for x in with_special_tokens()]
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert bpe.encode(text, path, special=True).tolist() == want.ids
+
+
+def test_registered_queries_and_the_pipeline_encode_special_tokens(spark, tmp_path):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = dict(enumerate(with_special_tokens()))
+    docs = spark.createDataFrame([(i, "s<|endoftext|>", x) for i, x in texts.items()], "doc_id long, source string, text string")
+    docs.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], dtype="<u4") for i, x in texts.items()}
+    for rows in (queries.op8_packed_sequences(spark, str(tmp_path)).collect(), corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()):
+        assert sum(r["length"] for r in rows) == sum(map(len, ids.values()))
+        for r in rows:
+            assert r["doc_tokens"] == len(ids[r["doc_id"]])
+            assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+    got, want = collections.Counter(), collections.Counter()
+    for r in queries.op5_section_tokens(spark, str(tmp_path)).collect():
+        got[r["doc_id"], r["start"], r["end"]] += r["tokens"]
+    for i, x in texts.items():
+        whole = f"s<|endoftext|>\n{x or ''}"
+        cuts = [0, 15, *(k + 1 for k in range(15, len(whole) - 1) if whole[k] == "\n"), len(whole)]
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        want.update({(i, *s): 0 for s in spans})
+        for a, b in t.encode(whole, add_special_tokens=False).offsets:
+            want[(i, *max(spans, key=lambda s: min(b, s[1]) - max(a, s[0])))] += 1
+    assert got == want
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_section_counts_equal_brute_force(spark, rule):
     t = reference()
