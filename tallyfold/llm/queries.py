@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, jaccard, packing, quality, secret_scan, sharding, token_counts, toxicity, warc
+from . import centroids, chat, decontaminate, fim, jaccard, ngram_lm, packing, quality, secret_scan, sharding, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -264,6 +264,142 @@ def op10_archived_pages(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(index, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), e AS (
+  SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || h[1:8])::UBIGINT::BIGINT AS h1, ('0x' || h[9:16])::UBIGINT::BIGINT AS h2,
+         ('0x' || h[17:24])::UBIGINT::BIGINT AS h3, ('0x' || h[25:32])::UBIGINT::BIGINT AS h4
+  FROM d
+), f AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM e
+), g AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM g
+""")
+def op11_fim_examples(spark: SparkSession, folder: str) -> DataFrame:
+    examples = fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    form, output = F.col("example.form"), F.col("example.output")
+    return examples.select(
+        "doc_id",
+        "example.n",
+        form,
+        F.col("example.prefix_units").alias("prefix_chars"),
+        F.col("example.middle_units").alias("middle_chars"),
+        F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(fim.restored(form, output), 256).alias("restored_sha256"),
+    )
+
+
+@query(f"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i::UBIGINT AS v FROM range(256) AS r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM steps WHERE k < 8
+), lookup AS (
+  SELECT list(v ORDER BY i) AS l FROM steps WHERE k = 8
+), b AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id::VARCHAR, '') AS id, coalesce(text, '') AS t FROM documents
+), d AS MATERIALIZED (
+  SELECT rid, doc_id, t,
+         xor(list_reduce(list_transform(range(1, length(id) + 1), lambda i: ascii(id[i])::UBIGINT),
+             lambda acc, x: xor(acc >> 8, l[((xor(acc, x) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT % 5 <> 1
+           AS train
+  FROM b, lookup
+), w AS (
+  SELECT rid, train, list_append(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '') AS ws
+  FROM d
+), x AS (
+  SELECT rid, train, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w
+), g AS MATERIALIZED (
+  SELECT rid, train, w, coalesce(lag(w, 1) OVER o, ' ') AS v, CASE WHEN i > 1 THEN coalesce(lag(w, 2) OVER o, ' ') END AS u
+  FROM x WINDOW o AS (PARTITION BY rid ORDER BY i)
+), c1 AS MATERIALIZED (
+  SELECT w, count(*) FILTER (train) AS n FROM g GROUP BY w
+), c2 AS MATERIALIZED (
+  SELECT v, w, count(*) FILTER (train) AS n FROM g GROUP BY v, w
+), c3 AS (
+  SELECT u, v, w, count(*) FILTER (train) AS n FROM g WHERE u IS NOT NULL GROUP BY u, v, w
+), s AS (
+  SELECT (SELECT sum(n) FROM c1) AS told, (SELECT count(*) FROM c1 WHERE n > 0) AS types, (SELECT count(*) FROM d WHERE train) AS docs
+), r AS (
+  SELECT rid, c1.n AS n1, c2.n AS n2, coalesce(c3.n, 0) AS n3, CASE WHEN g.v = ' ' THEN docs ELSE h1.n END AS h2, coalesce(h2.n, 0) AS h3,
+         told::BIGINT AS train_tokens, (c1.n + 0.5e0) / (told::DOUBLE + 0.5e0 * (types + 1)) AS p1
+  FROM g JOIN c1 USING (w) JOIN c2 ON c2.v = g.v AND c2.w = g.w LEFT JOIN c3 ON c3.u = g.u AND c3.v = g.v AND c3.w = g.w
+       LEFT JOIN c1 AS h1 ON h1.w = g.v LEFT JOIN c2 AS h2 ON h2.v = g.u AND h2.w = g.v, s
+), p AS (
+  SELECT *, (n2 + {ngram_lm.STRENGTH}e0 * p1) / (h2 + {ngram_lm.STRENGTH}e0) AS p2 FROM r
+), q AS (
+  SELECT *, (n3 + {ngram_lm.STRENGTH}e0 * p2) / (h3 + {ngram_lm.STRENGTH}e0) AS p3,
+         {ngram_lm.STRENGTH}e0 / (h2 + {ngram_lm.STRENGTH}e0) AS f2, {ngram_lm.STRENGTH}e0 / (h3 + {ngram_lm.STRENGTH}e0) AS f3
+  FROM p
+), z AS (
+  SELECT rid, n1, train_tokens, floor(log10(p1) * {ngram_lm.UNIT} + 0.5e0)::HUGEINT AS base,
+         CASE WHEN n3 > 0 THEN floor(log10(p3) * {ngram_lm.UNIT} + 0.5e0)::HUGEINT
+              ELSE floor(log10(f3) * {ngram_lm.UNIT} + 0.5e0)::HUGEINT + CASE WHEN n2 > 0 THEN floor(log10(p2) * {ngram_lm.UNIT} + 0.5e0)::HUGEINT
+                   ELSE floor(log10(f2) * {ngram_lm.UNIT} + 0.5e0)::HUGEINT + floor(log10(p1) * {ngram_lm.UNIT} + 0.5e0)::HUGEINT END END AS score
+  FROM q
+), t AS (
+  SELECT rid, count(*) AS n_tokens, count(*) FILTER (n1 > 0) AS n_known, any_value(train_tokens) AS train_tokens,
+         sum(base)::BIGINT::DOUBLE / {ngram_lm.UNIT} AS base_score, sum(score)::BIGINT::DOUBLE / {ngram_lm.UNIT} AS score
+  FROM z GROUP BY rid
+)
+SELECT doc_id, NOT train AS held_out, n_tokens, n_known, train_tokens, base_score, score FROM d JOIN t USING (rid)
+""")
+def op12_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
+    return ngram_lm.score(table(spark, folder, "documents").select("doc_id", "text"), train)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """The clustering as one step after the other: d.. all squared distances, a.. the nearest, c.. the centroids."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""d{r} AS MATERIALIZED (
+  SELECT rid, cluster, sum((x - y) * (x - y))::BIGINT AS distance FROM x JOIN c{r} USING (i) GROUP BY rid, cluster
+), a{r} AS MATERIALIZED (
+  SELECT rid, min(distance) AS distance, arg_min(cluster, (distance, cluster)) AS cluster FROM d{r} GROUP BY rid
+)""")
+        if r < rounds:
+            out.append(f"""m{r} AS (
+  SELECT cluster, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM x JOIN a{r} USING (rid) GROUP BY cluster, i
+), c{r + 1} AS MATERIALIZED (
+  SELECT cluster, i, coalesce(((s - (s % n + n) % n) // n)::BIGINT, y) AS y FROM c{r} LEFT JOIN m{r} USING (cluster, i)
+)""")
+    return ",\n".join(out)
+
+
+@query(f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), x AS MATERIALIZED (
+  SELECT rid, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM k
+), f AS (
+  SELECT v, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS cluster FROM k
+), c0 AS MATERIALIZED (
+  SELECT cluster::INT AS cluster, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM f WHERE cluster < 8
+), {_rounds_sql(10)}, s AS (
+  SELECT cluster, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c10 GROUP BY cluster
+)
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM k JOIN a10 USING (rid) JOIN s USING (cluster)
+""")
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.cluster(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    listed = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(listed, 256).alias("centroid_sha256"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

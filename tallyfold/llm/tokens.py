@@ -53,11 +53,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: pa.Array, lower: bool = True, inside: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and the first place of each text (one more than texts).
 
-    Words are runs of letters and digits, in lower case; null is empty. Two
-    different words share a hash with probability about 2 ** -60.
+    Words are runs of letters and digits, in lower case, or of the bytes marked
+    in ``inside``; null is empty. Two different words share a hash with
+    probability about 2 ** -60.
     """
     if len(texts) == 0:
         return np.empty(0, np.uint64), np.zeros(1, np.int64)
@@ -75,7 +76,7 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(buffers[2], dtype=np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
-    inside = _WORD[data]
+    inside = inside[data]
     # a word begins where a word byte follows none, or where a text begins
     first = inside.copy()
     first[1:] &= ~inside[:-1]

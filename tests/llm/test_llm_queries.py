@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, duck, tables, name):
 
 def test_all_are_registered():
     names = sorted(queries.QUERIES)
-    assert [n for n in names if n == "pipeline"] and sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert [n for n in names if n == "pipeline"] and sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert set(queries.QUERIES) <= set(entry.queries())
 
 
