@@ -14,7 +14,9 @@ chunks of bounded size. A chunk asks for the counts of the n-grams it holds,
 sorted by hash and packed by hash range; a task per range adds up what the
 chunks sent and answers each; a chunk then builds the part of the automaton that
 its texts can reach and traverses them. An n-gram, however frequent, is sent
-once by a chunk.
+once by a chunk. Longer n-grams are asked for when the shorter ones are
+answered: if no other chunk holds a part of one, its count in the chunk is its
+count in the corpus.
 """
 
 from __future__ import annotations
@@ -90,9 +92,19 @@ class Stream:
     whole: list[np.ndarray]
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and words per text; worked out for a few texts at once, as bytes take many times their size."""
+    found = []
+    for batch in tokens.slices(pa.record_batch([texts], names=["text"]), "text"):
+        hashes, starts = tokens.words(pc.ascii_lower(batch.column(0)), lower=False, inside=_INSIDE)
+        found.append((hashes, np.diff(starts)))
+    hashes, counts = zip(*found, strict=True) if found else ([np.empty(0, np.uint64)], [np.empty(0, np.int64)])
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 def stream(texts: pa.Array, order: int) -> Stream:
-    hashes, starts = tokens.words(pc.ascii_lower(texts), lower=False, inside=_INSIDE)
-    counts = np.diff(starts)
+    hashes, counts = _words(texts)
+    starts = np.concatenate([[0], np.cumsum(counts)])
     closed = starts + np.arange(len(starts))
     words = np.empty(closed[-1], dtype=np.uint64)
     is_end = np.zeros(len(words), dtype=bool)
@@ -121,18 +133,62 @@ def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(which, np.arange(ranges + 1))
 
 
-def requests(texts: pa.Array, train: np.ndarray, chunk: int, order: int, ranges: int) -> pa.RecordBatch:
-    """What a chunk asks and tells: its distinct n-grams with their counts in training texts, by hash range."""
-    run = stream(texts, order)
-    of_train = np.repeat(train, np.diff(run.starts))
+@dataclass
+class Held:
+    """The distinct n-grams of one size that a chunk's texts hold.
+
+    ``ids``: which of them ends at each place (-1: none). ``local``: training
+    counts in the chunk. ``asked``: those whose counts other chunks may add to.
+    ``totals`` and ``shared`` come with the answers: counts in the corpus, and
+    whether another chunk holds the n-gram too.
+    """
+
+    grams: np.ndarray
+    ids: np.ndarray
+    local: np.ndarray
+    asked: np.ndarray
+    totals: np.ndarray | None = None
+    shared: np.ndarray | None = None
+
+    def take(self, values: np.ndarray) -> None:
+        self.totals = self.local.copy()
+        self.totals[self.asked] = values >> 1
+        self.shared = np.zeros(len(self.grams), dtype=bool)
+        self.shared[self.asked] = values & 1
+
+
+def hold(run: Stream, of_train: np.ndarray, size: int, shorter: Held | None) -> Held:
+    """The n-grams of one size. One whose first or last size - 1 words no other chunk holds need not be asked for."""
+    grams, whole = run.grams[size - 1], run.whole[size - 1]
+    distinct, inverse = np.unique(grams[whole], return_inverse=True)
+    ids = np.full(len(grams), -1, dtype=np.int64)
+    ids[whole] = inverse
+    local = np.bincount(inverse, weights=of_train[whole], minlength=len(distinct)).astype(np.int64)
+    asked = np.ones(len(distinct), dtype=bool)
+    if shorter is not None:
+        at = np.empty(len(distinct), dtype=np.int64)
+        at[inverse] = np.flatnonzero(whole)
+        asked = shorter.shared[shorter.ids[at]] & shorter.shared[shorter.ids[at - 1]]
+    return Held(distinct, ids, local, asked)
+
+
+def resolve(run: Stream, of_train: np.ndarray, answers: list[np.ndarray]) -> list[Held]:
+    """The n-grams of the sizes that are answered."""
+    held: list[Held] = []
+    for size, values in enumerate(answers, 1):
+        held.append(hold(run, of_train, size, held[-1] if size > 2 else None))
+        held[-1].take(values)
+    return held
+
+
+def requests(held: Held, size: int, chunk: int, ranges: int) -> pa.RecordBatch:
+    """What a chunk asks and tells: its n-grams of one size and their training counts, by hash range."""
+    grams, counts = held.grams[held.asked], held.local[held.asked].astype(np.uint32)
+    cuts = _ranges(grams, ranges)
     rows = []
-    for k, (grams, whole) in enumerate(zip(run.grams, run.whole, strict=True), 1):
-        distinct, inverse = np.unique(grams[whole], return_inverse=True)
-        counts = np.bincount(inverse, weights=of_train[whole], minlength=len(distinct)).astype(np.uint32)
-        cuts = _ranges(distinct, ranges)
-        for r in np.flatnonzero(np.diff(cuts)).tolist():
-            part = slice(cuts[r], cuts[r + 1])
-            rows.append((r, chunk, k, int(cuts[r + 1] - cuts[r]), packed(distinct[part]), packed(counts[part])))
+    for r in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[r], cuts[r + 1])
+        rows.append((r, chunk, size, int(cuts[r + 1] - cuts[r]), packed(grams[part]), packed(counts[part])))
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
     columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_REQUEST_NAMES)
@@ -153,9 +209,10 @@ def _added_up(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray]:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For every request of a hash range the counts in the whole corpus, in the order asked."""
+    """For every request of a hash range, in the order asked: twice the counts in the corpus, plus 1 where several chunks asked."""
     sizes, inverse, totals = _added_up(table)
-    parts = np.split(totals[inverse], np.cumsum(sizes)[:-1])
+    values = 2 * totals + (np.bincount(inverse) > 1)
+    parts = np.split(values[inverse], np.cumsum(sizes)[:-1])
     small = [p.astype(np.uint32) if p.max() < 1 << 32 else p for p in parts]
     return pa.table(
         {
@@ -199,8 +256,8 @@ class Automaton:
     place i from a context of k - 1 words, or -1 if that state has none.
     """
 
-    def __init__(self, run: Stream, counts: list[np.ndarray], ids: list[np.ndarray], corpus: Corpus, strength: float):
-        """``counts`` per order of the distinct n-grams, ``ids`` per order which of them ends at each place (-1: none)."""
+    def __init__(self, run: Stream, grams: list[Held], corpus: Corpus, strength: float):
+        counts, ids = [g.totals for g in grams], [g.ids for g in grams]
         order, places = len(counts), len(ids[0])
         first = run.starts[:-1]
         self.order = order
@@ -284,29 +341,53 @@ class Automaton:
         return _sums(back, np.cumsum(lanes) - lanes) if len(text) else np.empty(0)
 
 
-def traverse(texts: pa.Array, counts: list[np.ndarray], corpus: Corpus, strength: float) -> dict[str, np.ndarray]:
-    """Per text: n_tokens, n_known, base_score, score. ``counts`` are the corpus counts of the texts' sorted distinct n-grams."""
-    run = stream(texts, len(counts))
-    ids = []
-    for grams, whole in zip(run.grams, run.whole, strict=True):
-        which = np.full(len(grams), -1, dtype=np.int64)
-        which[whole] = np.unique(grams[whole], return_inverse=True)[1]
-        ids.append(which)
-    single = counts[0][ids[0]]
-    base = fixed_log10(corpus.single(single))
+def traverse(run: Stream, grams: list[Held], corpus: Corpus, strength: float) -> dict[str, np.ndarray]:
+    """Per text: n_tokens, n_known, base_score, score."""
+    single = grams[0].totals[grams[0].ids]
     heads = run.starts[:-1]
     return {
         "n_tokens": np.diff(run.starts),
         "n_known": np.add.reduceat((single > 0).astype(np.int64), heads),
-        "base_score": _sums(base, heads),
-        "score": Automaton(run, counts, ids, corpus, strength).scores(run.starts),
+        "base_score": _sums(fixed_log10(corpus.single(single)), heads),
+        "score": Automaton(run, grams, corpus, strength).scores(run.starts),
     }
 
 
-def _ask(order: int, ranges: int):
-    def run(table: pa.Table) -> pa.Table:
-        texts, train = table.column("_text").combine_chunks(), table.column("_train").to_numpy()
-        return pa.Table.from_batches([requests(texts, train, table.column("_chunk")[0].as_py(), order, ranges)])
+def _open(texts: pa.Table, order: int) -> tuple[Stream, np.ndarray]:
+    """A chunk's words, and which of them training counts."""
+    run = stream(texts.column("_text").combine_chunks(), order)
+    return run, np.repeat(texts.column("_train").to_numpy(), np.diff(run.starts))
+
+
+def _values(answers: pa.Table, order: int) -> list[np.ndarray]:
+    """The answers per size, in the order asked."""
+    out = []
+    for k in range(1, order + 1):
+        rows = answers.filter(pc.equal(answers.column("size"), k)).sort_by("range")
+        rows = zip(*(rows.column(c).to_pylist() for c in ("counts", "n", "width")), strict=True)
+        parts = [unpacked(data, n, np.uint32 if width == 4 else np.int64).astype(np.int64) for data, n, width in rows]
+        out.append(np.concatenate([np.empty(0, np.int64), *parts]))
+    return out
+
+
+def _ask_short(ranges: int):
+    """Words and pairs of words: all are asked for."""
+
+    def run(texts: pa.Table) -> pa.Table:
+        words, of_train = _open(texts, 2)
+        chunk = texts.column("_chunk")[0].as_py()
+        return pa.Table.from_batches([requests(hold(words, of_train, k, None), k, chunk, ranges) for k in (1, 2)])
+
+    return run
+
+
+def _ask(size: int, ranges: int):
+    """N-grams of one size, the shorter ones being answered."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        words, of_train = _open(texts, size)
+        held = resolve(words, of_train, _values(answers, size - 1))
+        return pa.Table.from_batches([requests(hold(words, of_train, size, held[-1]), size, texts.column("_chunk")[0].as_py(), ranges)])
 
     return run
 
@@ -326,21 +407,15 @@ def _count(ranges: int, chunk_bytes: int):
             yield flush(held)
 
     def flush(held):
-        table = pa.Table.from_batches(held)
-        return requests(table.column("_text").combine_chunks(), table.column("_train").to_numpy(), 0, 1, ranges)
+        return requests(hold(*_open(pa.Table.from_batches(held), 1), 1, None), 1, 0, ranges)
 
     return run
 
 
 def _read(order: int, corpus: Corpus, strength: float):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        counts = []
-        for k in range(1, order + 1):
-            rows = answers.filter(pc.equal(answers.column("size"), k)).sort_by("range")
-            rows = zip(*(rows.column(c).to_pylist() for c in ("counts", "n", "width")), strict=True)
-            parts = [unpacked(data, n, np.uint32 if width == 4 else np.int64).astype(np.int64) for data, n, width in rows]
-            counts.append(np.concatenate([np.empty(0, np.int64), *parts]))
-        found = traverse(texts.column("_text").combine_chunks(), counts, corpus, strength)
+        words, of_train = _open(texts, order)
+        found = traverse(words, resolve(words, of_train, _values(answers, order)), corpus, strength)
         keep = texts.drop_columns(["_text", "_chunk"])
         for name, values in found.items():
             keep = keep.append_column(name, pa.array(values))
@@ -396,15 +471,18 @@ def score(
     size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     chunks, ranges = 1 + size // chunk_bytes, 1 + size // range_bytes
     dealt = _dealt(df, doc, text, train, chunks)
-    asked = dealt.select("_text", "_train", "_chunk").groupBy("_chunk").applyInArrow(_ask(order, ranges), _REQUEST)
-    answers = asked.groupBy("range").applyInArrow(_answer, _ANSWER)
+    # the texts are dealt out once; what follows reads that exchange again
+    by_chunk = dealt.groupBy("_chunk")
+    asked = by_chunk.applyInArrow(_ask_short(ranges), _REQUEST)
+    answers = asked.groupBy("range").applyInArrow(_answer, _ANSWER).repartition(chunks, "chunk")
+    for size in range(3, order + 1):
+        asked = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_ask(size, ranges), _REQUEST)
+        longer = asked.groupBy("range").applyInArrow(_answer, _ANSWER).repartition(chunks, "chunk")
+        answers = answers.unionByName(longer)
     kind = df.schema[doc].dataType.simpleString()
     found = "n_tokens long, n_known long, base_score double, score double"
-    scored = (
-        dealt.groupBy("_chunk")
-        .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(_read(order, corpus, strength), f"_doc {kind}, _train boolean, {found}")
-    )
+    read = _read(order, corpus, strength)
+    scored = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(read, f"_doc {kind}, _train boolean, {found}")
     return scored.select(
         F.col("_doc").alias(doc),
         (~F.col("_train")).alias("held_out"),
