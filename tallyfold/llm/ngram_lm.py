@@ -35,7 +35,7 @@ ORDER = 3
 #: prior strength k: so many words' worth of trust in the shorter context
 STRENGTH = 500.0
 #: bytes of text in a chunk, and in the share of the corpus whose n-grams one task adds up
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
 #: words a lane reads; long texts are read by several lanes
 LANE = 512
@@ -88,7 +88,7 @@ class Stream:
     """
 
     starts: np.ndarray
-    grams: list[np.ndarray]
+    grams: list[np.ndarray | None]
     whole: list[np.ndarray]
 
 
@@ -161,8 +161,9 @@ def hold(run: Stream, of_train: np.ndarray, size: int, shorter: Held | None) ->
     """The n-grams of one size. One whose first or last size - 1 words no other chunk holds need not be asked for."""
     grams, whole = run.grams[size - 1], run.whole[size - 1]
     distinct, inverse = np.unique(grams[whole], return_inverse=True)
-    ids = np.full(len(grams), -1, dtype=np.int64)
+    ids = np.full(len(grams), -1, dtype=np.int32)
     ids[whole] = inverse
+    run.grams[size - 1] = None  # no longer needed, and large
     local = np.bincount(inverse, weights=of_train[whole], minlength=len(distinct)).astype(np.int64)
     asked = np.ones(len(distinct), dtype=bool)
     if shorter is not None:
@@ -261,11 +262,9 @@ class Automaton:
         order, places = len(counts), len(ids[0])
         first = run.starts[:-1]
         self.order = order
-        self.arcs = np.full((order + 1, places), -1, dtype=np.int64)
+        self.arcs = np.full((order + 1, places), -1, dtype=np.int32)
         self.bases = [_FIRST]
-        held = [np.where(i >= 0, c[i], 0) for c, i in zip(counts, ids, strict=True)]
-        # counts of the context before each place, per length
-        probability = corpus.single(held[0])
+        now, probability = None, None  # count and probability of the n-gram that ends at each place
         self.unseen = int(fixed_log10(corpus.single(np.zeros(1)))[0])
         weights, orders, fails, fail_weights = ([np.zeros(_FIRST, np.int64)] for _ in range(4))
         orders[0][_BEGIN] = 1
@@ -275,13 +274,16 @@ class Automaton:
             at = np.zeros(n, dtype=np.int64)  # a place of every distinct n-gram
             there = np.flatnonzero(ids[k - 1] >= 0)
             at[ids[k - 1][there]] = there
+            before, now = now, np.where(ids[k - 1] >= 0, counts[k - 1][ids[k - 1]], 0) if n else np.zeros(places, np.int64)
             if k > 1:
                 context = np.empty(places, dtype=np.int64)
-                context[1:] = held[k - 2][:-1]
+                context[1:] = before[:-1]
                 context[first] = corpus.texts if k == 2 else 0
-                probability = (held[k - 1] + strength * probability) / (context + strength)
+                probability = (now + strength * probability) / (context + strength)
+            else:
+                probability = corpus.single(now)
             # the arcs of this order and the states that they spell share their numbers
-            self.arcs[k] = np.where(held[k - 1] > 0, self.bases[k - 1] + ids[k - 1], -1)
+            self.arcs[k] = np.where(now > 0, self.bases[k - 1] + ids[k - 1], -1)
             weights.append(fixed_log10(probability[at]))
             orders.append(np.full(n, k))
             fails.append(self.bases[k - 2] + ids[k - 2][at] if k > 1 else np.full(n, _ROOT))

@@ -117,7 +117,7 @@ def test_lanes_do_not_change_scores():
     run = ngram_lm.stream(texts, 3)
     held = []
     for size in (1, 2, 3):
-        one = ngram_lm.hold(run, np.ones(len(run.grams[0]), bool), size, None)
+        one = ngram_lm.hold(run, np.ones(run.starts[-1], bool), size, None)
         one.totals = np.where(np.arange(len(one.local)) % 3 == 0, 0, one.local) if size == 3 else one.local  # some arcs missing
         held.append(one)
     auto = ngram_lm.Automaton(run, held, ngram_lm.Corpus(1000, 7, 40), 5.0)
