@@ -6,15 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyfold.operators.windows import ROWS
+
+#: session setting: cut groups beyond so many rows
+WINDOW_ROWS = "spark.tallyfold.windowRows"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def slices(spark: SparkSession) -> int:
-    """Into how many ranges a query deals tables that may hold a hot key."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def window_rows(spark: SparkSession) -> int:
+    """Rows of one user, order or table that a task may hold in a window."""
+    return int(spark.conf.get(WINDOW_ROWS, str(ROWS)))
+
+
+def game_rows(spark: SparkSession) -> int | None:
+    """The same for games, which are small by nature: not cut unless the session asks for it."""
+    asked = spark.conf.get(WINDOW_ROWS, None)
+    return int(asked) if asked else None
 
 
 def query(sql: str | None = None, name: str | None = None):

@@ -37,7 +37,7 @@ from tallyfold.plans.pitchers import (
 from tallyfold.session import cut_lineage
 
 from . import sql_lists as lists
-from .base import query, slices
+from .base import game_rows, query
 from .pitchlog import PEOPLE_SQL, PITCH_ORDER, PITCH_SQL, SEASONS, people, pitch_log
 
 W = f"WITH {PITCH_SQL}"
@@ -127,13 +127,13 @@ def batter_ages(spark, sf):
 
 @query(f"{W}, {SPOT_CTE} SELECT * REPLACE (round(weighted_spot_avg, 9) AS weighted_spot_avg) FROM sp")
 def lineup_spots(spark, sf):
-    spots = spots_of_batters(clean(spark, sf), slices=slices(spark))
+    spots = spots_of_batters(clean(spark, sf), rows=game_rows(spark))
     return spots.withColumn("weighted_spot_avg", F.round("weighted_spot_avg", 9))
 
 
 @query(f"{W}, {HITTER_CTE} SELECT * REPLACE (round(weighted_spot_avg, 9) AS weighted_spot_avg) FROM hit")
 def batter_seasons(spark, sf):
-    table = seasons_of_batters(clean(spark, sf), people(spark, sf), slices=slices(spark))
+    table = seasons_of_batters(clean(spark, sf), people(spark, sf), rows=game_rows(spark))
     return table.withColumn("weighted_spot_avg", F.round("weighted_spot_avg", 9))
 
 
@@ -315,7 +315,7 @@ def _spell(df, rates=tuple(_PITCHER_RATES)):
 @query(f"""{W}, {_outs_cte()} SELECT pitcher, game_pk, role_key, CAST(count(*) AS BIGINT) AS pitches,
            CAST(sum(out_diff) AS BIGINT) AS outs, CAST(max(out_diff) AS INTEGER) AS most FROM o GROUP BY pitcher, game_pk, role_key""")
 def outs_recorded(spark, sf):
-    outs = outs_of(clean(spark, sf), order=PITCH_ORDER, slices=slices(spark))
+    outs = outs_of(clean(spark, sf), order=PITCH_ORDER, rows=game_rows(spark))
     return outs.groupBy("pitcher", "game_pk", "role_key").agg(
         F.count(F.lit(1)).alias("pitches"), F.sum("out_diff").alias("outs"), F.max("out_diff").alias("most")
     )
@@ -326,12 +326,12 @@ _LINE_COLS = "pitcher, role_key, year, H, HR, ER, SO, BB, HBP, batters_faced"
 
 @query(f"{W}, {_line_cte()} SELECT {_LINE_COLS}, {_SPELLED} FROM pl")
 def pitcher_lines(spark, sf):
-    return _spell(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, slices=slices(spark)))
+    return _spell(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, rows=game_rows(spark)))
 
 
 @query(f"{W}, {_line_cte('events', 'null')} SELECT {_LINE_COLS}, {_SPELLED} FROM pl")
 def pitcher_lines_faithful(spark, sf):
-    return _spell(lines_of_pitchers(clean(spark, sf), "events", "null", order=PITCH_ORDER, slices=slices(spark)))
+    return _spell(lines_of_pitchers(clean(spark, sf), "events", "null", order=PITCH_ORDER, rows=game_rows(spark)))
 
 
 def _imputed(name: str, cap: str) -> str:
@@ -344,7 +344,7 @@ _RELIEVER_COLS = "pitcher, year, H, HR, ER, SO, BB, HBP, batters_faced"
 @query(f"""{W}, {_line_cte()} SELECT {_RELIEVER_COLS}, {_imputed('SOBBratio', '21e0')}, {_imputed('WHIP', '12e0')}
            FROM pl WHERE role_key = 'RP'""")
 def reliever_rows(spark, sf):
-    rows = relievers(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, slices=slices(spark)))
+    rows = relievers(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, rows=game_rows(spark)))
     return rows.select(*_RELIEVER_COLS.split(", "), "SOBBratio", "WHIP")
 
 
@@ -352,14 +352,14 @@ def reliever_rows(spark, sf):
            SELECT {_RELIEVER_COLS}, {_imputed('SOBBratio', '(SELECT max(SOBBratio) FROM rp WHERE isfinite(SOBBratio))')},
                   {_imputed('WHIP', '(SELECT max(WHIP) FROM rp WHERE isfinite(WHIP))')} FROM rp""")
 def reliever_rows_capped_by_data(spark, sf):
-    rows = relievers(cut_lineage(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, slices=slices(spark))), cap="max")
+    rows = relievers(cut_lineage(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, rows=game_rows(spark))), cap="max")
     return rows.select(*_RELIEVER_COLS.split(", "), "SOBBratio", "WHIP")
 
 
 @query(f"""{W}, {_line_cte()} SELECT pitcher, year, {', '.join(lists.PITCHER_STATS)}, batters_faced FROM pl
            WHERE role_key = 'SP' AND isfinite(WHIP) AND isfinite(SOBBratio)""")
 def starter_rows(spark, sf):
-    rows = starters(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, slices=slices(spark)))
+    rows = starters(lines_of_pitchers(clean(spark, sf), order=PITCH_ORDER, rows=game_rows(spark)))
     return rows.select("pitcher", "year", *codes.PITCHER_STATS, "batters_faced")
 
 
@@ -392,7 +392,7 @@ _TARGET = SEASONS[-1] + 1
        FROM pr JOIN people ON batter = player_mlb_id WHERE SF IS NOT NULL""")
 def hitter_projection(spark, sf):
     who = people(spark, sf)
-    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), who, slices=slices(spark)))
+    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), who, rows=game_rows(spark)))
     return _settle(project_hitters(hitters, who, SEASONS), list(_HW))
 
 
@@ -406,13 +406,13 @@ def _projection_sql(role: str) -> str:
 
 @query(_projection_sql("SP"))
 def starter_projection(spark, sf):
-    lines = lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER, slices=slices(spark))
+    lines = lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER, rows=game_rows(spark))
     return _settle(project_pitchers(lines, "SP", SEASONS), list(_PW))
 
 
 @query(_projection_sql("RP"))
 def reliever_projection(spark, sf):
-    lines = lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER, slices=slices(spark))
+    lines = lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER, rows=game_rows(spark))
     return _settle(project_pitchers(lines, "RP", SEASONS), list(_PW))
 
 
@@ -423,7 +423,7 @@ def reliever_projection(spark, sf):
               WHEN in_{SEASONS[0]} = 0 AND in_{SEASONS[1]} = 0 AND in_{SEASONS[2]} = 1 THEN 3 ELSE 4 END AS year_ind,
          CAST(count(*) AS BIGINT) AS n FROM wide GROUP BY ALL""")
 def hitter_history(spark, sf):
-    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), people(spark, sf), slices=slices(spark)))
+    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), people(spark, sf), rows=game_rows(spark)))
     wide = pivot_wide(hitters, "batter", "year", ["PA"], SEASONS).withColumn("year_ind", history_class(SEASONS))
     return group_sizes(wide, [*[f"in_{y}" for y in SEASONS], "year_ind"])
 
@@ -442,7 +442,7 @@ def _backtest_sql(source_cte: str, source: str, key: str, stats, extra: str = ""
 
 
 def _hitter_backtest(spark, sf):
-    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), people(spark, sf), slices=slices(spark)))
+    hitters = complete_hitters(seasons_of_batters(clean(spark, sf, SEASONS), people(spark, sf), rows=game_rows(spark)))
     out = backtest_weights(hitters, "batter", "year", list(_HW), SEASONS[:2], SEASONS[2], codes.WEIGHT_GRID)
     return out.withColumn("rmse", F.round("rmse", 6))
 
@@ -470,7 +470,7 @@ _FIRST_ROLE = f"""{_line_cte()},
 def pitcher_weight_backtest(spark, sf):
     from tallyfold.operators.cleaning import drop_incomplete, inf_to_null
 
-    lines = drop_incomplete(inf_to_null(lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER, slices=slices(spark))))
+    lines = drop_incomplete(inf_to_null(lines_of_pitchers(clean(spark, sf, SEASONS), order=PITCH_ORDER, rows=game_rows(spark))))
     one_role = dedupe_first(lines, ["pitcher", "year"], ["role_key"])
     out = backtest_weights(one_role, "pitcher", "year", codes.PITCHER_STATS, SEASONS[:2], SEASONS[2], codes.WEIGHT_GRID)
     return out.withColumn("rmse", F.round("rmse", 6))
@@ -483,6 +483,6 @@ def pitcher_weight_backtest(spark, sf):
 def team_roles(spark, sf):
     # pitches per pair of teams first: the dimension then meets pairs, not pitches
     pairs = group_sizes(pitch_log(spark, sf), ["home_team", "away_team"], "pitches")
-    teams = surrogate_key(pairs.select(F.col("home_team").alias("team")).distinct(), ["team"], "team", "team_id", slices(spark))
+    teams = surrogate_key(pairs.select(F.col("home_team").alias("team")).distinct(), ["team"], "team", "team_id", game_rows(spark))
     both = role_join(pairs, teams, "team", {"home_team": "_home", "away_team": "_away"})
     return both.groupBy("team_id_home", "team_id_away").agg(F.sum("pitches").alias("pitches"))

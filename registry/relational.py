@@ -26,7 +26,7 @@ from tallyfold.plans.forecast import submission
 from tallyfold.session import cut_lineage, remove, scratch_path
 from tallyfold.sources import load, read_csv, with_names, write, write_partitioned
 
-from .base import query, slices
+from .base import query, window_rows
 
 c = F.col
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
@@ -322,7 +322,7 @@ s AS (SELECT *, {', '.join(f'CAST({s} AS DOUBLE) / total * 100 AS {s}_per' for s
 SELECT *, round((0e0 + {' + '.join(f'{i} * {s}_per' for i, s in enumerate(_SPOTS, 1))}) / 100, 9) AS mean_spot FROM s""")
 def order_spots(spark, sf):
     lines = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    placed = windows.cyclic_rank(lines, ["l_orderkey"], ["l_linenumber"], 9, "spot", slices(spark))
+    placed = windows.cyclic_rank(lines, ["l_orderkey"], ["l_linenumber"], 9, "spot", window_rows(spark))
     counted = agg.counts_by_code(placed, ["l_suppkey"], "spot", dict(enumerate(_SPOTS, 1)))
     shared = agg.shares(counted.withColumn("total", columns.horizontal_sum(_SPOTS)), _SPOTS, "total")
     return shared.withColumn("mean_spot", F.round(agg.weighted_position([f"{s}_per" for s in _SPOTS]), 9))
@@ -341,7 +341,7 @@ def _changes(spark, sf):
     lines = load(spark, sf, "lineitem").select(*LINE_ORDER, "l_orderkey", "l_returnflag", "l_linestatus", (c("l_quantity").cast("int") % 3).alias("state"), "l_extendedprice")
     last = F.when(c("l_returnflag") == "A", 1).when(c("l_returnflag") == "R", 2).otherwise(c("change"))
     return windows.state_change(
-        lines, ["l_orderkey"], LINE_ORDER, "state", wrap={-1: 2, -2: 1}, last_by="l_linenumber", on_last=last, slices=slices(spark)
+        lines, ["l_orderkey"], LINE_ORDER, "state", wrap={-1: 2, -2: 1}, last_by="l_linenumber", on_last=last, rows=window_rows(spark)
     )
 
 
@@ -378,7 +378,7 @@ def supplier_rate_line(spark, sf):
 
 @query("SELECT s_suppkey, 'supplier_' || row_number() OVER (ORDER BY s_suppkey) AS supplier_id FROM supplier")
 def surrogate_keys(spark, sf):
-    return windows.surrogate_key(load(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"], "supplier", "supplier_id", slices(spark))
+    return windows.surrogate_key(load(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"], "supplier", "supplier_id", window_rows(spark))
 
 
 @query("""SELECT user_id, event_id, CAST(row_number() OVER w AS BIGINT) AS nth, lag(event_type) OVER w AS previous,
@@ -387,7 +387,7 @@ def ordered_events(spark, sf):
     events = load(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
     return windows.ordered_scan(
         events, ["user_id"], ["ts", "event_id"], row_number="nth", previous={"previous": "event_type"}, group_max={"last_event": "event_id"},
-        slices=slices(spark),
+        rows=window_rows(spark),
     ).drop("ts", "event_type")
 
 

@@ -62,14 +62,14 @@ def default_roles() -> dict[str, dict[str, Candidate]]:
 class Settings:
     """What the forecast leaves open: the seasons, the candidates of each role, the folds of the searches.
 
-    ``slices``: deal games of many rows out by range, see ``operators/windows.py``.
+    ``rows``: cut games of more rows, see ``operators/windows.py``.
     """
 
     seasons: Sequence[int] = (2021, 2022, 2023)
     roles: Mapping[str, Mapping[str, Candidate]] = field(default_factory=default_roles)
     pitch_order: Sequence[str] = ("pitch_number_appearance",)
     folds: int = 3
-    slices: int | None = None
+    rows: int | None = None
 
 
 def _tuned(candidate: Candidate, train: DataFrame, folds: int) -> Estimator:
@@ -134,8 +134,8 @@ def playing_time(pitches: DataFrame, people: DataFrame, roster: DataFrame, setti
     neither a fit nor a lost executor should start over from the events.
     """
     clean = clean_events(pitches, settings.seasons)
-    hitters = cut_lineage(complete_hitters(batter_seasons(clean, people, slices=settings.slices)))
-    lines = cut_lineage(pitcher_lines(clean, order=settings.pitch_order, slices=settings.slices))
+    hitters = cut_lineage(complete_hitters(batter_seasons(clean, people, rows=settings.rows)))
+    lines = cut_lineage(pitcher_lines(clean, order=settings.pitch_order, rows=settings.rows))
 
     roles = settings.roles
     hit_model = choose_and_refit(hitters, "batter", codes.HITTER_FEATURES, codes.HITTER_LABEL, roles["hitter"], settings)

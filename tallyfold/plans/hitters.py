@@ -156,12 +156,12 @@ def _spot_names(spots: int) -> dict[int, str]:
     return {i: f"spot{i:02d}" for i in range(1, spots + 1)}
 
 
-def lineup_spots(clean: DataFrame, spots: int = 9, slices: int | None = None) -> DataFrame:
+def lineup_spots(clean: DataFrame, spots: int = 9, rows: int | None = None) -> DataFrame:
     """How often a batter took each lineup spot in a season, and the mean spot."""
     at_bats = clean.filter(longer_than("events", 2)).select(
         "game_pk", "inning_topbot", "at_bat_number", "batter", "year"
     )
-    placed = cyclic_rank(at_bats, ["game_pk", "inning_topbot"], ["at_bat_number"], spots, "spot", slices)
+    placed = cyclic_rank(at_bats, ["game_pk", "inning_topbot"], ["at_bat_number"], spots, "spot", rows)
     names = _spot_names(spots)
     counted = counts_by_code(placed, ["batter", "year"], "spot", names)
     counted = counted.withColumn("AB", horizontal_sum(list(names.values())))
@@ -170,7 +170,7 @@ def lineup_spots(clean: DataFrame, spots: int = 9, slices: int | None = None) ->
 
 
 def batter_seasons(
-    clean: DataFrame, people: DataFrame, spots: int = 9, slices: int | None = None, **lines
+    clean: DataFrame, people: DataFrame, spots: int = 9, rows: int | None = None, **lines
 ) -> DataFrame:
     """The hitters' feature table: season line, age and mean lineup spot.
 
@@ -180,7 +180,7 @@ def batter_seasons(
     """
     needed = ["game_pk", "inning_topbot", "at_bat_number", "batter", "year", "game_date", "events"]
     ended = clean.filter(c("events").isNotNull()).select(*needed, longer_than("events", 2).alias("_listed"))
-    placed = cyclic_rank(ended, ["game_pk", "inning_topbot", "_listed"], ["at_bat_number"], spots, "spot", slices)
+    placed = cyclic_rank(ended, ["game_pk", "inning_topbot", "_listed"], ["at_bat_number"], spots, "spot", rows)
     names = _spot_names(spots)
     taken = {n: count_where((c("spot") == i) & c("_listed")) for i, n in names.items()}
     table = batter_lines(placed, extra=taken, **lines)

@@ -61,7 +61,7 @@ def outs_recorded(
     event: str = "raw_events",
     missing_event: str = "keep",
     order: Sequence[str] = ("pitch_number_appearance",),
-    slices: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``out_diff``: the outs each pitch brought, from the outs counter.
 
@@ -90,7 +90,7 @@ def outs_recorded(
         first=0,
         last_by="pitch_number_appearance",
         on_last=last,
-        slices=slices,
+        rows=rows,
     )
 
 
@@ -100,13 +100,13 @@ def pitcher_lines(
     missing_event: str = "keep",
     order: Sequence[str] = ("pitch_number_appearance",),
     on_zero: str = "ieee",
-    slices: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """One row per pitcher, role and season: innings, counts and rates, batters faced."""
     needed = ["pitcher", "game_pk", "role_key", "year", "outs_when_up", "events", "bat_score", "post_bat_score",
               "pitcher_at_bat_number", "pitch_number_appearance", event]
     pitches = clean.select(*dict.fromkeys([*needed, *order]))
-    pitches = outs_recorded(pitches, event, missing_event, order, slices)
+    pitches = outs_recorded(pitches, event, missing_event, order, rows)
     counters = {
         "_outs": F.sum("out_diff"),
         "_on_base": count_where(is_in("events", ["walk", *codes.HITS])),

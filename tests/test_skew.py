@@ -1,4 +1,4 @@
-"""Queries on tables where one key holds a third of the rows, dealt into many ranges."""
+"""Queries on tables where one key holds a third of the rows, its group cut into many slices."""
 
 import glob
 import os
@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from registry.base import WINDOW_ROWS
 from test_registry import ordered
 
 # one order, one supplier, one customer and one user get a third of the rows
@@ -37,13 +38,13 @@ def hot(tables, tmp_path_factory):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_with_a_hot_key(spark, hot, name):
-    # every query deals its table into this many ranges, so the hot groups are cut
-    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    # what a task may hold of a group: the hot groups are cut
+    spark.conf.set(WINDOW_ROWS, 150)
     folder, con = hot
     try:
         df = entry.queries()[name](spark, folder)
+        spark.catalog.clearCache()
         cursor = con.execute(entry.oracle_sql()[name])
         assert ordered(df.columns, df.collect()) == ordered([d[0] for d in cursor.description], cursor.fetchall())
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
-        spark.catalog.clearCache()
+        spark.conf.unset(WINDOW_ROWS)
