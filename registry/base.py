@@ -28,6 +28,11 @@ def game_rows(spark: SparkSession) -> int | None:
     return int(asked) if asked else None
 
 
+def window_buckets(spark: SparkSession) -> int:
+    """Files of a table stored by key: as many as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Register a query under its function name, with the SQL it must equal."""
 

@@ -34,10 +34,11 @@ from tallyfold.plans.pitchers import (
     reliever_rows as relievers,
     starter_rows as starters,
 )
-from tallyfold.session import cut_lineage
+from tallyfold.session import cut_lineage, scratch_path
+from tallyfold.sources import store_bucketed
 
 from . import sql_lists as lists
-from .base import game_rows, query
+from .base import game_rows, query, window_buckets
 from .pitchlog import PEOPLE_SQL, PITCH_ORDER, PITCH_SQL, SEASONS, people, pitch_log
 
 W = f"WITH {PITCH_SQL}"
@@ -321,6 +322,20 @@ def outs_recorded(spark, sf):
     )
 
 
+@query(f"""{W}, {_outs_cte()}, {_games_sql()},
+  t AS (SELECT pitcher, game_pk, CAST(count(*) AS BIGINT) AS pitches, CAST(sum(out_diff) AS BIGINT) AS outs FROM o GROUP BY pitcher, game_pk),
+  k AS (SELECT pitcher, game_pk, CAST(count(*) AS BIGINT) AS kinds, CAST(sum(pitches_thrown) AS BIGINT) AS thrown FROM pg GROUP BY pitcher, game_pk)
+  SELECT * FROM t JOIN k USING (pitcher, game_pk)""")
+def stored_log_games(spark, sf):
+    """Outs and pitch types per game from a log stored by game: the scans need no shuffle."""
+    path = scratch_path(spark, "pitch-log")
+    log = store_bucketed(clean(spark, sf), path, ["pitcher", "game_pk"], window_buckets(spark), PITCH_ORDER)
+    outs = outs_of(log, order=PITCH_ORDER, rows=game_rows(spark)).groupBy("pitcher", "game_pk")
+    kinds = type_games(log).groupBy("pitcher", "game_pk")
+    per_game = outs.agg(F.count(F.lit(1)).alias("pitches"), F.sum("out_diff").alias("outs"))
+    return per_game.join(kinds.agg(F.count(F.lit(1)).alias("kinds"), F.sum("pitches_thrown").alias("thrown")), ["pitcher", "game_pk"])
+
+
 _LINE_COLS = "pitcher, role_key, year, H, HR, ER, SO, BB, HBP, batters_faced"
 
 

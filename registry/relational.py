@@ -21,10 +21,10 @@ from tallyfold.functions import (
     round_to,
 )
 from tallyfold.operators import aggregate as agg
-from tallyfold.operators import cleaning, columns, joins, metrics, projection, reshape, windows
+from tallyfold.operators import cleaning, columns, joins, metrics, projection, reshape, sketches, windows
 from tallyfold.plans.forecast import submission
 from tallyfold.session import cut_lineage, remove, scratch_path
-from tallyfold.sources import load, read_csv, with_names, write, write_partitioned
+from tallyfold.sources import kept, load, read_checked, read_csv, rejected, with_names, write, write_partitioned
 
 from .base import query, window_rows
 
@@ -496,6 +496,56 @@ def feature_correlations(spark, sf):
     return metrics.corr_pairs(customer_years(spark, sf), STATS).withColumn("corr", F.round("corr", 8))
 
 
+def _ranked(names) -> str:
+    return ", ".join(
+        f"rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) - 1) / 2e0 AS {s}" for s in names
+    )
+
+
+@query(f"WITH {CY}, r AS (SELECT {_ranked(STATS)} FROM cy) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 8) AS corr FROM r" for i, a in enumerate(STATS) for b in STATS[i + 1:]))
+def feature_rank_correlations(spark, sf):
+    out = metrics.corr_pairs(customer_years(spark, sf), STATS, "spearman", ["custkey", "year"], window_rows(spark))
+    return out.withColumn("corr", F.round("corr", 8))
+
+
+_MANY = {f"f{i}": f"(l_partkey * {2 * i + 1} + l_orderkey * {i % 7}) % {11 + 3 * i}" for i in range(40)}
+
+
+@query(f"WITH x AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _MANY.items())} FROM lineitem), " + """
+l AS (SELECT * FROM (SELECT """ + ", ".join(f"corr(f{i}, f{j}) AS f{i}_f{j}" for i in range(40) for j in range(i + 1, 40)) + """ FROM x))
+SELECT split_part(pair, '_', 1) AS feature_a, split_part(pair, '_', 2) AS feature_b, round(corr, 8) AS corr
+FROM (UNPIVOT l ON COLUMNS(*) INTO NAME pair VALUE corr)""")
+def many_feature_correlations(spark, sf):
+    lines = load(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _MANY.items()])
+    return metrics.corr_pairs(lines, list(_MANY)).withColumn("corr", F.round("corr", 8))
+
+
+@query("""
+SELECT 'flag' AS level, l_returnflag AS flag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS orders,
+  true AS parts_close, true AS orders_close FROM lineitem GROUP BY 2
+UNION ALL SELECT 'all', NULL, count(DISTINCT l_partkey), count(DISTINCT l_orderkey), true, true FROM lineitem""")
+def sketched_distinct_counts(spark, sf):
+    """Exact counts, and whether the estimates merged from stored sketches per flag and month lie within their error."""
+    lines = load(spark, sf, "lineitem").select("l_returnflag", "l_partkey", "l_orderkey", F.trunc(c("l_shipdate").cast("date"), "month").alias("month"))
+    names = {"parts": "l_partkey", "orders": "l_orderkey"}
+    path = write(sketches.distinct_sketches(lines, ["l_returnflag", "month"], names), scratch_path(spark, "sketches"))
+    stored = spark.read.parquet(path)
+    bound = sketches.relative_error()
+    levels = []
+    for level, flag in (("flag", c("l_returnflag")), ("all", F.lit("every"))):
+        guess = sketches.estimates(sketches.merged(stored.withColumn("flag", flag), ["flag"], list(names)), list(names))
+        guess = guess.withColumnsRenamed({n: f"{n}_guess" for n in names})
+        exact = lines.withColumn("flag", flag).groupBy("flag").agg(*[agg.distinct_count(v).alias(n) for n, v in names.items()])
+        close = {f"{n}_close": F.abs(c(f"{n}_guess") - c(n)) <= F.greatest(F.lit(1.0), bound * c(n)) for n in names}
+        both = exact.join(guess, "flag").withColumns(close)
+        shown = F.when(F.lit(level == "flag"), c("flag"))
+        levels.append(both.select(F.lit(level).alias("level"), shown.alias("flag"), *names, *close))
+    out = cut_lineage(joins.union_all(*levels))
+    remove(spark, path)
+    return out
+
+
 # --- names, distinct, top rows ----------------------------------------------
 
 
@@ -634,3 +684,53 @@ def partitioned_roundtrip(spark, sf):
     out = cut_lineage(out)
     remove(spark, path)
     return out
+
+
+_DAMAGE = "CASE custkey % 10 WHEN 0 THEN 'short' WHEN 1 THEN 'long' WHEN 2 THEN 'text' WHEN 3 THEN 'date' ELSE 'good' END"
+
+
+@query(f"""WITH {CY}, d AS (SELECT *, {_DAMAGE} AS damage FROM cy)
+SELECT CASE damage WHEN 'short' THEN 'does not have 4 fields' WHEN 'long' THEN 'does not have 4 fields' WHEN 'text' THEN 'spend is no double: much'
+         WHEN 'date' THEN 'day is no date: ' || year || '-13-01' END AS reason, CAST(count(*) AS BIGINT) AS n,
+  CAST(sum(CASE damage WHEN 'good' THEN spend END) AS BIGINT) AS kept_spend,
+  CAST(sum(CASE damage WHEN 'good' THEN NULL ELSE length(custkey || ',' || year || '-' || CASE damage WHEN 'date' THEN '13' ELSE '01' END || '-01'
+    || CASE damage WHEN 'short' THEN '' WHEN 'text' THEN ',much' ELSE ',' || spend END || ',"a, b"' || CASE damage WHEN 'long' THEN ',more' ELSE '' END) END) AS BIGINT)
+    AS rejected_chars
+FROM d GROUP BY 1""")
+def csv_quarantine(spark, sf):
+    """Lines of the panel, some of them damaged: counted by the reason for which they are turned away."""
+    cy = customer_years(spark, sf).withColumn("damage", F.expr(_DAMAGE))
+    when = lambda kind, value, other="": F.when(c("damage") == kind, value).otherwise(other)
+    line = F.concat(
+        c("custkey"), F.lit(","), c("year"), F.lit("-"), when("date", "13", F.lit("01")), F.lit("-01"),
+        when("short", F.lit(""), when("text", F.lit(",much"), F.concat(F.lit(","), c("spend")))), F.lit(',"a, b"'), when("long", F.lit(",more")),
+    )
+    path = scratch_path(spark, "damaged")
+    cy.select(line.alias("value")).write.text(path)
+    checked = cut_lineage(read_checked(spark, path, "custkey bigint, day date, spend double, note string"))
+    remove(spark, path)
+    good = kept(checked).agg(F.lit(None).cast("string").alias("reason"), F.count(F.lit(1)).alias("n"), F.sum("spend").cast("long").alias("kept_spend"))
+    bad = rejected(checked).groupBy(c("_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_line")).alias("rejected_chars"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+@query(f"""WITH {CY}, {_TWO}, {_ACTUAL},
+m AS ({' UNION ALL '.join(f"""SELECT '{s}' AS stat, CAST({s}_1999 AS DOUBLE) AS p, CAST({s}_2000 AS DOUBLE) AS l, CAST(y_{s} AS DOUBLE) AS y,
+  in_1999 = 1 AND in_2000 = 1 AS b FROM jj""" for s in STATS)}),
+t AS (SELECT stat, sum(p * p) FILTER (b) AS pp, sum(l * l) FILTER (b) AS ll, sum(p * l) FILTER (b) AS pl, sum(p * y) FILTER (b) AS py, sum(l * y) FILTER (b) AS ly,
+        sum((l - y) * (l - y)) FILTER (b) AS dl, sum((l - p) * (l - y)) FILTER (b) AS dpl, sum((l - p) * (l - p)) FILTER (b) AS dp FROM m GROUP BY stat),
+w AS (SELECT 'free' AS rule, stat, (py * ll - ly * pl) / (pp * ll - pl * pl) AS w1, (ly * pp - py * pl) / (pp * ll - pl * pl) AS w2 FROM t
+      UNION ALL SELECT 'sum_to_one', stat, dpl / dp, 1 - dpl / dp FROM t)
+SELECT rule, stat, round(any_value(w1), 6) AS w_prev, round(any_value(w2), 6) AS w_last,
+  round(sqrt(avg(CASE WHEN b THEN (w1 * p + w2 * l - y) * (w1 * p + w2 * l - y) ELSE (l - y) * (l - y) END)), 3) AS rmse
+FROM m JOIN w USING (stat) GROUP BY rule, stat""")
+def optimal_weight_pairs(spark, sf):
+    """The exact optimum that the grid of ``backtest_grid`` comes near to."""
+    panel = customer_years(spark, sf, YEARS)
+    rules = {"free": False, "sum_to_one": True}
+    parts = [
+        projection.optimal_weights(panel, "custkey", "year", STATS, YEARS[:2], YEARS[2], one).withColumn("rule", F.lit(rule))
+        for rule, one in rules.items()
+    ]
+    out = joins.union_all(*parts)
+    return out.select("rule", "stat", F.round("w_prev", 6).alias("w_prev"), F.round("w_last", 6).alias("w_last"), F.round("rmse", 3).alias("rmse"))

@@ -28,6 +28,18 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def _one_per_key(df: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
+    """The rows of ``df``; a second row of a key raises while the query runs. Nothing runs before."""
+    if not null_safe:  # a missing key matches nothing
+        df = df.na.drop("any", subset=list(keys))
+    others = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(F.lit(0).alias("_"), *others)).alias("_row"))
+    shown = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+    twice = F.concat(F.lit(f"more than one row with {', '.join(keys)} = "), shown)
+    single = rows.filter(F.when(F.col("_n") > 1, F.raise_error(twice).cast("boolean")).otherwise(F.lit(True)))
+    return single.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
 def left(
     a: DataFrame,
     b: DataFrame,
@@ -40,13 +52,13 @@ def left(
     """Left equi-join that keeps the left key columns.
 
     ``null_safe`` lets a missing key match a missing key. ``expect="m:1"``
-    checks first that the right side has one row per key; ``"m:n"`` allows a
-    fan-out.
+    raises while the query runs if the right side has two rows for a key that
+    can match; ``"m:n"`` allows a fan-out.
     """
     left_on = list(on if on is not None else left_on)
     right_on = list(on if on is not None else right_on)
     if expect == "m:1":
-        assert_unique(b, right_on)
+        b = _one_per_key(b, right_on, null_safe)
     elif expect != "m:n":
         raise ValueError(f"expect must be 'm:1' or 'm:n', not {expect!r}")
     clash = sorted((set(b.columns) - set(right_on)) & set(a.columns))

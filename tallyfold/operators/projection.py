@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .columns import keep_suffix, strip_suffix
 from .joins import inner_suffix
-from .metrics import best_per_group, rmse
-from .reshape import pivot_wide, to_long
+from .metrics import best_per_group
+from .reshape import pivot_wide
 
 #: (weights of three seasons, weights of two seasons)
 Weights = tuple[tuple[float, float, float], tuple[float, float]]
@@ -75,21 +75,17 @@ def predicted_vs_actual(
     return inner_suffix(pred, actual, [key])
 
 
-def backtest_weights(
-    df: DataFrame,
-    key: str,
-    period: str,
-    stats: Sequence[str],
-    train: Sequence[int],
-    test: int,
-    grid: Sequence[tuple[float, float]],
+def weight_moments(
+    df: DataFrame, key: str, period: str, stats: Sequence[str], train: Sequence[int], test: int
 ) -> DataFrame:
-    """RMSE of every weight pair for every statistic: (stat, w_prev, w_last, rmse).
-
-    One job and one pass for the whole grid: training and test periods are
-    pivoted together, each key's row then becomes one row per statistic, and
-    the grid is a list of aggregates over those rows. No row is paired with
-    the grid, and the panel is not joined to itself.
+    """All that the error of any weight pair depends on: one row of sums per statistic.
+
+    With p, l, y the earlier, later and actual value, over the keys that have all
+    three: the second moments of p - y, l - y and y (small numbers first, so
+    little cancels), and ``n``. Keys without the earlier season are predicted
+    by l whatever the weights: ``rest`` sums their squared errors, ``n_rest`` counts
+    them. One pass; a key's row becomes one row per statistic, and the panel is
+    not joined to itself.
     """
     a, b = train
     wide = pivot_wide(df, key, period, stats, [*train, test])
@@ -100,25 +96,86 @@ def backtest_weights(
             *[
                 F.struct(
                     F.lit(s).alias("stat"),
-                    F.col(f"{s}_{a}").cast("double").alias("prev"),
-                    F.col(f"{s}_{b}").cast("double").alias("last"),
-                    F.col(f"{s}_{test}").cast("double").alias("actual"),
+                    (F.col(f"{s}_{a}").cast("double") - F.col(f"{s}_{test}")).alias("p"),
+                    (F.col(f"{s}_{b}").cast("double") - F.col(f"{s}_{test}")).alias("l"),
+                    F.col(f"{s}_{test}").cast("double").alias("y"),
                 )
                 for s in stats
             ]
         )
     )
     long = tested.select(both.alias("both"), per_stat.alias("x")).select("both", "x.*")
-    names = {f"g{i}": pair for i, pair in enumerate(grid)}
-    measured = long.groupBy("stat").agg(
-        *[
-            rmse(F.col("actual"), F.when(F.col("both"), w1 * F.col("prev") + w2 * F.col("last")).otherwise(F.col("last"))).alias(g)
-            for g, (w1, w2) in names.items()
-        ]
+    mixed = F.col("both") & F.col("p").isNotNull() & F.col("l").isNotNull()
+    alone = ~F.col("both") & F.col("l").isNotNull()
+    total = lambda value, where: F.coalesce(F.sum(F.when(where, value)), F.lit(0.0))
+    p, l, y = F.col("p"), F.col("l"), F.col("y")
+    products = {"pp": p * p, "ll": l * l, "yy": y * y, "pl": p * l, "py": p * y, "ly": l * y}
+    return long.groupBy("stat").agg(
+        F.count_if(mixed).alias("n"),
+        *[total(value, mixed).alias(name) for name, value in products.items()],
+        F.count_if(alone).alias("n_rest"),
+        total(l * l, alone).alias("rest"),
     )
-    out = to_long(measured, ["stat"], list(names), "pair", "rmse")
-    pick = lambda i: F.element_at(F.create_map(*[F.lit(v) for g, p in names.items() for v in (g, float(p[i]))]), F.col("pair"))
-    return out.select("stat", pick(0).alias("w_prev"), pick(1).alias("w_last"), "rmse")
+
+
+def _rmse_of(w_prev: Column, w_last: Column) -> Column:
+    """The error of a weight pair from its statistic's moments: a quadratic form."""
+    m = {k: F.col(k) for k in ("pp", "ll", "yy", "pl", "py", "ly")}
+    excess = w_prev + w_last - 1
+    squares = w_prev * w_prev * m["pp"] + w_last * w_last * m["ll"] + excess * excess * m["yy"]
+    mixed = w_prev * w_last * m["pl"] + w_prev * excess * m["py"] + w_last * excess * m["ly"]
+    total = F.greatest(squares + 2 * mixed, F.lit(0.0)) + F.col("rest")
+    return F.sqrt(F.try_divide(total, F.col("n") + F.col("n_rest")))
+
+
+def backtest_weights(
+    df: DataFrame,
+    key: str,
+    period: str,
+    stats: Sequence[str],
+    train: Sequence[int],
+    test: int,
+    grid: Sequence[tuple[float, float]],
+) -> DataFrame:
+    """RMSE of every weight pair for every statistic: (stat, w_prev, w_last, rmse).
+
+    The grid meets one row of moments per statistic, so the work on the panel
+    does not depend on its size.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(float(w1)).alias("w_prev"), F.lit(float(w2)).alias("w_last")) for w1, w2 in grid]))
+    tried = weight_moments(df, key, period, stats, train, test).withColumn("_w", pairs).select("*", "_w.*")
+    return tried.select("stat", "w_prev", "w_last", _rmse_of(F.col("w_prev"), F.col("w_last")).alias("rmse"))
+
+
+def optimal_weights(
+    df: DataFrame,
+    key: str,
+    period: str,
+    stats: Sequence[str],
+    train: Sequence[int],
+    test: int,
+    sum_to_one: bool = False,
+) -> DataFrame:
+    """The real-valued weight pair of least error per statistic: (stat, w_prev, w_last, rmse).
+
+    The least squares of two unknowns, or of one if the weights must add up to 1.
+    NULL where the seasons do not determine them (no key has both, or one
+    season is a multiple of the other).
+    """
+    m = {k: F.col(k) for k in ("pp", "ll", "yy", "pl", "py", "ly")}
+    moments = weight_moments(df, key, period, stats, train, test)
+    if sum_to_one:
+        apart = m["pp"] + m["ll"] - 2 * m["pl"]
+        w_prev = F.try_divide(m["ll"] - m["pl"], F.when(apart > 1e-12 * (m["pp"] + m["ll"]), apart))
+        w_last = 1 - w_prev
+    else:
+        pp, ll = m["pp"] + 2 * m["py"] + m["yy"], m["ll"] + 2 * m["ly"] + m["yy"]
+        pl, py, ly = m["pl"] + m["py"] + m["ly"] + m["yy"], m["py"] + m["yy"], m["ly"] + m["yy"]
+        det = pp * ll - pl * pl
+        det = F.when(det > 1e-12 * pp * ll, det)
+        w_prev, w_last = F.try_divide(py * ll - ly * pl, det), F.try_divide(ly * pp - py * pl, det)
+    solved = moments.withColumns({"w_prev": w_prev, "w_last": w_last})
+    return solved.select("stat", "w_prev", "w_last", _rmse_of(F.col("w_prev"), F.col("w_last")).alias("rmse"))
 
 
 def best_weights(metrics: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ guessing types, unless the caller has none.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,49 @@ def read_csv(
     return df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in text}) if text else df
 
 
+def read_checked(
+    spark: SparkSession, path: str, schema: T.StructType | str, missing: str = "NA", sep: str = ","
+) -> DataFrame:
+    """Read CSV lines with a header, none of them lost: the columns, ``_line`` and ``_reason``.
+
+    A line that does not fit the schema keeps its text in ``_line`` and says why in
+    ``_reason`` (its number of fields, or the first field that is not of its
+    column's type); its columns are NULL. Both are NULL for a good line. One
+    pass; ``kept`` and ``rejected`` split the result. ``missing``, the empty field
+    and the quoted empty string become NULL, infinities may be spelt as in
+    ``read_csv``. Header and empty lines are skipped. A field may be quoted, but not hold a
+    line break.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = schema.names
+    as_text = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_broken", T.StringType())])
+    options = {"sep": sep, "nullValue": missing, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    lines = spark.read.text(path).filter((F.trim("value") != "") & (F.col("value") != sep.join(names)))
+    fields = lines.select("value", F.from_csv("value", as_text.simpleString()[7:-1].replace(":", " "), options).alias("_f"))
+    value = {n: F.nullif(F.col(f"_f.`{n}`"), F.lit("")) for n in names}
+    typed = {f.name: value[f.name].try_cast(f.dataType) for f in schema.fields}
+    count = F.col("_f._broken").isNotNull()
+    wrong = F.when(count, F.concat(F.lit(f"does not have {len(names)} fields")))
+    for f in schema.fields:
+        bad = value[f.name].isNotNull() & typed[f.name].isNull()
+        wrong = wrong.when(bad, F.concat(F.lit(f"{f.name} is no {f.dataType.simpleString()}: "), value[f.name]))
+    checked = fields.select("value", wrong.alias("_reason"), *[typed[n].alias(n) for n in names])
+    good = F.col("_reason").isNull()
+    return checked.select(
+        *[F.when(good, F.col(f"`{n}`")).alias(n) for n in names], F.when(~good, F.col("value")).alias("_line"), "_reason"
+    )
+
+
+def kept(checked: DataFrame) -> DataFrame:
+    """The good rows of ``read_checked``."""
+    return checked.filter(F.col("_reason").isNull()).drop("_line", "_reason")
+
+
+def rejected(checked: DataFrame) -> DataFrame:
+    """The lines that ``read_checked`` could not use, with the reason."""
+    return checked.filter(F.col("_reason").isNotNull()).select("_line", "_reason")
+
+
 def with_names(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Replace all column names by position."""
     return df.toDF(*names)
@@ -96,3 +140,23 @@ def write_partitioned(
     """
     df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).format(fmt).save(path)
     return path
+
+
+def store_bucketed(
+    df: DataFrame, path: str, by: Sequence[str], buckets: int, sort: Sequence[str] = (), name: str | None = None
+) -> DataFrame:
+    """Store a table by key and read it back: rows of a key lie in one of ``buckets`` files.
+
+    Windows, aggregates and joins whose keys contain ``by`` then need no shuffle of
+    the rows, in this query and all later ones. Rows are shuffled once, before
+    writing, so a bucket is one file, sorted by ``by`` and ``sort``. ``path`` is a
+    folder that all machines share; the table is known to the session under
+    ``name`` (made up if not given). Take as many buckets as tasks should read
+    the table; a key that fills several of them is for ``windows`` to cut.
+    """
+    spark = df.sparkSession
+    name = name or f"stored_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *[F.col(c) for c in by])
+    order = list(dict.fromkeys([*by, *sort]))
+    dealt.write.format("parquet").bucketBy(buckets, *by).sortBy(*order).option("path", path).saveAsTable(name)
+    return spark.table(name)
