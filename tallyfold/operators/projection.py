@@ -125,7 +125,8 @@ def _rmse_of(w_prev: Column, w_last: Column) -> Column:
     squares = w_prev * w_prev * m["pp"] + w_last * w_last * m["ll"] + excess * excess * m["yy"]
     mixed = w_prev * w_last * m["pl"] + w_prev * excess * m["py"] + w_last * excess * m["ly"]
     total = F.greatest(squares + 2 * mixed, F.lit(0.0)) + F.col("rest")
-    return F.sqrt(F.try_divide(total, F.col("n") + F.col("n_rest")))
+    error = F.sqrt(F.try_divide(total, F.col("n") + F.col("n_rest")))
+    return F.when(w_prev.isNotNull() & w_last.isNotNull(), error)
 
 
 def backtest_weights(

@@ -15,7 +15,7 @@ from ..operators.aggregate import stack_sum
 from ..operators.cleaning import time_split, zero_fill
 from ..operators.columns import features_and_label
 from ..operators.joins import roster_complete
-from ..operators.models import assemble, best_of, best_round, coarse_to_fine, fit, forest, gbt, score, with_folds
+from ..operators.models import assemble, at_once, best_of, best_round, coarse_to_fine, fit, forest, gbt, score, with_folds
 from ..session import cut_lineage
 from . import codes
 from .hitters import batter_seasons, clean_events, complete_hitters, project_hitters
@@ -105,10 +105,12 @@ def choose_and_refit(
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # read by every fit
     try:
         train, test = time_split(rows, "year", settings.seasons[:-1], settings.seasons[-1:])
-        tuned = {name: _tuned(c, train, settings.folds) for name, c in candidates.items()}
+        names = list(candidates)
+        found = at_once(rows.sparkSession, lambda name: _tuned(candidates[name], train, settings.folds), names, len(names))
+        tuned = dict(zip(names, found, strict=True))
         if len(tuned) == 1 and refit_all:
             return next(iter(tuned.values())).fit(rows)
-        models = {name: est.fit(train) for name, est in tuned.items()}
+        models = dict(zip(names, at_once(rows.sparkSession, lambda name: tuned[name].fit(train), names, len(names)), strict=True))
         name, model = best_of(models, test)
         return tuned[name].fit(rows) if refit_all else model
     finally:
@@ -137,13 +139,17 @@ def playing_time(pitches: DataFrame, people: DataFrame, roster: DataFrame, setti
     hitters = cut_lineage(complete_hitters(batter_seasons(clean, people, rows=settings.rows)))
     lines = cut_lineage(pitcher_lines(clean, order=settings.pitch_order, rows=settings.rows))
 
-    roles = settings.roles
-    hit_model = choose_and_refit(hitters, "batter", codes.HITTER_FEATURES, codes.HITTER_LABEL, roles["hitter"], settings)
-    pitching = lambda rows, role: choose_and_refit(
-        rows, "pitcher", codes.PITCHER_STATS, codes.PITCHER_LABEL, roles[role], settings
+    pitching = ("pitcher", codes.PITCHER_STATS, codes.PITCHER_LABEL)
+    tables = {
+        "hitter": (hitters, "batter", codes.HITTER_FEATURES, codes.HITTER_LABEL),
+        "reliever": (reliever_rows(lines), *pitching),
+        "starter": (starter_rows(lines), *pitching),
+    }
+    # the roles know nothing of each other: their fits share the cluster
+    fitted = at_once(
+        roster.sparkSession, lambda role: choose_and_refit(*tables[role], settings.roles[role], settings), list(tables), len(tables)
     )
-    rp_model = pitching(reliever_rows(lines), "reliever")
-    sp_model = pitching(starter_rows(lines), "starter")
+    hit_model, rp_model, sp_model = fitted
 
     seasons = settings.seasons
     rp = project_pitchers(lines, "RP", seasons).filter(F.col("H").isNotNull())

@@ -82,13 +82,13 @@ def read_checked(
     column's type); its columns are NULL. Both are NULL for a good line. One
     pass; ``kept`` and ``rejected`` split the result. ``missing``, the empty field
     and the quoted empty string become NULL, infinities may be spelt as in
-    ``read_csv``. Header and empty lines are skipped. A field may be quoted, but not hold a
-    line break.
+    ``read_csv``. Header and empty lines are skipped. A field may be quoted, quotes inside it
+    doubled, but not hold a line break.
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = schema.names
     as_text = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_broken", T.StringType())])
-    options = {"sep": sep, "nullValue": missing, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    options = {"sep": sep, "nullValue": missing, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
     lines = spark.read.text(path).filter((F.trim("value") != "") & (F.col("value") != sep.join(names)))
     fields = lines.select("value", F.from_csv("value", as_text.simpleString()[7:-1].replace(":", " "), options).alias("_f"))
     value = {n: F.nullif(F.col(f"_f.`{n}`"), F.lit("")) for n in names}

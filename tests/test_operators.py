@@ -6,7 +6,7 @@ from conftest import as_dicts
 from pyspark.sql import functions as F
 
 from tallyfold.operators import aggregate as agg
-from tallyfold.operators import cleaning, columns, joins, metrics, projection, reshape
+from tallyfold.operators import cleaning, columns, joins, metrics, projection, reshape, sketches
 
 
 def test_column_names(spark):
@@ -40,9 +40,14 @@ def test_left_join_rules(spark):
     assert [r["v"] for r in as_dicts(joins.left(a, b, on=["c"], null_safe=True), "k")] == [10, 20]
     twice = joins.union_all(b, b)
     assert joins.left(a, twice, on=["c"]).count() == 3
-    with pytest.raises(ValueError, match="not unique"):
-        joins.left(a, twice, on=["c"], expect="m:1")
-    assert joins.left(a, b, on=["c"], expect="m:1").columns == ["k", "c", "v"]
+    # the check is part of the query: nothing runs before it, and a missing key, which matches nothing, may repeat
+    checked = joins.left(a, twice, on=["c"], expect="m:1")
+    with pytest.raises(Exception, match="more than one row with c = x"):
+        checked.collect()
+    fine = joins.left(a, joins.union_all(b, b.filter("c IS NULL")), on=["c"], expect="m:1")
+    assert fine.columns == ["k", "c", "v"] and [r["v"] for r in as_dicts(fine, "k")] == [10, None]
+    with pytest.raises(Exception, match="more than one row with c = NULL"):
+        joins.left(a, joins.union_all(b, b.filter("c IS NULL")), on=["c"], null_safe=True, expect="m:1").collect()
     with pytest.raises(ValueError, match="rename"):
         joins.left(a, b.withColumnRenamed("v", "k"), on=["c"])
     assert [r["n"] for r in as_dicts(joins.duplicate_keys(twice, ["c"]))] == [2, 2, 2]
@@ -156,3 +161,80 @@ def test_metrics(spark):
     assert row["mape"] == pytest.approx(50.0)
     pairs = as_dicts(metrics.corr_pairs(spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 7.0)], "a double, b double"), ["a", "b"]))
     assert pairs[0]["feature_a"] == "a" and pairs[0]["corr"] == pytest.approx(0.9933992678)
+
+
+def test_moments_give_what_the_rows_give(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(200):
+        for y in (2021, 2022, 2023):
+            if rng.random() < 0.8:
+                rows.append((k, y, rng.choice([None, rng.uniform(0, 9)]) if k % 7 == 0 else rng.uniform(0, 9) + 1000, float(k % 5)))
+    df = spark.createDataFrame(rows, "k int, y int, a double, b double")
+    grid = [(0.3, 0.7), (1.0, 0.0), (0.5, 0.9)]
+    got = {(r["stat"], r["w_prev"], r["w_last"]): r["rmse"] for r in projection.backtest_weights(df, "k", "y", ["a", "b"], (2021, 2022), 2023, grid).collect()}
+    value = {(k, y): {"a": a, "b": b} for k, y, a, b in rows}
+
+    def error(stat, w1, w2):
+        errors = []
+        for k in range(200):
+            p, l, t = (value.get((k, y)) for y in (2021, 2022, 2023))
+            there = [v is not None and any(x is not None for x in v.values()) for v in (p, l, t)]
+            if not there[2] or not (there[0] or there[1]):
+                continue
+            guess = l and l[stat]
+            if there[0] and there[1]:
+                guess = None if None in (p[stat], l[stat]) else w1 * p[stat] + w2 * l[stat]
+            if guess is not None and t[stat] is not None:
+                errors.append((guess - t[stat]) ** 2)
+        return (sum(errors) / len(errors)) ** 0.5
+
+    for (stat, w1, w2), rmse in got.items():
+        assert rmse == pytest.approx(error(stat, w1, w2), rel=1e-9)
+    for one in (False, True):
+        best = {r["stat"]: r for r in projection.optimal_weights(df, "k", "y", ["a", "b"], (2021, 2022), 2023, one).collect()}
+        # b never changes: no pair is better than another along a line, or every pair that adds up to 1
+        assert best["b"]["w_prev"] is None and best["b"]["rmse"] is None
+        w1, w2, rmse = best["a"]["w_prev"], best["a"]["w_last"], best["a"]["rmse"]
+        assert rmse == pytest.approx(error("a", w1, w2), rel=1e-7) and (not one or w1 + w2 == pytest.approx(1))
+        for d in (-0.01, 0.01):
+            assert rmse < error("a", w1 + d, w2 - d) and (one or rmse < error("a", w1 + d, w2))
+
+
+def test_correlations_of_incomplete_columns(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, float("nan"), rng.gauss(0, 1), 3.0]), rng.randrange(5) * 1.0, 1e9 + rng.random(), 7.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double").repartition(5)
+    ok = lambda v: v is not None and v == v
+
+    def plain(x, y):
+        n = len(x)
+        mx, my = sum(x) / n, sum(y) / n
+        return sum((a - mx) * (b - my) for a, b in zip(x, y)) / (sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y)) ** 0.5
+
+    columns_ = {n: [r[i] for r in rows] for i, n in enumerate("kabcd")}
+
+    def ranked(values):
+        have = sorted(v for v in values if ok(v))
+        return [None if not ok(v) else (2 * have.index(v) + have.count(v) + 1) / 2 for v in values]
+
+    for method, data in (("pearson", columns_), ("spearman", {n: ranked(v) for n, v in columns_.items()})):
+        got = {(r[0], r[1]): r[2] for r in metrics.corr_pairs(df, ["a", "b", "c", "d"], method, ["k"], rows=60).collect()}
+        assert len(got) == 6
+        for (x, y), corr in got.items():
+            if "d" in (x, y):
+                assert corr is None
+            else:
+                both = [(p, q) for p, q in zip(data[x], data[y]) if ok(p) and ok(q)]
+                assert corr == pytest.approx(plain(*zip(*both)), rel=1e-6)
+    assert metrics.corr_pairs(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_sketches_merge_to_any_level(spark):
+    df = spark.range(30000).selectExpr("id % 3 AS g", "id % 7 AS h", "CASE WHEN id % 11 > 0 THEN id % 9000 END AS v")
+    fine = sketches.distinct_sketches(df, ["g", "h"], {"n": "v"})
+    for keys in (["g"], ["h"], []):
+        guess = sketches.estimates(sketches.merged(fine, keys, ["n"]), ["n"]).collect()
+        exact = {tuple(r[k] for k in keys): r["n"] for r in df.groupBy(*keys).agg(F.countDistinct("v").alias("n")).collect()}
+        assert len(guess) == len(exact)
+        assert all(abs(r["n"] - exact[tuple(r[k] for k in keys)]) <= sketches.relative_error() * r["n"] for r in guess)

@@ -3,9 +3,10 @@ import os
 
 import pytest
 from conftest import as_dicts
+from pyspark.sql import functions as F
 
 from tallyfold.session import cut_lineage, remove, scratch_path, shared_dir
-from tallyfold.sources import read_csv, with_names, write, write_partitioned
+from tallyfold.sources import kept, read_checked, read_csv, rejected, store_bucketed, with_names, write, write_partitioned
 
 CSV = """,k,x,s
 0,1,Inf,a
@@ -118,3 +119,36 @@ def test_only_interim_tables_are_removed(spark, tmp_path):
     for other in (str(tmp_path), shared_dir(spark), f"{shared_dir(spark)}/../x"):
         with pytest.raises(ValueError, match="interim"):
             remove(spark, other)
+
+
+def test_checked_reading_loses_no_line(spark, tmp_path):
+    lines = ["id,day,x,note", '1,2020-01-31,1.5,"a, ""b"""', "2,2020-02-30,1,z", "3,2020-01-01,inf,NA", "4,2020-01-01", "5,2020-01-01,1,a,b",
+             "six,2020-01-01,1,a", '7,,"",', "", "8,2020-01-01,abc,a"]
+    (tmp_path / "f.csv").write_text("\n".join(lines) + "\n")
+    checked = read_checked(spark, str(tmp_path), "id bigint, day date, x double, note string")
+    good = {r["id"]: tuple(r)[1:] for r in kept(checked).collect()}
+    assert set(good) == {1, 3, 7} and good[1][1:] == (1.5, 'a, "b"') and good[3][1:] == (float("inf"), None) and good[7] == (None, None, None)
+    bad = {r["_line"]: r["_reason"] for r in rejected(checked).collect()}
+    assert set(bad) == {lines[2], lines[4], lines[5], lines[6], lines[9]}
+    assert bad[lines[4]] == bad[lines[5]] == "does not have 4 fields"
+    assert bad[lines[2]] == "day is no date: 2020-02-30" and bad[lines[6]] == "id is no bigint: six" and bad[lines[9]] == "x is no double: abc"
+    assert checked.count() == 8
+
+
+def test_a_table_stored_by_key_needs_no_shuffle(spark, tmp_path):
+    from tallyfold.operators import windows
+
+    df = spark.range(3000).selectExpr("id % 37 AS g", "id % 5 AS h", "id AS o", "id % 11 AS v").repartition(6)
+    stored = store_bucketed(df, str(tmp_path / "stored"), ["g", "h"], 4, ["o"])
+    scan = windows.ordered_scan(stored, ["g", "h"], ["o"], previous={"p": "v"})
+    per_key = scan.groupBy("g", "h").agg(F.sum("p").alias("p"))
+    counts = stored.groupBy("g", "h", "v").count().groupBy("g", "h").agg(F.count("v").alias("kinds"))
+    both = per_key.join(counts, ["g", "h"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        assert stored.count() == 3000 and both.count() == df.select("g", "h").distinct().count()
+        plain = windows.ordered_scan(df, ["g", "h"], ["o"], previous={"p": "v"}).groupBy("g", "h").agg(F.sum("p").alias("p"))
+        assert as_dicts(per_key, "g", "h") == as_dicts(plain, "g", "h")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
