@@ -1,13 +1,21 @@
 """Benchmark passages inside documents, within an edit distance.
 
-Words are the symbols. An item that may have k edits is cut into k + 1 pieces;
-an edit spoils at most one of them, so wherever the item occurs a piece is left
-as it was. The pieces' hashes are looked up at every word of a text, each place
-found fixes where the item would lie, and its surroundings are verified by their
-exact edit distance. Nothing within the distance is lost.
-
-Surroundings are verified only if they hold enough word pairs of the benchmark:
-an edit spoils at most two of them, so this count filter loses nothing either.
+Words are the symbols. Windows are embedded by the CGK random walk (Chakraborty,
+Goldenberg, Koucky 2016): a walk writes the word it stands on and goes on or stays by
+a random bit of that word, as many steps as an item of the window's class has
+words. Two windows a few edits apart soon walk in step again, so their edit
+distance becomes a small Hamming distance, and a few sampled steps are a key that
+both share with a fair chance. Walks and samples are drawn anew for every
+repeat, and repeated until the wanted recall is reached. An item is embedded
+from several anchors of its first half, so a cut or replaced head spoils only
+some; a text from every word. Every place met is verified by its exact edit distance.
+
+Windows are embedded, and places verified, only if they hold enough word pairs of
+the benchmark: an edit spoils at most two of them, so this count filter loses
+nothing.
+
+``search="pieces"`` is a second, exhaustive search: of k + 1 pieces of an item one
+survives k edits, and is looked up at every word.
 """
 
 from __future__ import annotations
@@ -27,26 +35,89 @@ from .shared import map_batches
 
 #: an item is found where at most this share of its words is edited
 MAX_EDITS = 0.2
-#: the least share of such places to be found; the search finds all of them
+#: the share of such places to be met by a key, whatever the kind of edit
 RECALL = 0.99
+#: steps of a walk that make up a key
+SAMPLED = 3
+#: ratio of the longest to the shortest item that share a window length
+CLASS_RATIO = 1.25
+#: anchors of an item lie so many to its length, in its first half
+ANCHORS = 24
+#: windows embedded at once
+WINDOWS = 1 << 13
 #: words of a piece that are hashed, at most: a piece left as it was begins as it did
 PIECE_WORDS = 8
 #: candidates worked on at once
 CANDIDATES = 1 << 18
 #: bytes of benchmark text whose index is sent to the tasks at once; more text means more passes
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: slots of the table of known word pairs for each pair in it
 _SLOTS = 16
 
 
-def repeats(edits: int = 0) -> int:
-    """Keys per item, so that ``edits`` edits leave at least one as it was."""
-    return edits + 1
+def repeats(width: int, recall: float) -> int:
+    """Walks for windows of ``width`` words, so that an item at the largest distance is met with probability ``recall``.
+
+    One walk meets it, by any of its anchors, with the probability measured for
+    the worst of nine kinds of edit: at least 1/2 up to 50 words, 0.33 at 97, 0.11 at 293.
+    """
+    hit = min(0.5, 32 / width)
+    return max(1, math.ceil(math.log(max(1 - recall, 1e-9)) / math.log(1 - hit)))
+
+
+def window_length(n: int) -> int:
+    """The window length for items of ``n`` words: the largest step of a geometric scale up to n."""
+    w = 1
+    while (up := max(w + 1, int(w * CLASS_RATIO))) <= n:
+        w = up
+    return w
+
+
+def anchors(n: int) -> range:
+    """The words of an item of ``n`` words from which it is embedded."""
+    return range(0, n // 2 + 1, max(1, n // ANCHORS))
+
+
+class Walks:
+    """Seeded walks of one window length, each with steps of its own to sample, and the items' keys."""
+
+    def __init__(self, width: int, recall: float, seed: int = 11) -> None:
+        rng = np.random.default_rng([seed, width])
+        self.width, self.count = width, repeats(width, recall)
+        draw = lambda shape: rng.integers(0, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.bits = draw((self.count, width))
+        sampled = rng.integers(0, width, (self.count, SAMPLED))
+        self.weights = draw((self.count, SAMPLED))
+        self.salts = draw((self.count, 1))
+        self.at_step = [np.nonzero(sampled == step) for step in range(width)]
+
+    def keys(self, flat: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Keys of the windows that begin at ``at`` and see words before ``stop``: one row per walk."""
+        place = np.repeat(at[None, :], self.count, axis=0)
+        out = np.repeat(self.salts, len(at), axis=1)
+        for step, (walk, which) in enumerate(self.at_step):
+            symbol = np.where(place < stop, flat[np.minimum(place, len(flat) - 1)], np.uint64(0))
+            for r, j in zip(walk, which):
+                out[r] += tokens.mix(symbol[r] + np.uint64(j + 1)) * self.weights[r, j]
+            place += ((symbol * self.bits[:, step, None]) >> np.uint64(63)).astype(np.int64)
+        return tokens.mix(out)
+
+    def learn(self, flat: np.ndarray, items: np.ndarray, starts: np.ndarray, limits: np.ndarray) -> None:
+        """Index ``items`` of this length by the keys of all their anchors; ``limits`` are their edits."""
+        sizes = starts[items + 1] - starts[items]
+        which = np.repeat(np.arange(len(items)), [len(anchors(n)) for n in sizes.tolist()])
+        offsets = np.concatenate([np.array(anchors(n), dtype=np.int64) for n in sizes.tolist()])
+        keys = self.keys(flat, starts[items[which]] + offsets, starts[items[which] + 1]).reshape(-1)
+        order = np.argsort(keys, kind="stable")
+        self.table = keys[order]
+        self.items, self.offsets = items[np.tile(which, self.count)[order]], np.tile(offsets, self.count)[order]
+        self.longest, self.edits = int(sizes.max()), int(limits[items].max())
+        self.need = int((sizes - 1 - 2 * limits[items]).min())
 
 
 def cuts(n: int, edits: int) -> list[tuple[int, int]]:
     """First word and hashed words of each piece of an item of ``n`` words, more than ``edits``."""
-    keys = repeats(edits)
+    keys = edits + 1
     bounds = [n * k // keys for k in range(keys + 1)]
     return [(a, min(b - a, PIECE_WORDS)) for a, b in zip(bounds[:-1], bounds[1:])]
 
@@ -78,14 +149,13 @@ class Pieces:
 
 
 class Index:
-    """The items of one block: words, known word pairs, and pieces by length.
-
-    ``max_edits`` is below 1. Every ``recall`` is met, as nothing is lost.
-    """
+    """The items of one block: words, known words and word pairs, and what the search looks up. ``max_edits`` is below 1."""
 
-    def __init__(self, ids: list, texts: list[str | None], max_edits: float, recall: float) -> None:
+    def __init__(self, ids: list, texts: list[str | None], max_edits: float, recall: float, search: str = "walks") -> None:
         if not 0 <= max_edits < 1:
             raise ValueError("max_edits must be at least 0 and below 1")
+        if search not in ("walks", "pieces"):
+            raise ValueError(f"search must be 'walks' or 'pieces', not {search!r}")
         hashes, starts = tokens.words(pa.array(texts, pa.string()))
         self.ids = ids
         self.items = [hashes[a:b] for a, b in zip(starts[:-1], starts[1:])]
@@ -93,16 +163,23 @@ class Index:
         self.limits = np.array([int(max_edits * n) for n in self.sizes.tolist()], dtype=np.int64)
         self.bits = _bits(len(hashes))
         self.known = np.zeros(1 << self.bits, dtype=bool)
+        self.single = np.zeros(1 << self.bits, dtype=bool)
+        self.single[self.slot(hashes)] = True
         by_length: dict[int, list[tuple[int, int]]] = {}
+        by_width: dict[int, list[int]] = {}
         for i, words in enumerate(self.items):
             if len(words):
                 self.known[self.slot(_pairs(words))] = True
-                for offset, length in cuts(len(words), self.edits(i)):
+                by_width.setdefault(window_length(len(words)), []).append(i)
+                for offset, length in cuts(len(words), self.edits(i)) if search == "pieces" else ():
                     by_length.setdefault(length, []).append((i, offset))
-        self.pieces = []
+        self.pieces, self.walks = [], []
         for length, found in sorted(by_length.items()):
             items, offsets = np.array(found, dtype=np.int64).T
             self.pieces.append(Pieces(length, _runs(hashes, length)[starts[items] + offsets], items, offsets))
+        for width, members in sorted(by_width.items()) if search == "walks" else ():
+            self.walks.append(Walks(width, recall))
+            self.walks[-1].learn(hashes, np.array(members), starts, self.limits)
 
     def slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -152,32 +229,57 @@ def matches(item: np.ndarray, region: np.ndarray, edits: int) -> list[tuple[int,
 def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     """(row, item, least distance, places, end of the first place in words) of every item found in a text."""
     flat, starts = tokens.words(texts)
-    if len(flat) == 0 or not index.pieces:
+    if len(flat) == 0 or not (index.pieces or index.walks):
         return []
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    stop = starts[1:][owner]
     pairs = np.zeros(len(flat) + 1, dtype=np.int32)
     known = index.known[index.slot(_pairs(flat))] & (owner[:-1] == owner[1:])
     np.cumsum(known, out=pairs[1:-1])
     pairs[-1] = pairs[-2]
-    hits = []
+    hits = [np.empty((3, 0), dtype=np.int64)]
+    for place, item, offset in _met_walks(index, flat, starts, owner, pairs) if index.walks else _met_pieces(index, flat, starts, owner):
+        row, at = owner[place], place - offset
+        low, high = _around(index, starts, item, row, at)
+        need = index.sizes[item] - 1 - 2 * index.limits[item]
+        enough = (high > low) & (pairs[high - 1] - pairs[low] >= need)
+        hits.append(np.unique(np.stack([item, row, at])[:, enough], axis=1))
+    return _verify(index, flat, starts, np.unique(np.concatenate(hits, axis=1), axis=1))
+
+
+def _met_walks(index: Index, flat, starts, owner, pairs) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, item, offset of its anchor) wherever a window shares a key with an item."""
+    begin = np.flatnonzero(index.single[index.slot(flat)])
+    first, stop = starts[:-1][owner[begin]], starts[1:][owner[begin]]
+    for walks in index.walks:
+        reach = walks.longest + walks.edits
+        # what an item can cover that is anchored here
+        low, high = np.maximum(first, begin - walks.longest // 2 - walks.edits), np.minimum(stop, begin + reach)
+        some = np.flatnonzero(pairs[high - 1] - pairs[low] >= walks.need)
+        for at in range(0, len(some), WINDOWS):
+            now = some[at : at + WINDOWS]
+            keys = walks.keys(flat, begin[now], stop[now])
+            yield from _looked_up(walks.table, keys.reshape(-1), np.tile(begin[now], walks.count), walks.items, walks.offsets)
+
+
+def _met_pieces(index: Index, flat, starts, owner) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, item, offset of the piece) wherever a text holds a piece."""
+    stop = starts[1:][owner]
     for pieces in index.pieces:
         keys = _runs(flat, pieces.length)
         places = np.arange(len(keys))
         places = places[pieces.known[pieces.slot(keys)] & (places + pieces.length <= stop[: len(keys)])]
-        left = np.searchsorted(pieces.keys, keys[places], "left")
-        count = np.searchsorted(pieces.keys, keys[places], "right") - left
-        places, left, count = places[count > 0], left[count > 0], count[count > 0]
-        parts = np.flatnonzero(np.diff(np.cumsum(count) // CANDIDATES)) + 1
-        for place, first, n in zip(np.split(places, parts), np.split(left, parts), np.split(count, parts)):
-            piece = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            place, item = np.repeat(place, n), pieces.items[piece]
-            row, at = owner[place], place - pieces.offsets[piece]
-            low, high = _around(index, starts, item, row, at)
-            need = index.sizes[item] - 1 - 2 * index.limits[item]
-            enough = pairs[high - 1] - pairs[low] >= need
-            hits.append(np.unique(np.stack([item, row, at])[:, enough], axis=1))
-    return _verify(index, flat, starts, np.unique(np.concatenate(hits, axis=1), axis=1))
+        yield from _looked_up(pieces.keys, keys[places], places, pieces.items, pieces.offsets)
+
+
+def _looked_up(table, keys, places, items, offsets) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The entries of each key, some candidates at a time."""
+    left = np.searchsorted(table, keys, "left")
+    count = np.searchsorted(table, keys, "right") - left
+    places, left, count = places[count > 0], left[count > 0], count[count > 0]
+    parts = np.flatnonzero(np.diff(np.cumsum(count) // CANDIDATES)) + 1
+    for place, first, n in zip(np.split(places, parts), np.split(left, parts), np.split(count, parts)):
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        yield np.repeat(place, n), items[entry], offsets[entry]
 
 
 def _around(index: Index, starts, item, row, at) -> tuple[np.ndarray, np.ndarray]:
@@ -224,12 +326,14 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
         yield items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
 
 
-def _indexes(benchmark: DataFrame, item: str, text: str, max_edits: float, recall: float, block_bytes: int) -> Iterator:
+def _indexes(
+    benchmark: DataFrame, item: str, text: str, max_edits: float, recall: float, block_bytes: int, search: str
+) -> Iterator:
     """The broadcast index of each block that has items."""
     context = benchmark.sparkSession.sparkContext
     for items in _blocks(benchmark, item, text, block_bytes):
         if items:
-            yield context.broadcast(Index([r["item"] for r in items], [r["text"] for r in items], max_edits, recall))
+            yield context.broadcast(Index([r["item"] for r in items], [r["text"] for r in items], max_edits, recall, search))
 
 
 def leaks(
@@ -242,13 +346,15 @@ def leaks(
     max_edits: float = MAX_EDITS,
     recall: float = RECALL,
     block_bytes: int = BLOCK_BYTES,
+    search: str = "walks",
 ) -> DataFrame:
     """One row per document row and item found in it: doc, item, distance, item_words, places, first_end.
 
     An item of n words is found where a run of the document's words is within
-    floor(max_edits n) word edits of it, always, so every ``recall`` is met;
-    ``max_edits`` is below 1. ``distance`` is the least one, ``places`` how many
-    separate places were found, ``first_end`` the place of the first, in words.
+    floor(max_edits n) word edits of it: an exact copy always, an edited one with
+    probability ``recall`` or more (always by ``search="pieces"``); ``max_edits`` is
+    below 1. ``distance`` is the least one found, ``places`` how many separate places
+    were found, ``first_end`` the place of the first, in words.
 
     Words are runs of letters and digits, in lower case. Null, empty or
     wordless texts contain nothing and are contained in nothing. Repeated
@@ -272,7 +378,7 @@ def leaks(
     narrow = documents.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = to_arrow_type(item_field.dataType)
     parts = [
-        map_batches(narrow, _finder(index, kind), schema) for index in _indexes(benchmark, item, item_text, max_edits, recall, block_bytes)
+        map_batches(narrow, _finder(index, kind), schema) for index in _indexes(benchmark, item, item_text, max_edits, recall, block_bytes, search)
     ]
     out = spark.createDataFrame([], schema) if not parts else parts[0]
     for more in parts[1:]:
@@ -311,6 +417,7 @@ def clean(
     max_edits: float = MAX_EDITS,
     recall: float = RECALL,
     block_bytes: int = BLOCK_BYTES,
+    search: str = "walks",
 ) -> DataFrame:
     """The rows, whole, in whose text no benchmark item is found; see ``leaks``."""
 
@@ -325,6 +432,6 @@ def clean(
         return run
 
     out = documents
-    for index in _indexes(benchmark, item_text, item_text, max_edits, recall, block_bytes):
+    for index in _indexes(benchmark, item_text, item_text, max_edits, recall, block_bytes, search):
         out = map_batches(out, without(index), documents.schema)
     return out

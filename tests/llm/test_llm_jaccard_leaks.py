@@ -235,14 +235,14 @@ EDITS = {
 }
 
 
-def lost_passages(trials=12):
+def lost_passages(trials, search):
     """(kind of edit, words of the item) -> passages at the largest distance that are not found, of ``trials``."""
     rng = random.Random(8)
     new = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     lost = {}
     for n in (5, 9, 14, 22, 26, 59, 120, 300):
         items = [new(n) for _ in range(trials)]
-        index = decontaminate.Index(list(range(trials)), [" ".join(w) for w in items], 0.2, 0.99)
+        index = decontaminate.Index(list(range(trials)), [" ".join(w) for w in items], 0.2, 0.99, search)
         for kind, edit in EDITS.items():
             docs = [" ".join([*new(30), *edit(rng, w, int(0.2 * n), new), *new(30)]) for w in items]
             found = {(row, item) for row, item, *_ in decontaminate.find(index, pa.array(docs))}
@@ -250,5 +250,23 @@ def lost_passages(trials=12):
     return lost
 
 
-def test_no_kind_of_edit_and_no_length_loses_passages():
-    assert {k: n for k, n in lost_passages().items() if n} == {}
+def test_walks_meet_passages_whatever_the_edit_and_the_length():
+    trials = 20
+    lost = lost_passages(trials, "walks")
+    # every kind at every length, and all together near the wanted recall
+    assert {k: n for k, n in lost.items() if n > 0.1 * trials} == {}
+    assert sum(lost.values()) <= 0.02 * trials * len(lost)
+
+
+def test_pieces_lose_no_passage():
+    assert {k: n for k, n in lost_passages(12, "pieces").items() if n} == {}
+
+
+def test_recall_decides_the_number_of_walks():
+    assert decontaminate.repeats(20, 0.5) < decontaminate.repeats(20, 0.99) < decontaminate.repeats(20, 0.99999)
+    walks = [decontaminate.Walks(30, 0.99), decontaminate.Walks(30, 0.99)]
+    flat = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.arange(100)
+    keys = [w.keys(flat, at, np.full(100, 199)) for w in walks]
+    assert (keys[0] == keys[1]).all()  # seeded
+    assert len(np.unique(keys[0])) == sum(len(np.unique(k)) for k in keys[0])  # no walk repeats another
