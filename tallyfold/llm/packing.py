@@ -128,7 +128,7 @@ def pack(
     )
     fields = [f for f in ready.schema.fields if f.name not in ("segments", "loss")]
     schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    limits = np.array([max_tokens, max_segments, max_loss or max_tokens])
+    limits = np.array([max_tokens, max_segments, max_tokens if max_loss is None else max_loss])
     out = map_batches(ready, _packer(limits, pool), schema)
     return out if length == "length" else out.withColumnRenamed("length", length)
 

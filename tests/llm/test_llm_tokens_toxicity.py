@@ -329,3 +329,45 @@ def test_run_is_the_stages_in_turn(spark, tables):
     ]
     check_sequences(rows, 1024, 64)
     assert rows
+
+
+def long_runs(n):
+    rng = random.Random(6)
+    yield from (" " * n, "\n" * n, "\t" * n, " \n" * (n // 2), "!" * n, "a" * n, "漢" * n, " " * n + "word", "x" + "\n" * n + "é" + " " * n)
+    yield " " * n + "<|endoftext|>" + "\u3000" * n + "a<|endoftext|>"
+    yield "\x1c" * n + " " * n + "\x1cx"
+    yield "".join(rng.choice("漢字a b\n!") for _ in range(n))
+    yield "".join(rng.choice([" ", "\n"]) * rng.choice([1, 3, bpe.LONG_RUN, bpe.LONG_RUN + 1]) + rng.choice(["a", "'s", "<|endoftext|>", ""]) for _ in range(20))
+
+
+def test_long_runs_have_the_ids_of_the_tokenizer_file():
+    special, plain, path = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), reference(), bpe.default_path()
+    for text in [*long_runs(60_000), " " * 1_000_000, "\n" * 1_000_000 + "a"]:
+        assert bpe.encode(text, path, special=True).tolist() == special.encode(text, add_special_tokens=False).ids
+        assert bpe.encode(text, path).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_a_million_spaces_are_packed_and_counted(spark):
+    df = spark.createDataFrame([(1, "s", " " * 1_000_000), (2, "s", "\n " * 500_000)], "doc_id long, source string, text string")
+    rows = packing.pack(packing.pieces(df, special=True), loss="loss").collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == 1_000_001
+    counts = token_counts.section_tokens(df, special=True).groupBy("doc_id").agg(F.sum("tokens").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in counts}[1] == len(bpe.encode("s\n" + " " * 1_000_000, bpe.default_path()))
+
+
+def test_archives_are_read_by_several_tasks(spark):
+    rng = random.Random(1)
+    pages = [(i, "u", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=60_000))) for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    folder = warc.archive_folder(spark)
+    read = warc.read_archives(warc.write_archives(df, folder), folder)
+    assert read.rdd.getNumPartitions() > 1
+    assert {r["page_id"]: r["payload_bytes"] for r in read.select("page_id", "payload_bytes").collect()} == {i: 60_000 for i in range(400)}
+
+
+def test_near_copies_keep_one_row_of_a_repeated_document(spark, tables):
+    rows = [(1, "same text of a document here", "en", "b", 28), (1, "same text of a document here", "de", "z", 28),
+            (1, "same text of a document here", None, "y", 28), (2, "another", "en", "a", 7), (3, None, "en", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted(tuple(r) for r in corpus_pipeline.near_copies(spark, docs, tables).collect())
+    assert got == [rows[2], rows[3], rows[4]]
