@@ -35,6 +35,8 @@ LEAST_SHARED = 1000
 FILE_BYTES = 256 << 20
 #: ranges closer than this are read as one, up to a block
 GAP_BYTES = 64 << 10
+#: bytes that one task reads back
+TASK_BYTES = 64 << 20
 BLOCK_BYTES = 4 << 20
 LEVEL = 4
 #: records carry no time of their own
@@ -244,9 +246,14 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """The records that ``index`` names (``RECORD``), by coalesced byte ranges in order of place.
 
     ``index`` may be any selection of the rows that ``write_archives`` returned. A
-    revisit has the size and digest of the full payload, but not the payload.
+    revisit has the size and digest of the full payload, but not the payload. The
+    bytes of the ranges, counted first, decide how many tasks read them.
     """
-    wanted = _ranges(index.distinct()).sortWithinPartitions("file", "offset")
+    wanted = index.distinct()
+    size = wanted.agg(F.sum("length")).first()[0] or 0
+    tasks = max(size // TASK_BYTES, min(index.sparkSession.sparkContext.defaultParallelism, size // BLOCK_BYTES), 1)
+    # an explicit number: the index rows are small, what they stand for is not
+    wanted = _ranges(wanted).repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
     return map_batches(wanted.select("file", "offset", "length", "parts"), _read(folder), RECORD)
 
 
