@@ -263,8 +263,6 @@ def _verify(least: list[int], threshold: float):
             for i, j in _pairs(first, end):
                 met = _alike(sig, i, j, least)
                 i, j = i[met], j[met]
-                shared = (sig[i] == sig[j]).reshape(-1, BANDS, BAND_ROWS).all(axis=2).any(axis=1)
-                i, j = i[shared], j[shared]
                 both = book.common(i, j)
                 sizes = book.sizes
                 # both / union >= threshold, in whole numbers where the threshold allows it
