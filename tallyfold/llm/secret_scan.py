@@ -34,6 +34,8 @@ MAX_OWNERS = 2
 MARK = "[SECRET]"
 
 _BLOCK = 256
+#: code points of a text that are cut out at once
+_TEXT_BLOCK = 1024
 _LONGS = "array<bigint>"
 
 
@@ -59,8 +61,12 @@ def _running(steps: Column) -> Column:
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,hash:bigint>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, value: str | None = None) -> Column:
-    """Leftmost non-overlapping matches as structs (start, kind, end, hash of the value)."""
+def _spans(text: Column, pattern: str, kind: int, value: str | None = None, live: bool = False) -> Column:
+    """Leftmost non-overlapping matches as structs (start, kind, end, hash of the value); with ``live`` those that look it.
+
+    Every match is judged where it is at hand: cutting it out of the text again
+    would count from the text's beginning each time.
+    """
 
     def place(gaps: Column) -> Column:
         def with_matches(found: Column) -> Column:
@@ -73,6 +79,8 @@ def _spans(text: Column, pattern: str, kind: int, value: str | None = None) -> C
         def span(m: Column, start: Column) -> Column:
             secret = F.regexp_replace(m, value, "") if value else m
             keep = F.length(secret) >= ASSIGN_LENGTH if value else F.lit(True)
+            if live:
+                keep = m.rlike(LIVE) & (F.size(F.array_distinct(F.split(m, ""))) >= LIVE_CHARACTERS)
             one = F.struct(
                 start.cast("long").alias("start"),
                 F.lit(kind).alias("kind"),
@@ -87,16 +95,6 @@ def _spans(text: Column, pattern: str, kind: int, value: str | None = None) -> C
     return let(F.split(text, pattern), place)
 
 
-def _candidates(text: Column) -> Column:
-    runs = _spans(text, CANDIDATE, KINDS.index("owned"))
-
-    def live(s: Column) -> Column:
-        value = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        return value.rlike(LIVE) & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_CHARACTERS)
-
-    return F.filter(runs, live)
-
-
 def scan(
     df: DataFrame,
     owner: str = "source",
@@ -127,7 +125,7 @@ def scan(
         _spans(t, PATTERNS["access"], 1),
         _spans(t, PATTERNS["hex"], 2),
     ]
-    spans = F.concat(*base, _candidates(t))
+    spans = F.concat(*base, _spans(t, CANDIDATE, KINDS.index("owned"), live=True))
     scanned = df.select(
         *[F.col(f"`{c}`") for c in kept],
         F.col(f"`{owner}`").cast("string").alias(own),
@@ -165,14 +163,49 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _most_before(values: Column) -> Column:
+    """The largest of the values before each place, 0 before the first; in two levels, as ``_running``."""
+
+    def plain(xs: Column, start: Column) -> Column:
+        zero = F.struct(start.cast("long").alias("at"), F.array().cast(_LONGS).alias("out"))
+        grow = lambda a, x: F.struct(F.greatest(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(xs, zero, grow, lambda a: a["out"])
+
+    def joined(parts: Column) -> Column:
+        most = F.transform(parts, lambda p: F.array_max(p))
+        return let(plain(most, F.lit(0)), lambda starts: F.flatten(F.transform(parts, lambda p, i: plain(p, F.get(starts, i)))))
+
+    n = lambda xs: F.floor((F.size(xs) - 1) / _BLOCK).cast("int")
+    blocks = lambda xs: F.transform(F.sequence(F.lit(0), n(xs)), lambda b: F.slice(xs, b * _BLOCK + 1, _BLOCK))
+    return let(let(values, blocks), joined)
+
+
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with every span, or run of overlapping spans, replaced by ``MARK``."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """``text`` with every span, or run of overlapping spans, replaced by ``MARK``.
+
+    The text is cut into blocks once, so that a piece of it is reached without
+    counting from the beginning, and the pieces are joined once.
+    """
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        def part(k: Column) -> Column:
+            first = F.greatest(start - k * _TEXT_BLOCK, F.lit(0).cast("long"))
+            length = F.least(end - k * _TEXT_BLOCK, F.lit(_TEXT_BLOCK).cast("long")) - first
+            return F.substring(F.get(blocks, k.cast("int")), (first + 1).cast("int"), length.cast("int"))
+
+        whole = F.sequence(F.floor(start / _TEXT_BLOCK), F.floor((end - 1) / _TEXT_BLOCK))
+        return F.when(end > start, F.array_join(F.transform(whole, part), "")).otherwise("")
+
+    def build(blocks: Column, before: Column) -> Column:
+        def marked(s: Column, i: Column) -> Column:
+            at = F.get(before, i)
+            return F.when(s["start"] >= at, F.concat(piece(blocks, at, s["start"]), F.lit(MARK))).otherwise("")
 
-    def step(a: Column, s: Column) -> Column:
-        between = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        out = F.when(s["start"] >= a["at"], F.concat(a["out"], between, F.lit(MARK))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        last = piece(blocks, end, F.length(text).cast("long"))
+        return F.concat(F.array_join(F.transform(spans, marked), ""), last)
 
-    rest = lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, rest))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_TEXT_BLOCK}}}"), F.lit(0))
+    before = _most_before(F.transform(spans, lambda s: s["end"]))
+    changed = let(blocks, lambda bs: let(before, lambda ends: build(bs, ends)))
+    return F.when(F.size(spans) == 0, text).otherwise(changed)
