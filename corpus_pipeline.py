@@ -8,7 +8,7 @@ it back, so a lost executor costs no earlier stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm import decontaminate, jaccard, packing, secret_scan, shared, toxicity
@@ -26,16 +26,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal or linked texts stays; documents without a text stay."""
+    """One document of each class of equal or linked texts stays; documents without a text stay.
+
+    Of rows that repeat a document's id and text, the first by the other columns, in their order, missing values first, stays.
+    """
     classes = jaccard.jaccard_links(docs)
     kept = classes.filter(F.col("text_md5") == F.col("class_md5")).select("class_id", "class_md5").distinct()
     kept = kept.select(F.struct("class_id", "class_md5").alias(name := shared.fresh(docs, "kept")[0]))
     (md5,) = shared.fresh(docs, "md5")
     named = docs.withColumn(md5, F.md5("text"))
     match = (F.col(md5) == F.col(f"{name}.class_md5")) & F.col("doc_id").eqNullSafe(F.col(f"{name}.class_id"))
-    # rows that repeat a document's id and text are one document
-    chosen = _columns(named.join(kept, match, "left_semi"), docs).dropDuplicates(["doc_id", "text"])
-    return chosen.unionByName(docs.filter(F.col("text").isNull()))
+    # rows that repeat a document's id and text are one document; the digest stands for the text
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    (nth,) = shared.fresh(named, "nth")
+    first = Window.partitionBy(md5, "doc_id").orderBy(*others or [F.lit(0)])
+    chosen = named.join(kept, match, "left_semi").withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1)
+    return _columns(chosen, docs).unionByName(docs.filter(F.col("text").isNull()))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
