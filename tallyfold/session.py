@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: interim tables that this process made and has not removed
+_made: dict[str, None] = {}
+
 
 def get_spark(app: str = "tallyfold", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (AQE, skew join, UTC)."""
@@ -53,7 +58,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one interim table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made[path] = None
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -63,6 +70,23 @@ def remove(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is no interim table of {base}")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _made.pop(path, None)
+
+
+@contextmanager
+def interim(spark: SparkSession) -> Iterator[None]:
+    """On leaving, also by an error, removes every interim table made inside.
+
+    Results are read from these tables when they run, so they must be written or
+    collected inside. Tables made before stay; those that other threads make
+    meanwhile go too.
+    """
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before]:
+            remove(spark, path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

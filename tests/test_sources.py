@@ -5,7 +5,7 @@ import pytest
 from conftest import as_dicts
 from pyspark.sql import functions as F
 
-from tallyfold.session import cut_lineage, remove, scratch_path, shared_dir
+from tallyfold.session import cut_lineage, interim, remove, scratch_path, shared_dir
 from tallyfold.sources import kept, read_checked, read_csv, rejected, store_bucketed, with_names, write, write_partitioned
 
 CSV = """,k,x,s
@@ -111,6 +111,18 @@ def test_shared_folder_is_used(spark):
     assert df.count() == 5
 
 
+def test_interim_tables_go_on_leaving(spark):
+    outside = write(spark.range(3), scratch_path(spark, "outside"))
+    with pytest.raises(RuntimeError), interim(spark):
+        gone = write(spark.range(4), scratch_path(spark, "inside"))
+        assert os.path.isdir(gone)
+        scratch_path(spark, "never-written")
+        raise RuntimeError
+    assert not os.path.exists(gone)
+    assert os.path.isdir(outside)
+    remove(spark, outside)
+
+
 def test_only_interim_tables_are_removed(spark, tmp_path):
     path = scratch_path(spark, "gone")
     spark.range(3).write.parquet(path)
