@@ -31,9 +31,10 @@ from .shared import map_batches, materialize
 
 WORDS = 5
 THRESHOLD = 0.8
-#: a pair at the threshold shares no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5
-BANDS, BAND_ROWS = 25, 5
-HASHES = BANDS * BAND_ROWS
+#: MinHash values of a text
+HASHES = 125
+#: a pair at the threshold shares no band with at most this probability
+MISS = 1e-4
 #: MinHash values compared at a time
 STEP = 25
 #: a pair is dropped when it reaches the threshold with less than this probability
@@ -54,10 +55,23 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     out = []
     for n in range(STEP, HASHES + 1, STEP):
         tail = lambda m: sum(comb(n + 1, i) * threshold**i * (1 - threshold) ** (n + 1 - i) for i in range(m + 1))
-        out.append(next(m for m in range(n + 1) if tail(m) >= tolerance))
+        # a threshold of 1 leaves no probability above it: all values must be equal
+        out.append(next((m for m in range(n + 1) if tail(m) >= tolerance), n))
     return out
 
 
+def band_rows(threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """The most MinHash values a band may have for a pair at the threshold to share one, but for ``miss``.
+
+    At 0.8 these are 5, in 25 bands: (1 - 0.8 ** 5) ** 25 = 5e-5. Raises if
+    bands of one value are not enough, below a threshold of about 0.07.
+    """
+    enough = [r for r in range(1, HASHES + 1) if (1 - threshold**r) ** (HASHES // r) <= miss]
+    if not enough:
+        raise ValueError(f"{HASHES} MinHash values cannot find pairs at a threshold of {threshold}")
+    return max(enough)
+
+
 def _multipliers() -> np.ndarray:
     return np.random.default_rng(29).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -347,9 +361,10 @@ def jaccard_links(
     links to nothing; equal ones are a class. A null text belongs to no class:
     text_md5, class_id and class_md5 are null and links is 0. A null doc_id
     counts as larger than any other. Repeated rows are equal texts. An empty
-    table gives an empty one. Other columns are ignored.
+    table gives an empty one. Other columns are ignored. Bands follow from the
+    threshold (``band_rows``); one below about 0.07 raises.
     """
-    least = least_matches(threshold, tolerance)
+    least, width = least_matches(threshold, tolerance), band_rows(threshold)
     narrow = df.select(F.col(f"`{doc}`").alias("doc_id"), F.unhex(F.md5(F.col(f"`{text}`"))).alias("fp"), F.col(f"`{text}`").alias("text"))
     fields = _fields(narrow, "doc_id", "fp")
     signed_schema = T.StructType([*fields, T.StructField("sig", T.BinaryType()), T.StructField("grams", T.LongType())])
@@ -362,8 +377,8 @@ def jaccard_links(
 
     # buckets: texts that agree in a band; one of each set of equal buckets
     bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda b: F.xxhash64(b, F.substring("sig", b * (BAND_ROWS * 4) + 1, F.lit(BAND_ROWS * 4))),
+        F.sequence(F.lit(0), F.lit(HASHES // width - 1)),
+        lambda b: F.xxhash64(b, F.substring("sig", b * (width * 4) + 1, F.lit(width * 4))),
     )
     banded = texts.filter(F.col("sig").isNotNull()).select("fp", F.posexplode(bands).alias("band", "key"))
     buckets = banded.groupBy("key").agg(

@@ -59,8 +59,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[starts[1:]] - total[starts[:-1]]
+    """Per text, added up in the order of its words: the last digit does not depend on the rest of the batch."""
+    return np.bincount(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), weights=values, minlength=len(starts) - 1)
 
 
 def _texts_with(rows: list[np.ndarray]) -> np.ndarray:

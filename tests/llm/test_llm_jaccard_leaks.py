@@ -1,14 +1,17 @@
 """The n-gram join and the search for benchmark passages against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tallyfold.llm import decontaminate, jaccard, tokens
 from tallyfold.llm.graph import components
+from tallyfold.session import interim, shared_dir
 
 WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 
@@ -20,7 +23,7 @@ def grams(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
 
-def brute_force(rows):
+def brute_force(rows, threshold=0.8):
     """md5 of a text -> (class id, links, class md5)."""
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     texts = {}
@@ -38,7 +41,7 @@ def brute_force(rows):
 
     for a in range(len(keys)):
         for b in range(a):
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9:
                 links[a] += 1
                 links[b] += 1
                 parent[root(a)] = root(b)
@@ -72,11 +75,11 @@ def corpus(n=120):
     return rows + rows[:5]
 
 
-def compare(spark, rows):
+def compare(spark, rows, threshold=0.8):
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, fp int").repartition(3)
-    out = jaccard.jaccard_links(df).collect()
+    out = jaccard.jaccard_links(df, threshold=threshold).collect()
     assert len(out) == len(rows)
-    want = brute_force(rows)
+    want = brute_force(rows, threshold)
     for r in out:
         if r["text_md5"] is None:
             assert (r["class_id"], r["class_md5"], r["links"]) == (None, None, 0)
@@ -88,6 +91,25 @@ def test_links_and_classes_equal_brute_force(spark):
     compare(spark, corpus())
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.9, 1.0])
+def test_other_thresholds(spark, threshold):
+    compare(spark, corpus(60), threshold)
+
+
+def test_bands_follow_from_the_threshold():
+    assert [jaccard.band_rows(t) for t in (0.3, 0.5, 0.8, 0.9, 1.0)] == [1, 2, 5, 7, 125]
+    with pytest.raises(ValueError):
+        jaccard.band_rows(0.05)
+
+
+def test_interim_tables_go(spark):
+    before = set(os.listdir(shared_dir(spark)))
+    with interim(spark):
+        assert jaccard.jaccard_links(spark.createDataFrame(corpus(5), "doc_id long, text string")).count() > 5
+        assert set(os.listdir(shared_dir(spark))) > before
+    assert set(os.listdir(shared_dir(spark))) == before
+
+
 def test_groups_larger_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 40)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 20_000)

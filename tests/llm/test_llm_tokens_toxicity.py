@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -371,3 +372,49 @@ def test_near_copies_keep_one_row_of_a_repeated_document(spark, tables):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     got = sorted(tuple(r) for r in corpus_pipeline.near_copies(spark, docs, tables).collect())
     assert got == [rows[2], rows[3], rows[4]]
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, n)) for n in (0, 1, 7, 400, 20_000, 3, 0, 900)]
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), -0.3, 0.1)
+    together = model.scores(*toxicity.features(pa.array(texts)))
+    for text, score in zip(texts, together):
+        assert model.scores(*toxicity.features(pa.array([text]))).tolist() == [score]
+        words, _ = toxicity.features(pa.array([text]))
+        assert score == pytest.approx(1 / (1 + np.exp(-np.clip(sum(float(model.weights[w]) for w in words) - 0.3, -60, 60))), rel=1e-9)
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.6])
+def test_the_fit_descends_the_stated_risk(monkeypatch, prior):
+    """Against central differences of the risk, also where the estimate turns negative and is stepped back from."""
+    monkeypatch.setattr(toxicity, "ROUNDS", 40)
+    rng = np.random.default_rng(8)
+    rows = lambda n, words: [np.unique(rng.choice(words, 6)).astype(np.int32) for _ in range(n)]
+    positive = rows(40, np.arange(0, 12))
+    unlabelled = [*rows(10, np.arange(0, 12)), *rows(90, np.arange(8, 40))]
+    share = lambda k, texts: sum(k in t for t in texts)
+    expected = {k: share(k, unlabelled) * len(positive) / len(unlabelled) for k in range(40)}
+    used = [k for k in range(40) if share(k, positive) - expected[k] >= 2 * np.sqrt(expected[k] + 1)]
+    p, u = (np.array([[k in t for k in used] for t in texts], dtype=float) for texts in (positive, unlabelled))
+    loss = lambda z: np.log1p(np.exp(-z)).mean()
+    below = 0
+
+    def objective(x, rest_only):
+        zp, zu = p @ x[:-1] + x[-1], u @ x[:-1] + x[-1]
+        rest = loss(-zu) - prior * loss(-zp)
+        return (-rest if rest_only else prior * loss(zp) + rest) + toxicity.DECAY / 2 * (x[:-1] ** 2).sum()
+
+    x = np.append(np.zeros(len(used)), np.log(prior / (1 - prior)))
+    m, v = np.zeros_like(x), np.zeros_like(x)
+    for step in range(1, 41):
+        negative = loss(-(u @ x[:-1] + x[-1])) < prior * loss(-(p @ x[:-1] + x[-1]))
+        below += negative
+        g = np.array([(objective(x + d, negative) - objective(x - d, negative)) / 2e-5 for d in np.eye(len(x)) * 1e-5])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x = x - toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+    model = toxicity.fit(positive, unlabelled, prior)
+    assert used and np.flatnonzero(model.weights).tolist() == used
+    assert np.allclose(model.weights[used], x[:-1], atol=2e-3)
+    assert model.bias == pytest.approx(x[-1], abs=2e-3)
+    assert 0 < below < 40  # both branches took part
