@@ -331,7 +331,7 @@ def stored_log_games(spark, sf):
     path = scratch_path(spark, "pitch-log")
     log = store_bucketed(clean(spark, sf), path, ["pitcher", "game_pk"], window_buckets(spark), PITCH_ORDER)
     outs = outs_of(log, order=PITCH_ORDER, rows=game_rows(spark)).groupBy("pitcher", "game_pk")
-    kinds = type_games(log).groupBy("pitcher", "game_pk")
+    kinds = type_games(log, gathered=True).groupBy("pitcher", "game_pk")
     per_game = outs.agg(F.count(F.lit(1)).alias("pitches"), F.sum("out_diff").alias("outs"))
     return per_game.join(kinds.agg(F.count(F.lit(1)).alias("kinds"), F.sum("pitches_thrown").alias("thrown")), ["pitcher", "game_pk"])
 

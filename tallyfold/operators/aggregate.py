@@ -43,6 +43,17 @@ def agg_then_derive(
     return out
 
 
+def gather(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bring the rows of a key together ahead of a wide aggregate of many small groups.
+
+    Where a group's few rows lie in as many tasks, each task would hold, and send,
+    one partial row per row, wider than the row itself. Gathered rows combine into
+    one partial row per group. Adaptive execution splits a key that fills
+    several tasks, whose partial rows the aggregate merges.
+    """
+    return df.hint("rebalance", *keys)
+
+
 def counts_by_code(
     df: DataFrame, keys: Sequence[str], code: str, names: Mapping[object, str]
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import count_where, is_in, rate_per, ratio
-from ..operators.aggregate import agg_then_derive, rollup_max_sum, two_level
+from ..operators.aggregate import agg_then_derive, gather, rollup_max_sum, two_level
 from ..operators.cleaning import drop_incomplete, finite_rows, impute, inf_to_null
 from ..operators.columns import horizontal_sum
 from ..operators.joins import left
@@ -19,12 +19,17 @@ from . import codes
 c = F.col
 
 
-def pitch_type_games(clean: DataFrame, launch_speed: str = "launch_speed", strict_null: bool = False) -> DataFrame:
+def pitch_type_games(
+    clean: DataFrame, launch_speed: str = "launch_speed", strict_null: bool = False, gathered: bool = False
+) -> DataFrame:
     """One row per pitcher, season, game and pitch type: 27 means, 12 counters.
 
     ``launch_speed`` names the column averaged under that name. With
-    ``strict_null`` a counter is missing where any of its inputs is.
+    ``strict_null`` a counter is missing where any of its inputs is. The pitches
+    of a game are brought together first, unless ``gathered`` says that they are.
     """
+    if not gathered:
+        clean = gather(clean, ["pitcher", "game_pk"])
     means = codes.GAME_MEANS | {"launch_speed": launch_speed}
     aggs = {name: F.avg(source) for name, source in means.items()}
     aggs |= {name: count_where(c(source) == value, strict_null) for name, (source, value) in codes.GAME_COUNTERS.items()}

@@ -188,6 +188,18 @@ def test_pitch_type_rollup(spark):
     assert pitch_type_table(clean).count() == 2  # both roles
 
 
+def test_the_pitches_of_a_game_are_gathered_before_they_are_combined(spark):
+    hot = appearance(spark, [0] * 40)
+    df = hot.union(appearance(spark, [0] * 3, game=2)).union(appearance(spark, [0] * 2, game=None)).repartition(8)
+    clean = clean_events(pitch_measures(df))
+    games, plain = pitch_type_games(clean), pitch_type_games(clean, gathered=True)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(games).index("Aggregate") < plan(games).index("RebalancePartitions")
+    assert "RebalancePartitions" in plan(pitch_type_table(clean)) and "RebalancePartitions" not in plan(plain)
+    by_game = lambda d: as_dicts(d.withColumn("k", F.coalesce("game_pk", F.lit(0))), "k")
+    assert by_game(games) == by_game(plain) and [g["strikes"] for g in by_game(games)] == [2, 40, 3]
+
+
 def test_projection_of_pitchers(spark):
     stats = codes.PITCHER_STATS
     rows = [(p, y, "SP", *[v] * 8) for p, y, v in [(1, 2021, 1.0), (1, 2022, 2.0), (1, 2023, 4.0), (2, 2023, 3.0), (3, 2021, 5.0)]]
