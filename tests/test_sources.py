@@ -75,6 +75,20 @@ def test_a_hot_folder_gets_few_files(spark, tmp_path):
     assert len(files) <= 12 and spark.read.parquet(target).count() == 4000
 
 
+def test_folders_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    from tallyfold.sources import tables
+
+    df = spark.range(3000).selectExpr("id", "IF(id % 50 = 0, NULL, id % 3) AS k", "concat('v', id % 7) AS v").repartition(8)
+    name, seen, real = "spark.sql.maxConcurrentOutputFileWriters", [], tables.setting
+    before = spark.conf.get(name)
+    monkeypatch.setattr(tables, "setting", lambda s, k, v: (seen.append((k, v)), real(s, k, v))[1])
+    target = write_partitioned(df, str(tmp_path / "f"), ["k", "v"])  # 28 folders: more than are open at a time
+    assert seen == [(name, str(tables.OPEN_FILES))] and spark.conf.get(name) == before
+    back = spark.read.parquet(target)
+    count = lambda d: as_dicts(d.groupBy(F.coalesce(F.col("k").cast("int"), F.lit(-1)).alias("k"), "v").count(), "k", "v")
+    assert count(back) == count(df) and back.filter("k IS NULL").count() == 60
+
+
 def test_no_machine_local_folder_on_a_cluster():
     class Cluster:
         class conf:
@@ -159,6 +173,7 @@ def test_a_table_stored_by_key_needs_no_shuffle(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        assert all(f.endswith(".zstd.parquet") for f in os.listdir(tmp_path / "stored") if f.startswith("part-"))
         assert stored.count() == 3000 and both.count() == df.select("g", "h").distinct().count()
         plain = windows.ordered_scan(df, ["g", "h"], ["o"], previous={"p": "v"}).groupBy("g", "h").agg(F.sum("p").alias("p"))
         assert as_dicts(per_key, "g", "h") == as_dicts(plain, "g", "h")
