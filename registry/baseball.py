@@ -329,7 +329,9 @@ def outs_recorded(spark, sf):
 def stored_log_games(spark, sf):
     """Outs and pitch types per game from a log stored by game: the scans need no shuffle."""
     path = scratch_path(spark, "pitch-log")
-    log = store_bucketed(clean(spark, sf), path, ["pitcher", "game_pk"], window_buckets(spark), PITCH_ORDER)
+    # stored as it comes, cleaned as it is read: what cleaning adds is neither shuffled nor written
+    stored = store_bucketed(pitch_log(spark, sf), path, ["pitcher", "game_pk"], window_buckets(spark), PITCH_ORDER)
+    log = clean_events(stored)
     outs = outs_of(log, order=PITCH_ORDER, rows=game_rows(spark)).groupBy("pitcher", "game_pk")
     kinds = type_games(log, gathered=True).groupBy("pitcher", "game_pk")
     per_game = outs.agg(F.count(F.lit(1)).alias("pitches"), F.sum("out_diff").alias("outs"))
