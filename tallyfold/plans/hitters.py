@@ -156,8 +156,13 @@ def _spot_names(spots: int) -> dict[int, str]:
     return {i: f"spot{i:02d}" for i in range(1, spots + 1)}
 
 
-def lineup_spots(clean: DataFrame, spots: int = 9, rows: int | None = None) -> DataFrame:
-    """How often a batter took each lineup spot in a season, and the mean spot."""
+def lineup_spots(clean: DataFrame, spots: int = 9, rows: int | None = None, slices: int | None = None) -> DataFrame:
+    """How often a batter took each lineup spot in a season, and the mean spot.
+
+    ``slices`` gives ``rows`` as a share of the table.
+    """
+    if slices:
+        rows = max(1, -(-clean.count() // slices))
     at_bats = clean.filter(longer_than("events", 2)).select(
         "game_pk", "inning_topbot", "at_bat_number", "batter", "year"
     )

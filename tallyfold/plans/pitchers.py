@@ -67,13 +67,16 @@ def outs_recorded(
     missing_event: str = "keep",
     order: Sequence[str] = ("pitch_number_appearance",),
     rows: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add ``out_diff``: the outs each pitch brought, from the outs counter.
 
     Inside an appearance it is the change of the counter; on the last pitch the
     event decides. A last pitch without an event keeps its change
-    (``missing_event="keep"``) or counts as missing (``"null"``).
+    (``missing_event="keep"``) or counts as missing (``"null"``). ``slices`` gives ``rows`` as a share of the table.
     """
+    if slices:
+        rows = max(1, -(-clean.count() // slices))
     last = (
         F.when(is_in(event, codes.SINGLE_OUTS), 1)
         .when(is_in(event, codes.DOUBLE_OUTS), 2)
